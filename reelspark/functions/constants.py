@@ -66,6 +66,7 @@ WHY_SEED = "similar to your seed titles"
 WHY_HIGH = "predicted high personal rating"
 WHY_ALS_DEFAULT = "latent-factor fit from your ratings and IMDb priors"
 WHY_BLEND_DEFAULT = "blended score from multiple models"
+WHY_ENET = "ElasticNet feature-engineered prediction"
 
 # FIXED VALUES: prediction-quality bands (absolute error upper bounds).
 QUALITY_BANDS = [(0.5, "excellent"), (1.0, "good"), (1.5, "fair")]

@@ -111,21 +111,36 @@ class FittedFeatures:
     medians: dict
     top_dirs: list[str]
     scaler: dict | None = None
-    vocabulary: list[str] | None = None
+    cat_vocabulary: list[str] | None = None
+
+    @property
+    def vocabulary(self) -> list[str]:
+        """Model vector slot names: the numeric features, then the categorical tokens."""
+        return list(NUMERIC) + list(self.cat_vocabulary or [])
 
 
 def fit(train: DataFrame, spec: FeatureSpec = RESEARCH) -> FittedFeatures:
-    """Fit every statistic on ``train`` (medians, director top-K, numeric mean/std, vocabulary)."""
-    med = fit_medians(train, spec)
-    dirs = ([r["director"] for r in top_directors(train, spec.top_dir_k).collect()]
-            if "directors" in train.columns and spec.top_dir_k > 0 else [])
-    ff = FittedFeatures(spec, med, dirs)
-    base = base_features(train, ff)
-    if spec.standardize:
-        ff.scaler = fit_standardizer(base)
-    ff.vocabulary = [r["feature"] for r in
-                     long_features(train, ff).select("feature").distinct()
-                     .orderBy("feature").collect()]
+    """Fit every statistic on ``train`` (medians, director top-K, numeric mean/std, token
+    vocabulary). Four passes over the training rows, so they are persisted (memory, spilling
+    to disk) for the duration of the fit and released after."""
+    from pyspark import StorageLevel
+
+    cached = train.storageLevel == StorageLevel.NONE
+    if cached:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        med = fit_medians(train, spec)
+        dirs = ([r["director"] for r in top_directors(train, spec.top_dir_k).collect()]
+                if "directors" in train.columns and spec.top_dir_k > 0 else [])
+        ff = FittedFeatures(spec, med, dirs)
+        base = base_features(train, ff)
+        if spec.standardize:
+            ff.scaler = fit_standardizer(base)
+        toks = base.select(F.explode(category_tokens(ff)).alias("t")).distinct()
+        ff.cat_vocabulary = [r["t"] for r in toks.orderBy("t").collect()]
+    finally:
+        if cached:
+            train.unpersist()
     return ff
 
 
@@ -202,14 +217,10 @@ def _numeric_value(name: str, ff: FittedFeatures) -> Column:
     return v
 
 
-def feature_array(based: DataFrame, ff: FittedFeatures) -> Column:
-    """Numeric (standardised when the spec says so) + one-hots + genres multi-hot +
-    top-K directors, as ``array<struct<feature, value>>`` without duplicates."""
-    def fv(name, value):
-        return F.struct(name.alias("feature") if isinstance(name, Column) else
-                        F.lit(name).alias("feature"), value.cast("double").alias("value"))
-
-    parts = [fv(n, _numeric_value(n, ff)) for n in NUMERIC]
+def category_tokens(ff: FittedFeatures) -> Column:
+    """X14–X16 as one token array per row: one-hots (``type_…``, ``dec_…``, ``rate_m_…``,
+    ``rate_dow_…``, ``rel_m_…``), genres (``g_…``) and top-K directors (``dir_<clean>``),
+    de-duplicated. Applied to a ``base_features`` frame."""
     oh = {
         "type": F.concat(F.lit("type_"), F.coalesce(F.col("title_type"), F.lit("Unknown"))),
         "decade": F.concat(F.lit("dec_"), F.coalesce(F.col("decade"), F.lit(0)).cast("string")),
@@ -217,15 +228,23 @@ def feature_array(based: DataFrame, ff: FittedFeatures) -> Column:
         "rate_dow": F.concat(F.lit("rate_dow_"), F.col("rate_dow").cast("string")),
         "rel_m": F.concat(F.lit("rel_m_"), F.col("rel_month").cast("string")),
     }
-    parts += [fv(oh[o], F.lit(1.0)) for o in ff.spec.onehots]
-    arr = F.array(*parts)
-    genres = F.transform(split_list("genres"),
-                         lambda g: fv(F.concat(F.lit("g_"), g), F.lit(1.0)))
+    onehots = F.array(*[oh[o] for o in ff.spec.onehots])
+    genres = F.transform(split_list("genres"), lambda g: F.concat(F.lit("g_"), g))
     top = F.array(*[F.lit(d) for d in ff.top_dirs]) if ff.top_dirs else \
         F.array().cast("array<string>")
     dirs = F.transform(F.filter(split_list("directors"), lambda d: F.array_contains(top, d)),
-                       lambda d: fv(F.concat(F.lit("dir_"), clean_name(d)), F.lit(1.0)))
-    return F.array_distinct(F.concat(arr, genres, dirs))
+                       lambda d: F.concat(F.lit("dir_"), clean_name(d)))
+    return F.array_distinct(F.concat(onehots, genres, dirs))
+
+
+def feature_array(based: DataFrame, ff: FittedFeatures) -> Column:
+    """Numeric features (standardised when the spec says so) + categorical tokens with value
+    1.0, as ``array<struct<feature, value>>`` — the long form's source."""
+    nums = F.array(*[F.struct(F.lit(n).alias("feature"), _numeric_value(n, ff).alias("value"))
+                     for n in NUMERIC])
+    cats = F.transform(category_tokens(ff),
+                       lambda t: F.struct(t.alias("feature"), F.lit(1.0).alias("value")))
+    return F.concat(nums, cats)
 
 
 def long_features(df: DataFrame, ff: FittedFeatures, keys=("user_id", "item_id")) -> DataFrame:
@@ -242,12 +261,17 @@ def align(long_df: DataFrame, vocabulary: DataFrame, how: str = "left_semi") ->
 
 
 def vectorize(df: DataFrame, ff: FittedFeatures, out: str = "features") -> DataFrame:
-    """Model input: ``array_to_vector`` of the fitted vocabulary looked up in each row's
-    feature map — a projection; absent features are 0 and unseen ones are dropped (J08a)."""
-    from pyspark.ml.functions import array_to_vector
+    """Model input without pivoting: the categorical token array goes through
+    ``CountVectorizerModel.from_vocabulary(binary=True)`` (sparse, JVM-side; tokens outside the
+    training vocabulary are dropped — J08a) and ``VectorAssembler`` prepends the numeric
+    features. Vector slots follow ``ff.vocabulary`` (numeric first, then sorted tokens)."""
+    from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 
     b = base_features(df, ff)
-    m = F.map_from_entries(feature_array(b, ff))
-    vocab = F.array(*[F.lit(v) for v in ff.vocabulary])
-    dense = F.transform(vocab, lambda f: F.coalesce(F.try_element_at(m, f), F.lit(0.0)))
-    return b.withColumn(out, array_to_vector(dense))
+    nums = [f"_n{i}" for i in range(len(NUMERIC))]
+    b = b.select("*", *[_numeric_value(n, ff).alias(c) for n, c in zip(NUMERIC, nums)],
+                 category_tokens(ff).alias("_cat"))
+    cv = CountVectorizerModel.from_vocabulary(ff.cat_vocabulary, inputCol="_cat",
+                                              outputCol="_catv", binary=True)
+    va = VectorAssembler(inputCols=[*nums, "_catv"], outputCol=out, handleInvalid="keep")
+    return va.transform(cv.transform(b)).drop(*nums, "_cat", "_catv")
