@@ -19,10 +19,9 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str | Column],
     ordered = [F.col(o) if isinstance(o, str) else o for o in order]
     names = [f"_o{i}" for i in range(len(ordered))]
     flag = F.col(names[0]).isNotNull().alias("_has")
-    s = F.struct(flag, *[F.col(n) for n in names[1:]], F.col(names[0]),
-                 *[F.col(p) for p in payload]).alias("_m")
+    s = F.struct(flag, *[F.col(n) for n in names], *[F.col(p) for p in payload])
     pre = df.select(*keys, *[c.alias(n) for c, n in zip(ordered, names)], *payload)
-    return pre.groupBy(*keys).agg(F.max(s)).select(*keys, *[F.col(f"_m.{p}") for p in payload])
+    return pre.groupBy(*keys).agg(F.max(s).alias("_m")).select(*keys, *[F.col(f"_m.{p}") for p in payload])
 
 
 def catalog(ratings: DataFrame, watchlist: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -199,3 +199,37 @@ def normalize_scores_q(spark, sf_dir):
     crowd, _ = _algo_scores(spark, sf_dir)
     n = rk.normalize_scores(crowd.select("user_id", "item_id", "score"))
     return n.select("user_id", "item_id", r6("score").alias("score"))
+
+
+# ---------------------------------------------------------------- P03 P04 P05 on raw log rows
+
+@query("validate_quarantine", """
+SELECT event_id, item_const, action, rating,
+  CASE WHEN NOT regexp_matches(item_const, '^tt\\d{7,}$') THEN 'bad_id'
+       WHEN action NOT IN ('rate', 'watchlist_add', 'watchlist_remove') THEN 'bad_action'
+       WHEN (rating IS NOT NULL AND NOT (rating BETWEEN 1 AND 10))
+            OR (action = 'rate' AND rating IS NULL) THEN 'bad_rating' END AS reason
+FROM (SELECT event_id,
+        'tt' || lpad(json_extract_string(props, '$.k'), 7, '0') AS item_const,
+        CASE event_type WHEN 'purchase' THEN 'rate' WHEN 'signup' THEN 'watchlist_add'
+             WHEN 'error' THEN 'watchlist_remove' ELSE event_type END AS action,
+        CASE WHEN event_type = 'purchase' THEN CAST(round_even(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE), 0) AS INT)
+        END AS rating
+      FROM events)""")
+def validate_quarantine(spark, sf_dir):
+    """Every event as a raw action-log row: the item constant is formatted from ``props.k``,
+    the rating text parsed tolerantly and rounded half-even (P03, P04); P05 tags each row
+    clean (NULL reason) or with its quarantine reason."""
+    from ..functions.constants import ACTIONS
+    from ..functions.scalar import rating_int
+    from ..sources.ingest import validate
+    ev = tb.table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    raw = ev.select(
+        "event_id",
+        F.concat(F.lit("tt"), F.lpad(F.get_json_object("props", "$.k"), 7, "0")).alias("item_const"),
+        F.when(et == "purchase", "rate").when(et == "signup", "watchlist_add")
+        .when(et == "error", "watchlist_remove").otherwise(et).alias("action"),
+        F.when(et == "purchase", rating_int(F.col("value"))).alias("rating"))
+    clean, bad = validate(raw, "item_const", "rating", "action", ACTIONS)
+    return clean.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
