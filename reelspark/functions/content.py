@@ -13,9 +13,12 @@ def _c(x) -> Column:
 
 
 def split_list(x) -> Column:
-    """Comma-separated text → array of trimmed, non-empty tokens (NULL → empty array)."""
-    parts = F.transform(F.split(F.coalesce(_c(x), F.lit("")), ","), lambda t: F.trim(t))
-    return F.filter(parts, lambda t: t != "")
+    """Comma-separated text → array of trimmed, non-empty tokens (NULL → empty array).
+
+    Plain expressions only (regex trim around commas, ``split``, ``array_remove``): they stay
+    inside whole-stage codegen and share common subexpressions, unlike lambda functions."""
+    t = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"^\s+|\s+$", "")
+    return F.array_remove(F.split(F.regexp_replace(t, r"\s*,\s*", ","), ","), "")
 
 
 def clean_name(x) -> Column:
@@ -24,11 +27,35 @@ def clean_name(x) -> Column:
 
 
 def genre_vector(genres) -> Column:
-    """22 fixed slots, multi-hot over known genres, scaled to unit length; empty → zeros."""
+    """22 fixed slots, multi-hot over known genres, scaled to unit length; empty → zeros.
+
+    Written as 22 plain ``array_contains`` tests and their sum, so the token array is computed
+    once per row (common-subexpression elimination) instead of once per slot."""
     toks = split_list(genres)
-    hits = F.array(*[F.array_contains(toks, F.lit(g)).cast("double") for g in GENRES])
-    n = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(hits, lambda v: F.when(n > 0, v / F.sqrt(n)).otherwise(F.lit(0.0)))
+    hits = [F.array_contains(toks, F.lit(g)).cast("double") for g in GENRES]
+    n = sum(hits[1:], hits[0])
+    return F.array(*[F.when(n > 0, h / F.sqrt(n)).otherwise(F.lit(0.0)) for h in hits])
+
+
+def with_genre_vector(df, genres="genres", out: str = "genre_vec"):
+    """X01 on a DataFrame in staged projections: tokens, then the 22 hits, then their count,
+    then the scaled vector. Catalyst keeps a projection separate when a costly column is used
+    more than once, so the tokens are split once per row (the single-expression form
+    :func:`genre_vector` is convenient for literals but re-derives them per slot)."""
+    hits = F.array(*[F.array_contains(F.col("_gtoks"), F.lit(g)).cast("double") for g in GENRES])
+    return (df.withColumn("_gtoks", split_list(genres))
+            .withColumn("_ghits", hits)
+            .withColumn("_gn", F.aggregate("_ghits", F.lit(0.0), lambda a, v: a + v))
+            .withColumn(out, F.transform("_ghits", lambda h: F.when(F.col("_gn") > 0,
+                                                                    h / F.sqrt(F.col("_gn")))
+                                         .otherwise(F.lit(0.0))))
+            .drop("_gtoks", "_ghits", "_gn"))
+
+
+def with_content_vector(df, genres="genres", year="year", out: str = "content_vec"):
+    """X03 on a DataFrame: staged genre vector ‖ year bucket (length 28)."""
+    return (with_genre_vector(df, genres, "_gv")
+            .withColumn(out, F.concat(F.col("_gv"), year_bucket(year))).drop("_gv"))
 
 
 def year_bucket_index(year) -> Column:

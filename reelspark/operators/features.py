@@ -191,7 +191,6 @@ def base_features(df: DataFrame, ff: FittedFeatures) -> DataFrame:
         age = F.coalesce(age, F.lit(med.get("age")).cast("double"), F.lit(0.0))
     else:
         age = F.lit(0.0)
-    dirs = split_list("directors") if "directors" in cols else F.array().cast("array<string>")
     out = out.select(
         *df.columns,
         year.alias("f_year"), runtime.alias("f_runtime"), imdb.alias("imdb"),
@@ -203,8 +202,12 @@ def base_features(df: DataFrame, ff: FittedFeatures) -> DataFrame:
         F.coalesce(F.month(rel), F.lit(fr)).alias("rel_month"),
         days.alias("days_since_first_rate"),
         age.alias("age_at_rating_days"),
-        (F.size(dirs) > 0).cast("int").alias("has_director_info"),
+        (split_list("genres") if "genres" in cols else F.array().cast("array<string>"))
+        .alias("genre_tokens"),
+        (split_list("directors") if "directors" in cols else F.array().cast("array<string>"))
+        .alias("director_tokens"),
     )
+    out = out.withColumn("has_director_info", (F.size("director_tokens") > 0).cast("int"))
     # expose the filled numerics under their feature names without clobbering raw columns
     return out.withColumnRenamed("f_year", "year_f").withColumnRenamed("f_runtime", "runtime_f")
 
@@ -229,10 +232,10 @@ def category_tokens(ff: FittedFeatures) -> Column:
         "rel_m": F.concat(F.lit("rel_m_"), F.col("rel_month").cast("string")),
     }
     onehots = F.array(*[oh[o] for o in ff.spec.onehots])
-    genres = F.transform(split_list("genres"), lambda g: F.concat(F.lit("g_"), g))
+    genres = F.transform(F.col("genre_tokens"), lambda g: F.concat(F.lit("g_"), g))
     top = F.array(*[F.lit(d) for d in ff.top_dirs]) if ff.top_dirs else \
         F.array().cast("array<string>")
-    dirs = F.transform(F.filter(split_list("directors"), lambda d: F.array_contains(top, d)),
+    dirs = F.transform(F.array_intersect(F.col("director_tokens"), top),
                        lambda d: F.concat(F.lit("dir_"), clean_name(d)))
     return F.array_distinct(F.concat(onehots, genres, dirs))
 

@@ -193,8 +193,8 @@ GENRE_VEC_SQL = f"""gv AS (
 @query("genre_vector", tb.with_views(f""", {GENRE_VEC_SQL}
 SELECT item_id, CAST(slot AS INT) AS slot, {R('value')} AS value FROM gv""", "items"))
 def genre_vector(spark, sf_dir):
-    it = tb.items(spark, sf_dir)
-    e = it.select("item_id", F.posexplode(cv.genre_vector("genres")).alias("pos", "value"))
+    it = cv.with_genre_vector(tb.items(spark, sf_dir).select("item_id", "genres"), out="gv")
+    e = it.select("item_id", F.posexplode("gv").alias("pos", "value"))
     return e.where(F.col("value") > 0).select(
         "item_id", (F.col("pos") + 1).cast("int").alias("slot"), r6("value").alias("value"))
 
@@ -212,8 +212,8 @@ UNION ALL
 SELECT item_id, CAST(23 + {_year_idx_sql('year')} AS INT) AS slot, 1.0 AS value
 FROM items WHERE year IS NOT NULL""", "items"))
 def content_vector(spark, sf_dir):
-    it = tb.items(spark, sf_dir)
-    e = it.select("item_id", F.posexplode(cv.content_vector("genres", "year")).alias("pos", "value"))
+    it = cv.with_content_vector(tb.items(spark, sf_dir).select("item_id", "genres", "year"), out="v")
+    e = it.select("item_id", F.posexplode("v").alias("pos", "value"))
     return e.where(F.col("value") > 0).select(
         "item_id", (F.col("pos") + 1).cast("int").alias("slot"), r6("value").alias("value"))
 
@@ -282,9 +282,9 @@ def seed_vectors(ratings, items, seed_rating: int = 10):
 
     posexplode → partial groupBy(user, pos) → 28-slot array per user: the per-user state is
     28 numbers however many seeds the user has."""
+    vecs = cv.with_content_vector(items.select("item_id", "genres", "year"), out="vec")
     seeds = (ratings.where(F.col("my_rating") == seed_rating).select("user_id", "item_id")
-             .join(items.select("item_id", cv.content_vector("genres", "year").alias("vec")),
-                   "item_id"))
+             .join(vecs.select("item_id", "vec"), "item_id"))
     p = seeds.select("user_id", F.posexplode("vec").alias("pos", "v"))
     return (p.groupBy("user_id", "pos").agg(F.avg("v").alias("m"))
             .groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_s"))
@@ -296,7 +296,8 @@ def _seed_sim(spark, sf_dir):
     sv = seed_vectors(r, it)
     cand = tb.watchlist(spark, sf_dir).join(r.select("user_id", "item_id"),
                                              ["user_id", "item_id"], "left_anti")
-    iv = it.select("item_id", cv.content_vector("genres", "year").alias("vec"))
+    iv = cv.with_content_vector(it.select("item_id", "genres", "year"), out="vec") \
+        .select("item_id", "vec")
     return cand.join(sv, "user_id").join(iv, "item_id").select(
         "user_id", "item_id", cv.seed_similarity("seed_vec", "vec").alias("similarity"))
 
