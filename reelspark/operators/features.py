@@ -253,7 +253,9 @@ def feature_array(based: DataFrame, ff: FittedFeatures) -> Column:
 def long_features(df: DataFrame, ff: FittedFeatures, keys=("user_id", "item_id")) -> DataFrame:
     """Long form ``(keys…, feature, value)``: one row per non-zero feature of each input row."""
     b = base_features(df, ff)
-    return (b.select(*keys, F.explode(feature_array(b, ff)).alias("f"))
+    # never empty (six numeric entries): explode_outer avoids an inferred size() > 0 filter
+    # that Catalyst would push below the projections, evaluating the features twice
+    return (b.select(*keys, F.explode_outer(feature_array(b, ff)).alias("f"))
             .select(*keys, "f.feature", F.coalesce("f.value", F.lit(0.0)).alias("value")))
 
 

@@ -194,7 +194,9 @@ GENRE_VEC_SQL = f"""gv AS (
 SELECT item_id, CAST(slot AS INT) AS slot, {R('value')} AS value FROM gv""", "items"))
 def genre_vector(spark, sf_dir):
     it = cv.with_genre_vector(tb.items(spark, sf_dir).select("item_id", "genres"), out="gv")
-    e = it.select("item_id", F.posexplode("gv").alias("pos", "value"))
+    # the vector always has 22 slots: the _outer generator yields the same rows and keeps
+    # Catalyst from inferring a size(gv) > 0 filter that would inline the vector below the scan
+    e = it.select("item_id", F.posexplode_outer("gv").alias("pos", "value"))
     return e.where(F.col("value") > 0).select(
         "item_id", (F.col("pos") + 1).cast("int").alias("slot"), r6("value").alias("value"))
 
@@ -213,7 +215,7 @@ SELECT item_id, CAST(23 + {_year_idx_sql('year')} AS INT) AS slot, 1.0 AS value
 FROM items WHERE year IS NOT NULL""", "items"))
 def content_vector(spark, sf_dir):
     it = cv.with_content_vector(tb.items(spark, sf_dir).select("item_id", "genres", "year"), out="v")
-    e = it.select("item_id", F.posexplode("v").alias("pos", "value"))
+    e = it.select("item_id", F.posexplode_outer("v").alias("pos", "value"))   # 28 slots always
     return e.where(F.col("value") > 0).select(
         "item_id", (F.col("pos") + 1).cast("int").alias("slot"), r6("value").alias("value"))
 
@@ -285,7 +287,7 @@ def seed_vectors(ratings, items, seed_rating: int = 10):
     vecs = cv.with_content_vector(items.select("item_id", "genres", "year"), out="vec")
     seeds = (ratings.where(F.col("my_rating") == seed_rating).select("user_id", "item_id")
              .join(vecs.select("item_id", "vec"), "item_id"))
-    p = seeds.select("user_id", F.posexplode("vec").alias("pos", "v"))
+    p = seeds.select("user_id", F.posexplode_outer("vec").alias("pos", "v"))   # 28 slots always
     return (p.groupBy("user_id", "pos").agg(F.avg("v").alias("m"))
             .groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_s"))
             .select("user_id", F.transform("_s", lambda s: s["m"]).alias("seed_vec")))
@@ -397,7 +399,7 @@ def standardize(spark, sf_dir):
     cols = F.array(*[F.struct(F.lit(n).alias("feature"),
                               ((F.col(fe.FILLED.get(n, n)) - st[n][0]) / st[n][1]).alias("z"))
                      for n in fe.NUMERIC])
-    return b.select("user_id", "item_id", F.explode(cols).alias("s")).select(
+    return b.select("user_id", "item_id", F.explode_outer(cols).alias("s")).select(   # 6 entries
         "user_id", "item_id", "s.feature", r6("s.z").alias("z"))
 
 
