@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import pred_to_score, quality_band
+from .ranking import top_k_per_group
 
 
 def bround2(x: Column) -> Column:
@@ -29,11 +30,14 @@ def predictions_vs_actuals(ratings: DataFrame, preds: DataFrame, k: int = 10) ->
     d = j.select("user_id", "item_id", "my_rating", pr.alias("predicted_rating"))
     d = d.withColumn("abs_diff", F.abs(F.col("my_rating") - F.col("predicted_rating")))
     d = d.withColumn("quality", quality_band(F.col("abs_diff")))
-    best = Window.partitionBy("user_id").orderBy(F.col("abs_diff").asc_nulls_last(), "item_id")
-    worst = Window.partitionBy("user_id").orderBy(F.col("abs_diff").desc_nulls_last(), "item_id")
-    rb, rw = F.row_number().over(best), F.row_number().over(worst)
-    return d.select("*", F.when(rb <= k, rb).cast("bigint").alias("best_rank"),
-                    F.when(rw <= k, rw).cast("bigint").alias("worst_rank"))
+    # best / worst k per user as two filtered top-k windows (WindowGroupLimit keeps k rows per
+    # task and user), joined back on the row key — no unbounded per-user window
+    key = ["user_id", "item_id"]
+    best = top_k_per_group(d, k, ["user_id"], [F.col("abs_diff").asc_nulls_last(), F.col("item_id")],
+                           "best_rank").select(*key, "best_rank")
+    worst = top_k_per_group(d, k, ["user_id"], [F.col("abs_diff").desc_nulls_last(), F.col("item_id")],
+                            "worst_rank").select(*key, "worst_rank")
+    return d.join(best, key, "left").join(worst, key, "left")
 
 
 def pearson(a: Column, b: Column) -> Column:
