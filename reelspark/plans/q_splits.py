@@ -100,7 +100,10 @@ def _summary_sql(pop: bool, src: str = "fm") -> str:
 # ----------------------------------------------------------------------------- Spark bindings
 
 def folded(spark, sf_dir, k=K, seed=SEED):
-    return sp.stratified_folds(tb.ratings(spark, sf_dir), k, seed)
+    """Stratified fold assignment, computed once per dataset and (k, seed) and then scanned by
+    every CV query — folds are assigned first, before any statistic is taken."""
+    return tb.materialized(spark, sf_dir, f"folds_strat_k{k}_s{seed}",
+                           lambda: sp.stratified_folds(tb.ratings(spark, sf_dir), k, seed))
 
 
 def hybrid_oof(spark, sf_dir):
