@@ -114,3 +114,51 @@ def test_repeat_within_batch_is_dropped(spark):
               "item_id long, batch_id date")
     assert st.batch_state(df).first()["current_rating"] == 7
     assert st.batch_dedup(df).count() == 2
+
+
+def test_model_package_round_trip(spark, tmp_path):
+    """Fitted model + one metadata row, saved and loaded back."""
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([float(i), float(i % 3)]), 2.0 * i + 1) for i in range(20)],
+                               _vec_schema())
+    m = md.SkElasticNet(alpha=0.01, l1Ratio=0.5, maxIter=200).fit(df)
+    meta = {"feature_columns": ["a", "b"], "alpha": 0.01, "l1_ratio": 0.5, "rmse": 0.1}
+    md.save_package(m, str(tmp_path / "pkg"), meta)
+    m2, meta2 = md.load_package(str(tmp_path / "pkg"))
+    assert meta2 == meta
+    assert np.allclose(m2.coefficients.toArray(), m.coefficients.toArray())
+
+
+def test_action_log_append(spark, tmp_path):
+    """S11 batch form: appends keep the log's column order and accumulate."""
+    from reelspark.sources import sinks
+    a = spark.createDataFrame([("2024-01-01T00:00:00Z", "tt0111161", "rate", "10", "b1")],
+                              "timestamp_iso string, imdb_const string, action string, rating string, "
+                              "batch_id string")
+    p = str(tmp_path / "log")
+    sinks.append_actions(a, p)
+    sinks.append_actions(a, p)
+    back = spark.read.option("header", True).csv(p)
+    assert back.columns == sinks.ACTION_LOG_COLS and back.count() == 2
+
+
+def test_package_preset_features(spark):
+    """The package preset: year clipped to 2024, date fills 2020/6/3/6, three one-hot families."""
+    import datetime as dt
+    df = spark.createDataFrame(
+        [(1, 1, 8, None, 2030, "Drama", "Someone", 7.0, 100, "movie", 90, dt.date(2020, 5, 1))],
+        "user_id long, item_id long, my_rating int, rated_at date, year int, genres string, "
+        "directors string, imdb_rating double, num_votes long, title_type string, runtime int, "
+        "release_date date")
+    ff = fe.fit(df, fe.PACKAGE)
+    b = fe.base_features(df, ff).first()
+    assert b["year_f"] == 2024.0 and (b["rate_year"], b["rate_month"], b["rate_dow"]) == (2020, 6, 3)
+    assert not any(v.startswith(("rate_dow_", "rel_m_")) for v in ff.vocabulary)
+    assert fe.vectorize(df, ff).first()["features"].size == len(ff.vocabulary)
+
+
+def test_als_rejects_ids_outside_int_range(spark):
+    r = spark.createDataFrame([(2**40, 1, 5)], "user_id long, item_id long, my_rating int")
+    it = spark.createDataFrame([(1, 7.0)], "item_id long, imdb_rating double")
+    with pytest.raises(Exception, match="outside int range"):
+        md.als_training_rows(r, it).collect()
