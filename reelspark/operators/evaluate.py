@@ -35,6 +35,33 @@ def out_of_fold_global_mean(folded: DataFrame) -> DataFrame:
                     .alias("train_mean"))
 
 
+def temporal_user_mean(tfolds: DataFrame, k: int) -> DataFrame:
+    """(user, fold) → mean rating of the user's rows that train fold ``fold`` in the expanding
+    temporal split (rows with ``first_train_fold <= fold``). From per-(user, block) sums and a
+    running sum over at most k blocks per user — no row is copied per fold."""
+    from pyspark.sql import Window
+    blocks = (tfolds.where(F.col("first_train_fold").isNotNull())
+              .groupBy("user_id", F.col("first_train_fold").alias("fold"))
+              .agg(F.sum("my_rating").alias("_s"), F.count("my_rating").alias("_c")))
+    w = Window.partitionBy("user_id").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    run = blocks.select("user_id", "fold", F.sum("_s").over(w).alias("_rs"),
+                        F.sum("_c").over(w).alias("_rc"))
+    # blocks 0..k-1 all exist whenever a user has test folds (block 0 holds n − k·t ≥ t rows,
+    # block j+1 is test block j), so fold i's training totals are the running sums at block i
+    return run.select("user_id", "fold", (F.col("_rs") / F.col("_rc")).alias("train_mean"))
+
+
+def holdout_hybrid_temporal(tfolds: DataFrame, items: DataFrame, k: int,
+                            w_user: float = 0.7, w_crowd: float = 0.3) -> DataFrame:
+    """Test rows of each temporal fold with the X20 prediction from earlier rows only."""
+    m = temporal_user_mean(tfolds, k)
+    crowd = crowd_signal(F.col("imdb_rating"), 0.0)
+    test = tfolds.where(F.col("test_fold").isNotNull()).withColumn("fold", F.col("test_fold"))
+    return (test.join(m, ["user_id", "fold"], "left")
+            .join(items.select("item_id", "imdb_rating"), "item_id")
+            .withColumn("pred", w_crowd * F.coalesce(F.col("train_mean"), crowd) + w_user * crowd))
+
+
 def holdout_hybrid(folded: DataFrame, items: DataFrame, w_user: float = 0.7,
                    w_crowd: float = 0.3, crowd_missing: float = 0.0) -> DataFrame:
     """Out-of-fold X20 prediction ``pred`` for every rated row (the row is unrated to its

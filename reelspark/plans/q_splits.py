@@ -319,3 +319,34 @@ def grid_analysis(spark, sf_dir):
     """A17 per user weight over the hybrid grid."""
     a = mt.grid_analysis(grid_rows(spark, sf_dir), "w_user", "crowd_fill")
     return _r6_all(a, ["w_user", "best_rank", "in_top"])
+
+
+# ----------------------------------------------------------------------------- M07 temporal
+
+TEMPORAL_SQL = f"""
+, p AS (SELECT user_id, item_id, my_rating,
+          row_number() OVER (PARTITION BY user_id ORDER BY rated_at, item_id) - 1 AS pos,
+          count(*) OVER (PARTITION BY user_id) AS n FROM ratings),
+q AS (SELECT *, n // {K + 1} AS t, n - {K} * (n // {K + 1}) AS st FROM p),
+tf AS (SELECT *, CASE WHEN t > 0 AND pos >= st THEN (pos - st) // t END AS test_fold,
+         CASE WHEN t > 0 THEN (CASE WHEN pos < st THEN 0 ELSE (pos - st) // t + 1 END) END AS ff
+       FROM q),
+tm AS (SELECT t.user_id, t.test_fold AS fold, avg(r.my_rating) AS train_mean
+       FROM (SELECT DISTINCT user_id, test_fold FROM tf WHERE test_fold IS NOT NULL) t
+       JOIN tf r ON r.user_id = t.user_id AND r.ff IS NOT NULL AND r.ff < {K} AND r.ff <= t.test_fold
+       GROUP BY t.user_id, t.test_fold),
+pred AS (SELECT f.user_id, f.item_id, f.my_rating, f.test_fold AS fold,
+           0.3 * coalesce(tm.train_mean, coalesce(i.imdb_rating, 0.0)) + 0.7 * coalesce(i.imdb_rating, 0.0) AS pred
+         FROM tf f LEFT JOIN tm ON tm.user_id = f.user_id AND tm.fold = f.test_fold
+         JOIN items i ON i.item_id = f.item_id WHERE f.test_fold IS NOT NULL)"""
+
+
+@query("cv_temporal", tb.with_views(f"""{TEMPORAL_SQL}{FOLD_METRICS_SQL.replace("'hybrid'", "'hybrid_temporal'")}
+{_summary_sql(False)}""", "items", "ratings"))
+def cv_temporal(spark, sf_dir):
+    """M07 with the temporal strategy: expanding-window folds per user (W05); each fold's
+    test rows are scored from earlier rows only; A15 summary."""
+    tf = sp.temporal_folds(tb.ratings(spark, sf_dir), K)
+    p = ev.holdout_hybrid_temporal(tf, tb.items(spark, sf_dir), K)
+    s = mt.fold_summary(ev.fold_metrics(p, "hybrid_temporal"))
+    return _r6_all(s, ["model", "n_folds", "valid_folds"])
