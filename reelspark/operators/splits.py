@@ -52,6 +52,13 @@ def md5_bucket(key: Column, hex_digits: int = 3) -> Column:
     return F.conv(F.substring(key, 1, hex_digits), 16, 10).cast("int")
 
 
+def order_prefix(c: str, df: DataFrame) -> Column:
+    """A coarse key monotone in ``c``'s order: ``floor(c / 4096)`` for numbers, the first three
+    characters for text."""
+    numeric = dict(df.dtypes)[c] in ("bigint", "int", "smallint", "tinyint", "double", "float")
+    return F.floor(F.col(c) / 4096) if numeric else F.substring(F.col(c), 1, 3)
+
+
 def rating_bin(rating: Column, edges=STRAT_EDGES, labels=None) -> Column:
     """``pd.cut(include_lowest=True)``: bin i holds (edges[i], edges[i+1]], the first also
     holds edges[0]. Returns the label (default: bin index)."""
@@ -105,10 +112,12 @@ def temporal_folds(ratings: DataFrame, k: int = 5, date_col: str = "rated_at") -
     With ``n`` rows and ``t = n div (k+1)``, fold ``i`` tests positions
     ``[n − (k−i)·t, n − (k−i−1)·t)`` (0-based) and trains on every earlier row. Each row gets
     ``pos`` (0-based), ``test_fold`` (NULL for rows never tested) and ``first_train_fold`` —
-    the first fold whose training set contains it; rows with ``t = 0`` get neither. The date
-    itself is the ordered bucket, so a hot user's rows are numbered in per-day tasks.
+    the first fold whose training set contains it; rows with ``t = 0`` get neither.
     """
-    p = position_in_group(ratings, ["user_id"], F.col(date_col), [F.col("item_id")])
+    # ordered bucket (date, item-id prefix): monotone in (date, item_id), so a user with many
+    # ratings on one day is still numbered across tasks
+    bucket = F.struct(F.col(date_col), order_prefix("item_id", ratings))
+    p = position_in_group(ratings, ["user_id"], bucket, [F.col("item_id")])
     n, t = F.col("n"), F.floor(F.col("n") / (k + 1))
     pos0 = F.col("pos") - 1
     start = n - k * t
