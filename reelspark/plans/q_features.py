@@ -64,8 +64,10 @@ def base_sql(src: str, train: str, out: str) -> str:
    coalesce(CAST(s.runtime AS DOUBLE), m.mr) AS runtime_f,
    coalesce(s.imdb_rating, m.mi) AS imdb,
    least(coalesce(CAST(s.num_votes AS DOUBLE), m.mv), 2000000.0) AS votes,
-   coalesce(year(s.rated_at), 0) AS rate_year, coalesce(month(s.rated_at), 0) AS rate_month,
-   coalesce(isodow(s.rated_at) - 1, 0) AS rate_dow, coalesce(month(s.release_date), 0) AS rel_month,
+   CAST(coalesce(year(s.rated_at), 0) AS INT) AS rate_year,
+   CAST(coalesce(month(s.rated_at), 0) AS INT) AS rate_month,
+   CAST(coalesce(isodow(s.rated_at) - 1, 0) AS INT) AS rate_dow,
+   CAST(coalesce(month(s.release_date), 0) AS INT) AS rel_month,
    {days} AS days_since_first_rate,
    coalesce(CAST(DATE '{AS_OF}' - s.release_date AS DOUBLE), m.ma, 0.0) AS age_at_rating_days,
    CAST(len({_tok('s.directors')}) > 0 AS INT) AS has_director_info

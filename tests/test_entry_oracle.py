@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
-from tools.check_oracle import TABLES, rows_key
+from tools.check_oracle import TABLES, rows_key, type_mismatches
 
 
 def test_entry_runs(spark):
@@ -40,4 +40,5 @@ def test_query_matches_oracle(spark, duck, name):
     cur = duck.execute(E.oracle_sql()[name])
     drows, dcols = cur.fetchall(), [d[0] for d in cur.description]
     assert sorted(scols) == sorted(dcols)
+    assert type_mismatches(df.dtypes, duck.sql(E.oracle_sql()[name])) == {}
     assert rows_key(srows, scols) == rows_key(drows, dcols)
