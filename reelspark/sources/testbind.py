@@ -12,6 +12,7 @@ Every frame is lazy; scans read only the columns used, and the filters on ``l_re
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,14 @@ from ..session import scratch_path
 # bump when a view definition changes, so stale materialisations are not read
 BINDING_VERSION = "1"
 
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock_for(path: str) -> threading.Lock:
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -88,11 +97,14 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     """
     key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{BINDING_VERSION}".encode()).hexdigest()[:16]
     path = scratch_path(spark, f"normalized/{key}/{name}.parquet")
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    # one writer per table in this process: concurrent queries wait instead of overwriting
+    # each other's half-written output
+    with _lock_for(path):
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            build().write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,18 @@ def test_hot_user_positions_are_exact_and_bucketed(spark):
     p = _final_plan(got)
     windows = [line for line in p.splitlines() if "Window [row_number()" in line]
     assert windows and all("_bk" in w for w in windows)
+
+
+def test_materialized_tables_survive_concurrent_first_use(spark, tmp_path):
+    """Several threads asking for the same normalised table get one consistent table."""
+    from concurrent.futures import ThreadPoolExecutor
+    calls = []
+
+    def build():
+        calls.append(1)
+        return tb.build_watchlist(spark, SF001)
+
+    name = f"concurrency_probe_{tmp_path.name}"
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda _: tb.materialized(spark, SF001, name, build).count(), range(4)))
+    assert len(set(counts)) == 1 and counts[0] > 0 and len(calls) == 1
