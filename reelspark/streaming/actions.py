@@ -8,10 +8,9 @@ ST02  fold the log into current state per (user, item): the rating of the latest
       watchlist membership from the latest add/remove, where a repeat dropped by ST01 does not
       count (rate 5, 7, 5 in one batch ends at 7).
       The stream keeps, per (day window, user, item, action, rating), the first occurrence
-      (``min(struct(ts, event_id))``, update mode, state expired by the watermark); each
-      micro-batch's updated first-occurrences are merged into a versioned current-state table
-      (``v=<batchId>``) under the shared checkpoint folder. A retried batch rewrites its own
-      version, so the sink is idempotent, and restarts resume from the checkpoint.
+      (``min(struct(ts, event_id))``, update mode, state expired by the watermark). Each
+      micro-batch appends only its folded delta; snapshots are compacted every N batches and
+      the current state is snapshot + newer deltas merged by ``max`` (see :func:`run_state`).
 
 Every path lives under ``spark.checkpoint.dir`` (shared storage on a cluster).
 """
@@ -20,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,22 +92,55 @@ def run_dedup(spark: SparkSession, events_path: str, run_id: str | None = None)
     return spark.read.parquet(out)
 
 
-def run_state(spark: SparkSession, events_path: str, run_id: str | None = None) -> DataFrame:
-    """Run ST02 to completion (availableNow); return the current-state table."""
+def read_state(spark: SparkSession, base: str) -> DataFrame | None:
+    """Current state = latest compacted snapshot + every newer per-batch delta, merged by
+    ``max`` per (user, item) — a partial aggregate; ``None`` before the first batch."""
+    upto, parts = -1, []
+    try:
+        snaps = spark.read.parquet(f"{base}/snap")
+        upto = snaps.agg(F.max("upto")).first()[0]
+        parts.append(snaps.where(F.col("upto") == upto).drop("upto"))
+    except AnalysisException:
+        pass
+    try:
+        parts.append(spark.read.parquet(f"{base}/delta").where(F.col("batch") > upto).drop("batch"))
+    except AnalysisException:
+        pass
+    if not parts:
+        return None
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return u.groupBy("user_id", "item_id").agg(F.max("last_rate").alias("last_rate"),
+                                               F.max("last_watch").alias("last_watch"))
+
+
+def run_state(spark: SparkSession, events_path: str, run_id: str | None = None,
+              compact_every: int = 20, max_files: int | None = None) -> DataFrame:
+    """Run ST02 to completion (availableNow); return the current-state table.
+
+    Each micro-batch writes only its own delta (``delta/batch=<id>``: the batch's updated
+    first occurrences folded per key), so the write volume follows the changes, not the state
+    size. Every ``compact_every`` batches the snapshot + deltas are compacted into
+    ``snap/upto=<id>``. Both writes are keyed by the batch id (a retried batch rewrites the
+    same folder) and the merge is an associative ``max``, so retries and restarts from the
+    checkpoint give the same state.
+    """
     rid = run_id or uuid.uuid4().hex
     base, ck = scratch_path(spark, f"st02/{rid}/state"), scratch_path(spark, f"st02/{rid}/ckpt")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        prev = sess.read.parquet(f"{base}/v={batch_id - 1}") if batch_id > 0 else None
-        merge_state(prev, fold_state(batch)).write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+        fold_state(batch).write.mode("overwrite").parquet(f"{base}/delta/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            read_state(sess, base).write.mode("overwrite").parquet(f"{base}/snap/upto={batch_id}")
 
-    firsts = first_occurrences(action_stream(spark, events_path))
+    firsts = first_occurrences(action_stream(spark, events_path, max_files))
     q = (firsts.writeStream.outputMode("update").option("checkpointLocation", ck)
          .foreachBatch(upsert).trigger(availableNow=True).start())
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return present_state(spark.read.parquet(f"{base}/v={last}"))
+    state = read_state(spark, base)
+    if state is None:
+        raise RuntimeError("the action stream produced no micro-batch")
+    return present_state(state)
 
 
 def batch_dedup(actions: DataFrame) -> DataFrame:

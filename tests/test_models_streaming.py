@@ -178,3 +178,19 @@ def test_elastic_net_on_real_features_matches_coordinate_descent(spark):
     m = md.SkElasticNet(alpha=0.05, l1Ratio=0.5).fit(tr)
     assert np.count_nonzero(w) > 0
     assert np.allclose(m.coefficients.toArray(), w, atol=1e-4)
+
+
+def test_stream_state_over_many_batches_with_compaction(spark, tmp_path):
+    """Three time-ordered files, one per micro-batch, compaction every two batches: the
+    snapshot + delta state equals the batch twin."""
+    ev = tb.table(spark, SF001, "events")
+    src = str(tmp_path / "events_src")
+    bounds = ev.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (bounds["b"] - bounds["a"]) / 3
+    for i in range(3):
+        lo, hi = bounds["a"] + step * i, bounds["a"] + step * (i + 1)
+        part = ev.where((F.col("ts") >= lo) & ((F.col("ts") < hi) if i < 2 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(src)
+    s = st.run_state(spark, src, compact_every=2, max_files=1)
+    b = st.batch_state(tb.actions(spark, SF001))
+    assert s.count() == b.count() and s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
