@@ -122,22 +122,35 @@ class FittedFeatures:
 def fit(train: DataFrame, spec: FeatureSpec = RESEARCH) -> FittedFeatures:
     """Fit every statistic on ``train`` (medians, director top-K, numeric mean/std, token
     vocabulary). Four passes over the training rows, so they are persisted (memory, spilling
-    to disk) for the duration of the fit and released after."""
+    to disk) for the duration of the fit and released after. Independent passes run as
+    concurrent Spark jobs: medians ∥ director top-K, then standardiser ∥ vocabulary (both need
+    the first two)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark import StorageLevel
 
     cached = train.storageLevel == StorageLevel.NONE
     if cached:
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        med = fit_medians(train, spec)
-        dirs = ([r["director"] for r in top_directors(train, spec.top_dir_k).collect()]
-                if "directors" in train.columns and spec.top_dir_k > 0 else [])
-        ff = FittedFeatures(spec, med, dirs)
-        base = base_features(train, ff)
-        if spec.standardize:
-            ff.scaler = fit_standardizer(base)
+
+    def dirs_job():
+        if "directors" not in train.columns or spec.top_dir_k <= 0:
+            return []
+        return [r["director"] for r in top_directors(train, spec.top_dir_k).collect()]
+
+    def vocab_job(base):
         toks = base.select(F.explode(category_tokens(ff)).alias("t")).distinct()
-        ff.cat_vocabulary = [r["t"] for r in toks.orderBy("t").collect()]
+        return [r["t"] for r in toks.orderBy("t").collect()]
+
+    try:
+        with ThreadPoolExecutor(2) as pool:
+            med_f, dirs_f = pool.submit(fit_medians, train, spec), pool.submit(dirs_job)
+            ff = FittedFeatures(spec, med_f.result(), dirs_f.result())
+            base = base_features(train, ff)
+            sc_f = pool.submit(fit_standardizer, base) if spec.standardize else None
+            voc_f = pool.submit(vocab_job, base)
+            ff.scaler = sc_f.result() if sc_f else None
+            ff.cat_vocabulary = voc_f.result()
     finally:
         if cached:
             train.unpersist()
