@@ -22,7 +22,7 @@ from ..functions.constants import GENRES
 from ..session import scratch_path
 
 # bump when a view definition changes, so stale materialisations are not read
-BINDING_VERSION = "1"
+BINDING_VERSION = "2"
 
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
