@@ -6,8 +6,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, packing, token_counts
-from .common import bounded_batches, read_table
+from . import bpe_trie, html_text, packing, quality, secrets, token_counts, warc
+from .common import bounded_batches, read_table, shared_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,28 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark, rows=5000)
     return bpe_trie.round_trip(read_table(spark, sf_dir, "documents"),
                                tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return quality.rate(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    path = shared_path(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
