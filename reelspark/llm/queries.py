@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, html_text, near_dup, packing, quality, secrets, token_counts, warc
+from . import bpe_trie, html_text, near_dup, packing, quality, secrets, suffix_dedup, token_counts, warc
 from .common import bounded_batches, read_table, shared_path
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return near_dup.link(read_table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return suffix_dedup.measure(read_table(spark, sf_dir, "documents"))
