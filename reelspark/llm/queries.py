@@ -6,7 +6,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, html_text, near_dup, packing, quality, secrets, suffix_dedup, token_counts, warc
+from . import (bpe_trie, collision_ann, html_text, near_dup, packing, quality, secrets, suffix_dedup,
+               token_counts, warc)
 from .common import bounded_batches, read_table, shared_path
 
 QUERIES: dict = {}
@@ -79,3 +80,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return suffix_dedup.measure(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return collision_ann.search(read_table(spark, sf_dir, "embeddings"))
