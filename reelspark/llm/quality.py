@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: (bytes from, lowest ratio, highest ratio) of whole texts; below the first no band holds.
-BANDS = ((200, 0.25, 0.95), (1_000, 0.20, 0.85), (5_000, 0.15, 0.80))
+BANDS = ((200, 0.25, 0.95), (1_000, 0.20, 0.80), (5_000, 0.15, 0.75))
 #: Size of the fixed chunks, and their band.
 CHUNK_BYTES, CHUNK_BAND = 4_096, (0.12, 0.90)
 

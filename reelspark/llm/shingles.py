@@ -72,10 +72,10 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
             if b - a >= k:
                 out.append(np.unique(rolled[a:b - k + 1]))
             elif b > a:
-                one = _U(b - a) * _BASE
+                one = np.array([b - a], dtype=_U) * _BASE
                 for x in h[a:b]:
-                    one = mix(np.array([one], dtype=_U))[0] ^ x
-                out.append(mix(np.array([one], dtype=_U)))
+                    one = mix(one) ^ x
+                out.append(mix(one))
             else:
                 out.append(np.empty(0, dtype=_U))
             a = b

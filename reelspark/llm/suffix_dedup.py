@@ -370,7 +370,7 @@ def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, g
     rate = min(1.0, SAMPLE / max(total, 1))
 
     def sample(batches):
-        limit = _U(int(rate * (2**64 - 1)))
+        limit = _U(min(int(rate * 2**64), 2**64 - 1))
         for pdf in batches:
             texts_, out = [(t or "").encode() for t in pdf["text"]], []
             keys = [int.from_bytes(k[:8], "little") for k in pdf["key"]]
