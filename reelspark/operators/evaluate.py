@@ -58,7 +58,7 @@ def holdout_hybrid_temporal(tfolds: DataFrame, items: DataFrame, k: int,
     crowd = crowd_signal(F.col("imdb_rating"), 0.0)
     test = tfolds.where(F.col("test_fold").isNotNull()).withColumn("fold", F.col("test_fold"))
     return (test.join(m, ["user_id", "fold"], "left")
-            .join(items.select("item_id", "imdb_rating"), "item_id")
+            .join(items.select("item_id", "imdb_rating"), "item_id", "left")
             .withColumn("pred", w_crowd * F.coalesce(F.col("train_mean"), crowd) + w_user * crowd))
 
 
@@ -69,7 +69,7 @@ def holdout_hybrid(folded: DataFrame, items: DataFrame, w_user: float = 0.7,
     m = out_of_fold_user_mean(folded)
     crowd = crowd_signal(F.col("imdb_rating"), crowd_missing)
     return (folded.join(m, ["user_id", "fold"])
-            .join(items.select("item_id", "imdb_rating"), "item_id")
+            .join(items.select("item_id", "imdb_rating"), "item_id", "left")
             .withColumn("pred", w_crowd * F.coalesce(F.col("train_mean"), crowd) + w_user * crowd))
 
 

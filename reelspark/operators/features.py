@@ -13,14 +13,14 @@ vocabulary. No pivot over tokens anywhere.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import (AS_OF, DEFAULT_CROWD, DEFAULT_RUNTIME, DEFAULT_VOTES,
                                    DEFAULT_YEAR, VOTES_CAP)
-from ..functions.content import clean_name, split_list
+from ..functions.content import split_list
 
 NUMERIC = ["year", "runtime", "imdb", "log_votes", "days_since_first_rate", "age_at_rating_days"]
 
@@ -35,7 +35,6 @@ class FeatureSpec:
     standardize: bool = True
     top_dir_k: int = 30
     as_of: str = AS_OF
-    extra: dict = field(default_factory=dict)
 
 
 RESEARCH = FeatureSpec()
@@ -235,7 +234,7 @@ def _numeric_value(name: str, ff: FittedFeatures) -> Column:
 
 def category_tokens(ff: FittedFeatures) -> Column:
     """X14–X16 as one token array per row: one-hots (``type_…``, ``dec_…``, ``rate_m_…``,
-    ``rate_dow_…``, ``rel_m_…``), genres (``g_…``) and top-K directors (``dir_<clean>``),
+    ``rate_dow_…``, ``rel_m_…``), genres (``g_…``) and top-K directors (``dir_<token>``; the cleaned name is only a label),
     de-duplicated. Applied to a ``base_features`` frame."""
     oh = {
         "type": F.concat(F.lit("type_"), F.coalesce(F.col("title_type"), F.lit("Unknown"))),
@@ -248,8 +247,9 @@ def category_tokens(ff: FittedFeatures) -> Column:
     genres = F.transform(F.col("genre_tokens"), lambda g: F.concat(F.lit("g_"), g))
     top = F.array(*[F.lit(d) for d in ff.top_dirs]) if ff.top_dirs else \
         F.array().cast("array<string>")
+    # keyed by the raw token: two directors whose cleaned names agree stay two features
     dirs = F.transform(F.array_intersect(F.col("director_tokens"), top),
-                       lambda d: F.concat(F.lit("dir_"), clean_name(d)))
+                       lambda d: F.concat(F.lit("dir_"), d))
     return F.array_distinct(F.concat(onehots, genres, dirs))
 
 

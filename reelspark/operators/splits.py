@@ -20,6 +20,8 @@ the single window.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ def shuffle_key(seed: int, id_col: str = "item_id") -> Column:
 def position_in_group(df: DataFrame, by: list[str], bucket: Column, order: list[Column],
                       pos_col: str = "pos", n_col: str = "n") -> DataFrame:
     """Exact 1-based position of each row within ``by`` under ``(bucket, order…)`` ascending,
-    plus the group size; ``bucket`` must be monotone in the order (see module doc)."""
+    plus the group size; ``bucket`` must be monotone in the order (see module doc). NULL keys and
+    buckets are groups of their own: no row is lost."""
     b = df.withColumn("_bk", bucket)
     counts = b.groupBy(*by, "_bk").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by).orderBy("_bk")
@@ -42,9 +45,14 @@ def position_in_group(df: DataFrame, by: list[str], bucket: Column, order: list[
                          (F.sum("_c").over(w) - F.col("_c")).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*by)).alias(n_col))
     local = F.row_number().over(Window.partitionBy(*by, "_bk").orderBy(*order))
-    return (b.join(offs, [*by, "_bk"])
+    # null-safe: ratings outside every bin and rows without an item id keep their place
+    keys = [*by, "_bk"]
+    offs = offs.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(keys)], "_off", n_col)
+    same = functools.reduce(lambda x, y: x & y,
+                            [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(keys)])
+    return (b.join(offs, same)
             .withColumn(pos_col, (F.col("_off") + local).cast("bigint"))
-            .drop("_bk", "_off"))
+            .drop("_bk", "_off", *[f"_r{i}" for i in range(len(keys))]))
 
 
 def md5_bucket(key: Column, hex_digits: int = 3) -> Column:
@@ -128,10 +136,3 @@ def temporal_folds(ratings: DataFrame, k: int = 5, date_col: str = "rated_at") -
     return p.select(*ratings.columns, pos0.cast("bigint").alias("pos"), n.cast("bigint").alias("n"),
                     test.cast("int").alias("test_fold"),
                     first_train.cast("int").alias("first_train_fold"))
-
-
-def fold_sets(folded: DataFrame, k: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(train, validation) frames per fold of a frame with a ``fold`` column."""
-    trains = [folded.where(F.col("fold") != f) for f in range(k)]
-    vals = [folded.where(F.col("fold") == f) for f in range(k)]
-    return trains, vals

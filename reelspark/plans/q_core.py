@@ -210,7 +210,8 @@ SELECT event_id, item_const, action, rating,
        WHEN (rating IS NOT NULL AND NOT (rating BETWEEN 1 AND 10))
             OR (action = 'rate' AND rating IS NULL) THEN 'bad_rating' END AS reason
 FROM (SELECT event_id,
-        'tt' || lpad(json_extract_string(props, '$.k'), 7, '0') AS item_const,
+        'tt' || CASE WHEN length(json_extract_string(props, '$.k')) < 7 THEN lpad(json_extract_string(props, '$.k'), 7, '0')
+             ELSE json_extract_string(props, '$.k') END AS item_const,
         CASE event_type WHEN 'purchase' THEN 'rate' WHEN 'signup' THEN 'watchlist_add'
              WHEN 'error' THEN 'watchlist_remove' ELSE event_type END AS action,
         CASE WHEN event_type = 'purchase' THEN CAST(round_even(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE), 0) AS INT)
@@ -222,14 +223,13 @@ def validate_quarantine(spark, sf_dir):
     clean (NULL reason) or with its quarantine reason."""
     from ..functions.constants import ACTIONS
     from ..functions.scalar import rating_int
-    from ..sources.ingest import validate
+    from ..sources.ingest import tag_invalid
     ev = tb.table(spark, sf_dir, "events")
-    et = F.col("event_type")
+    et, k = F.col("event_type"), F.get_json_object("props", "$.k")
     raw = ev.select(
         "event_id",
-        F.concat(F.lit("tt"), F.lpad(F.get_json_object("props", "$.k"), 7, "0")).alias("item_const"),
+        F.concat(F.lit("tt"), F.when(F.length(k) < 7, F.lpad(k, 7, "0")).otherwise(k)).alias("item_const"),
         F.when(et == "purchase", "rate").when(et == "signup", "watchlist_add")
         .when(et == "error", "watchlist_remove").otherwise(et).alias("action"),
         F.when(et == "purchase", rating_int(F.col("value"))).alias("rating"))
-    clean, bad = validate(raw, "item_const", "rating", "action", ACTIONS)
-    return clean.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+    return tag_invalid(raw, "item_const", "rating", "action", ACTIONS)

@@ -454,7 +454,7 @@ UNION ALL
 SELECT DISTINCT user_id, item_id, 'g_' || tok AS feature, 1.0 AS value
 FROM (SELECT user_id, item_id, unnest({_tok('genres')}) AS tok FROM {src_base})
 UNION ALL
-SELECT DISTINCT user_id, item_id, 'dir_' || {_clean('tok')} AS feature, 1.0 AS value
+SELECT DISTINCT user_id, item_id, 'dir_' || tok AS feature, 1.0 AS value
 FROM (SELECT user_id, item_id, unnest({_tok('directors')}) AS tok FROM {src_base})
 WHERE tok IN (SELECT director FROM (SELECT tok AS director, count(*) AS cnt
       FROM (SELECT unnest({_tok('directors')}) AS tok FROM {train_base}) GROUP BY tok

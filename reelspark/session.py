@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,7 +42,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, taking the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) do we make a fresh private folder. The
+    Only a local session that names none (tests) gets a fresh private folder; on a cluster a
+    missing setting is an error, as executors do not see each other's disks. The
     folder is what ``DataFrame.checkpoint`` and MLlib's ``checkpointInterval`` write to, so it
     must be visible to every executor on a cluster.
     """
@@ -49,6 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         d = tempfile.mkdtemp(prefix="reelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

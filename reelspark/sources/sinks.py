@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 def write_recommendations(recs: DataFrame, path: str, fmt: str = "parquet") -> None:
     """``item_id, score, title_type`` (+ ``user_id``) as Parquet or CSV."""
+    missing = {"item_id", "score", "title_type"} - set(recs.columns)
+    if missing:
+        raise ValueError(f"recommendations lack {', '.join(sorted(missing))}")
     cols = [c for c in ("user_id", "item_id", "score", "title_type") if c in recs.columns]
     w = recs.select(*cols).write.mode("overwrite")
     (w.parquet(path) if fmt == "parquet" else w.option("header", True).csv(path))

@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,9 @@ from ..functions.constants import GENRES
 from ..session import scratch_path
 
 # bump when a view definition changes, so stale materialisations are not read
-BINDING_VERSION = "2"
+BINDING_VERSION = "3"
+# the tables that the normalised ones are built from
+SOURCES = ("lineitem", "orders")
 
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
@@ -86,25 +88,47 @@ def rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
+    """Names, sizes and change times of the source files, as one hash."""
+    jvm, seen = spark._jvm, []
+    for name in tables:
+        root = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+        seen += [f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in files]
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def committed(spark: SparkSession, folder: str) -> str | None:
+    """The first complete table under ``folder`` (its write left ``_SUCCESS``), or None."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    done = [str(f.getPath()) for f in fs.listStatus(root)
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return min(done, default=None)
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Normalise once, scan many times (the S05 → S04 pattern).
 
     The first use writes ``build()`` as Parquet under the shared checkpoint folder, keyed by the
-    source folder and the binding version; every later plan scans that table, so filters and
-    column pruning reach a compact scan instead of re-running the join and de-duplication in
-    each branch of each query. A write that did not commit leaves nothing readable, and the
-    next use rebuilds it.
+    source files (names, sizes, change times) and the binding version; every later plan scans
+    that table, so filters and column pruning reach a compact scan instead of re-running the join
+    and de-duplication in each branch of each query. When the source changes, so does the key.
+    Every write goes to a fresh folder, and only complete ones are read: a half-written table or a
+    second process writing the same one does no harm.
     """
-    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{BINDING_VERSION}".encode()).hexdigest()[:16]
-    path = scratch_path(spark, f"normalized/{key}/{name}.parquet")
-    # one writer per table in this process: concurrent queries wait instead of overwriting
-    # each other's half-written output
-    with _lock_for(path):
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            build().write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
+    state = source_state(spark, sf_dir, SOURCES)
+    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{state}|{BINDING_VERSION}".encode()).hexdigest()[:16]
+    folder = scratch_path(spark, f"normalized/{key}/{name}")
+    # one writer per table in this process: concurrent queries wait for it
+    with _lock_for(folder):
+        path = committed(spark, folder)
+        if path is None:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            build().write.parquet(path)
+        return spark.read.parquet(path)
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

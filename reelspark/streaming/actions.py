@@ -1,16 +1,16 @@
 """Structured Streaming over the action log (ST01, ST02, S11).
 
-ST01  drop repeats of (batch, user, item, action, rating) within one batch id.
-      ``withWatermark(ts) → dropDuplicatesWithinWatermark``: a repeat can only occur inside its
-      batch id (one UTC day), so a one-day delay keeps every repeat in state and lets state for
-      older days expire — state is bounded by one day of distinct keys.
+ST01  drop repeats of (batch_id, user, item, action, rating).
 ST02  fold the log into current state per (user, item): the rating of the latest ``rate`` and
       watchlist membership from the latest add/remove, where a repeat dropped by ST01 does not
-      count (rate 5, 7, 5 in one batch ends at 7).
-      The stream keeps, per (day window, user, item, action, rating), the first occurrence
-      (``min(struct(ts, event_id))``, update mode, state expired by the watermark). Each
-      micro-batch appends only its folded delta; snapshots are compacted every N batches and
-      the current state is snapshot + newer deltas merged by ``max`` (see :func:`run_state`).
+      count (rate 5, 7, 5 in one batch id ends at 7).
+
+Both rest on one table: the *first occurrence* ``min(struct(ts, event_id))`` of every ST01 key.
+Each micro-batch appends the first occurrences among its own rows; a reader merges all deltas
+by ``min`` — associative and commutative, so files may arrive in any order, late by any time, or
+twice (a retried micro-batch rewrites its own folder) and the result is that of one batch run. No
+watermark takes part, so no late row is lost, and the stream holds no operator state: what grows
+is the table, partitioned by ``batch_id`` and compacted every N micro-batches.
 
 Every path lives under ``spark.checkpoint.dir`` (shared storage on a cluster).
 """
@@ -23,8 +23,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.constants import ACTIONS
+from ..functions.scalar import rating_int
 from ..session import scratch_path
 from ..sources import testbind as tb
+from ..sources.ingest import parse_timestamp, validate
+from ..sources.sinks import ACTION_LOG_COLS
 
 DEDUP_KEY = ["batch_id", "user_id", "item_id", "action", "rating"]
 
@@ -38,16 +42,9 @@ def action_stream(spark: SparkSession, events_path: str, max_files: int | None =
     return tb.actions(spark, "", r.parquet(events_path))
 
 
-def dedup_actions(actions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """ST01 on a streaming (or batch) action frame."""
-    return actions.withWatermark("ts", delay).dropDuplicatesWithinWatermark(DEDUP_KEY)
-
-
-def first_occurrences(actions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Earliest (ts, event_id) of every ST01 key; the day window is the batch id in UTC."""
-    return (actions.withWatermark("ts", delay)
-            .groupBy(F.window("ts", "1 day").alias("day"), "user_id", "item_id", "action", "rating")
-            .agg(F.min(F.struct("ts", "event_id")).alias("first")))
+def first_occurrences(actions: DataFrame) -> DataFrame:
+    """Earliest (ts, event_id) of every ST01 key (partial aggregate)."""
+    return actions.groupBy(*DEDUP_KEY).agg(F.min(F.struct("ts", "event_id")).alias("first"))
 
 
 def fold_state(firsts: DataFrame) -> DataFrame:
@@ -64,93 +61,115 @@ def fold_state(firsts: DataFrame) -> DataFrame:
         .alias("last_watch"))
 
 
-def merge_state(prev: DataFrame | None, upd: DataFrame) -> DataFrame:
-    """Full outer merge on (user, item), keeping the later struct per field."""
-    if prev is None:
-        return upd
-    p, u = prev.alias("p"), upd.alias("u")
-    j = p.join(u, ["user_id", "item_id"], "full_outer")
-    return j.select("user_id", "item_id",
-                    F.greatest(F.col("p.last_rate"), F.col("u.last_rate")).alias("last_rate"),
-                    F.greatest(F.col("p.last_watch"), F.col("u.last_watch")).alias("last_watch"))
-
-
 def present_state(state: DataFrame) -> DataFrame:
     return state.select("user_id", "item_id",
                         F.col("last_rate.value").cast("int").alias("current_rating"),
                         F.col("last_watch.value").alias("in_watchlist"))
 
 
-def run_dedup(spark: SparkSession, events_path: str, run_id: str | None = None) -> DataFrame:
-    """Run ST01 to completion (availableNow) into a parquet sink; return the sink's rows."""
-    rid = run_id or uuid.uuid4().hex
-    out, ck = scratch_path(spark, f"st01/{rid}/out"), scratch_path(spark, f"st01/{rid}/ckpt")
-    s = dedup_actions(action_stream(spark, events_path)).select(*DEDUP_KEY)
-    q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing has been written; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
-def read_state(spark: SparkSession, base: str) -> DataFrame | None:
-    """Current state = latest compacted snapshot + every newer per-batch delta, merged by
-    ``max`` per (user, item) — a partial aggregate; ``None`` before the first batch."""
+def read_firsts(spark: SparkSession, base: str) -> DataFrame | None:
+    """First occurrences so far: the latest snapshot and every newer delta, merged by ``min``;
+    ``None`` before the first micro-batch."""
     upto, parts = -1, []
-    try:
-        snaps = spark.read.parquet(f"{base}/snap")
+    snaps = read_if_there(spark, f"{base}/snap")
+    if snaps is not None:
         upto = snaps.agg(F.max("upto")).first()[0]
         parts.append(snaps.where(F.col("upto") == upto).drop("upto"))
-    except AnalysisException:
-        pass
-    try:
-        parts.append(spark.read.parquet(f"{base}/delta").where(F.col("batch") > upto).drop("batch"))
-    except AnalysisException:
-        pass
+    deltas = read_if_there(spark, f"{base}/delta")
+    if deltas is not None:
+        parts.append(deltas.where(F.col("micro_batch") > upto).drop("micro_batch"))
     if not parts:
         return None
     u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return u.groupBy("user_id", "item_id").agg(F.max("last_rate").alias("last_rate"),
-                                               F.max("last_watch").alias("last_watch"))
+    return u.groupBy(*DEDUP_KEY).agg(F.min("first").alias("first"))
 
 
-def run_state(spark: SparkSession, events_path: str, run_id: str | None = None,
-              compact_every: int = 20, max_files: int | None = None) -> DataFrame:
-    """Run ST02 to completion (availableNow); return the current-state table.
-
-    Each micro-batch writes only its own delta (``delta/batch=<id>``: the batch's updated
-    first occurrences folded per key), so the write volume follows the changes, not the state
-    size. Every ``compact_every`` batches the snapshot + deltas are compacted into
-    ``snap/upto=<id>``. Both writes are keyed by the batch id (a retried batch rewrites the
-    same folder) and the merge is an associative ``max``, so retries and restarts from the
-    checkpoint give the same state.
+def run_firsts(spark: SparkSession, actions: DataFrame, run_id: str | None = None,
+               compact_every: int = 20) -> DataFrame:
+    """Run the stream ``actions`` to completion (availableNow); return the first occurrences.
+
+    A micro-batch writes ``delta/micro_batch=<id>``, its own first occurrences, so the write volume
+    follows the new rows. Every ``compact_every`` micro-batches the table is compacted into
+    ``snap/upto=<id>``. Both writes are keyed by the micro-batch, so retries and restarts from
+    the checkpoint give the same table.
     """
     rid = run_id or uuid.uuid4().hex
-    base, ck = scratch_path(spark, f"st02/{rid}/state"), scratch_path(spark, f"st02/{rid}/ckpt")
+    base, ck = scratch_path(spark, f"actions/{rid}/firsts"), scratch_path(spark, f"actions/{rid}/ckpt")
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        sess = batch.sparkSession
-        fold_state(batch).write.mode("overwrite").parquet(f"{base}/delta/batch={batch_id}")
-        if (batch_id + 1) % compact_every == 0:
-            read_state(sess, base).write.mode("overwrite").parquet(f"{base}/snap/upto={batch_id}")
+    def append(batch: DataFrame, micro_batch: int) -> None:
+        first_occurrences(batch).write.mode("overwrite").parquet(f"{base}/delta/micro_batch={micro_batch}")
+        if (micro_batch + 1) % compact_every == 0:
+            read_firsts(batch.sparkSession, base).write.mode("overwrite").parquet(
+                f"{base}/snap/upto={micro_batch}")
 
-    firsts = first_occurrences(action_stream(spark, events_path, max_files))
-    q = (firsts.writeStream.outputMode("update").option("checkpointLocation", ck)
-         .foreachBatch(upsert).trigger(availableNow=True).start())
+    q = (actions.writeStream.outputMode("append").option("checkpointLocation", ck)
+         .foreachBatch(append).trigger(availableNow=True).start())
     q.awaitTermination()
-    state = read_state(spark, base)
-    if state is None:
+    firsts = read_firsts(spark, base)
+    if firsts is None:
         raise RuntimeError("the action stream produced no micro-batch")
-    return present_state(state)
+    return firsts
+
+
+def run_dedup(spark: SparkSession, events_path: str, run_id: str | None = None,
+              max_files: int | None = None) -> DataFrame:
+    """ST01 over a folder of event files; rows in a sink partitioned by ``batch_id``."""
+    rid = run_id or uuid.uuid4().hex
+    firsts = run_firsts(spark, action_stream(spark, events_path, max_files), rid)
+    out = scratch_path(spark, f"actions/{rid}/deduplicated")
+    firsts.select(*DEDUP_KEY).write.mode("overwrite").partitionBy("batch_id").parquet(out)
+    return spark.read.parquet(out).select(*DEDUP_KEY)
+
+
+def run_state(spark: SparkSession, events_path: str, run_id: str | None = None,
+              compact_every: int = 20, max_files: int | None = None) -> DataFrame:
+    """ST02 over a folder of event files; returns the current-state table."""
+    firsts = run_firsts(spark, action_stream(spark, events_path, max_files), run_id, compact_every)
+    return present_state(fold_state(firsts))
 
 
 def batch_dedup(actions: DataFrame) -> DataFrame:
     """ST01 batch twin: the earliest row of each key by (ts, event_id)."""
-    from ..operators.catalog import latest_per_key
-    neg = actions.select("*", (-F.col("event_id")).alias("_neg"),
-                         (-F.unix_micros(F.col("ts"))).alias("_negts"))
-    return latest_per_key(neg, DEDUP_KEY, ["_negts", "_neg"], ["ts", "event_id"])
+    return first_occurrences(actions).select(*DEDUP_KEY, "first.ts", "first.event_id")
 
 
 def batch_state(actions: DataFrame) -> DataFrame:
     """ST02 batch twin (same functions as the stream, on a static frame)."""
     return present_state(fold_state(first_occurrences(actions)))
+
+
+# ----------------------------------------------------------------------------- the log itself
+
+LOG_KEY = ["batch_id", "imdb_const", "action", "rating", "notes"]
+
+
+def read_action_log(spark: SparkSession, path: str, streaming: bool = False,
+                    max_files: int | None = None) -> DataFrame:
+    """Rows of an action log in CSV (``ACTION_LOG_COLS``), all parsed tolerantly; ``ts`` is the
+    parsed ``timestamp_iso``."""
+    schema = ", ".join(f"{c} string" for c in ACTION_LOG_COLS)
+    r = spark.readStream if streaming else spark.read
+    if streaming and max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    rows = r.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return rows.withColumns({"rating": rating_int(F.col("rating")),
+                             "ts": parse_timestamp(F.col("timestamp_iso"))})
+
+
+def clean_action_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P05 and the de-duplication of a log: (first row of every ``LOG_KEY``, quarantine)."""
+    clean, bad = validate(log, "imdb_const", "rating", "action", ACTIONS)
+    first = F.min(F.struct("ts", "timestamp_iso", "source")).alias("first")
+    return (clean.groupBy(*LOG_KEY).agg(first)
+            .select(F.col("first.timestamp_iso"), "imdb_const", "action", "rating", "notes",
+                    F.col("first.source"), "batch_id"), bad)

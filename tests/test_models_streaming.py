@@ -9,6 +9,7 @@ from reelspark.operators import evaluate as ev
 from reelspark.operators import features as fe
 from reelspark.operators import models as md
 from reelspark.operators import splits as sp
+from reelspark.sources import sinks
 from reelspark.sources import testbind as tb
 from reelspark.streaming import actions as st
 
@@ -194,3 +195,47 @@ def test_stream_state_over_many_batches_with_compaction(spark, tmp_path):
     s = st.run_state(spark, src, compact_every=2, max_files=1)
     b = st.batch_state(tb.actions(spark, SF001))
     assert s.count() == b.count() and s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_stream_does_not_depend_on_file_order(spark, tmp_path):
+    """Newest file first, one per micro-batch, and one file twice: late rows are not lost."""
+    ev = tb.table(spark, SF001, "events")
+    bounds = ev.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (bounds["b"] - bounds["a"]) / 3
+    src = str(tmp_path / "late")
+    for i in (2, 1, 0, 2):
+        lo, hi = bounds["a"] + step * i, bounds["a"] + step * (i + 1)
+        part = ev.where((F.col("ts") >= lo) & ((F.col("ts") < hi) if i < 2 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(src)
+    b = st.batch_state(tb.actions(spark, SF001))
+    s = st.run_state(spark, src, compact_every=3, max_files=1)
+    assert s.count() == b.count() and s.exceptAll(b).count() == 0
+    d = st.run_dedup(spark, src, max_files=1)
+    want = st.batch_dedup(tb.actions(spark, SF001)).select(*st.DEDUP_KEY)
+    assert d.count() == want.count() and d.exceptAll(want).count() == 0
+
+
+def test_action_log_is_cleaned(spark, tmp_path):
+    p = tmp_path / "log.csv"
+    p.write_text("timestamp_iso,imdb_const,action,rating,notes,source,batch_id\n"
+                 '2024-02-02T10:00:00Z,tt7000001,rate,8,"said ""yes"", twice",web,b1\n'
+                 '2024-02-02T09:00:00Z,tt7000001,rate,8,"said ""yes"", twice",app,b1\n'
+                 "2024-02-02T10:00:00Z,tt7000001,rate,8,other note,web,b1\n"
+                 "2024-02-03T10:00:00Z,tt7000001,rate,,,web,b2\n2024-02-03T10:00:00Z,tt7,watchlist_add,,,web,b2\n"
+                 "2024-02-03T10:00:00Z,tt7000002,,,,web,b2\n2024-02-03T10:00:00Z,tt7000002,watchlist_add,,,web,b2\n")
+    clean, bad = st.clean_action_log(st.read_action_log(spark, str(p)))
+    assert clean.columns == sinks.ACTION_LOG_COLS
+    got = sorted((r["timestamp_iso"], r["action"], r["rating"], r["notes"]) for r in clean.collect())
+    assert got == [("2024-02-02T09:00:00Z", "rate", 8, 'said "yes", twice'), ("2024-02-02T10:00:00Z", "rate", 8, "other note"),
+                   ("2024-02-03T10:00:00Z", "watchlist_add", None, None)]
+    assert sorted(r["reason"] for r in bad.collect()) == ["bad_action", "bad_id", "bad_rating"]
+
+
+def test_normalised_tables_follow_their_source(spark, tmp_path):
+    folder = str(tmp_path / "sf")
+    for name in ("lineitem", "orders"):
+        tb.table(spark, SF001, name).write.parquet(f"{folder}/{name}.parquet")
+    before = tb.ratings(spark, folder).count()
+    tb.table(spark, SF001, "lineitem").where("l_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    after = tb.ratings(spark, folder).count()
+    assert after < before and after == tb.build_ratings(spark, folder).count()

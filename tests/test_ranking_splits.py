@@ -150,3 +150,13 @@ def test_rating_metrics(spark):
     m = mt.rating_metrics(df, ["fold"]).first()
     assert m["n"] == 3 and m["rmse"] == pytest.approx(math.sqrt(2 / 3))
     assert m["mae"] == pytest.approx(2 / 3) and m["r2"] == pytest.approx(1 - 2 / 8)
+
+
+def test_folds_keep_rows_outside_every_bin_and_null_ids(spark):
+    """NULL, 0-below, 11 and NULL item ids: every row gets a fold."""
+    df = spark.createDataFrame([(1, 1, None), (1, 2, -1), (1, 3, 11), (1, 4, 5), (1, None, 6), (2, None, None)],
+                               "user_id long, item_id long, my_rating int")
+    for f in (sp.stratified_folds(df, 3, 1), sp.even_bin_folds(df, 3, 1), sp.plain_folds(df, 3, 1)):
+        rows = f.collect()
+        assert len(rows) == 6 and all(r["fold"] is not None for r in rows)
+    assert sp.split_train_validation(df).count() == 6
