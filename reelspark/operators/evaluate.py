@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_rating, crowd_signal, r6
 from . import metrics as mt
+from .salting import join_stats
 
 
 def out_of_fold_user_mean(folded: DataFrame, by: str = "user_id") -> DataFrame:
@@ -26,13 +27,20 @@ def out_of_fold_user_mean(folded: DataFrame, by: str = "user_id") -> DataFrame:
                                   .alias("train_mean"))
 
 
-def out_of_fold_global_mean(folded: DataFrame) -> DataFrame:
-    """fold → mean rating of all other folds (A20's training mean)."""
-    f = folded.groupBy("fold").agg(F.sum("my_rating").alias("_s"), F.count("my_rating").alias("_c"))
-    tot = folded.agg(F.sum("my_rating").alias("_ts"), F.count("my_rating").alias("_tc")).first()
-    rest = F.lit(tot["_tc"]) - F.col("_c")
-    return f.select("fold", F.when(rest > 0, (F.lit(tot["_ts"]) - F.col("_s")) / rest)
-                    .alias("train_mean"))
+def mean_predictor(folded: DataFrame) -> DataFrame:
+    """Fold → mean rating of all other folds, and its RMSE on the fold.
+
+    From n, Σy and Σy² of each fold alone: Σ(m − y)² = n·m² − 2m·Σy + Σy². No row is joined.
+    """
+    from pyspark.sql import Window
+    y = F.col("my_rating").cast("double")
+    f = folded.groupBy("fold").agg(F.sum(y).alias("_s"), F.sum(y * y).alias("_q"), F.count("my_rating").alias("_c"))
+    every = Window.partitionBy()  # over one row per fold
+    rest = F.sum("_c").over(every) - F.col("_c")
+    m = F.when(rest > 0, (F.sum("_s").over(every) - F.col("_s")) / rest)
+    sse = F.col("_c") * F.col("train_mean") * F.col("train_mean") - 2 * F.col("train_mean") * F.col("_s") + F.col("_q")
+    return (f.withColumn("train_mean", m)
+            .select("fold", "train_mean", F.sqrt(F.greatest(F.try_divide(sse, F.col("_c")), F.lit(0.0))).alias("rmse")))
 
 
 def temporal_user_mean(tfolds: DataFrame, k: int) -> DataFrame:
@@ -57,7 +65,7 @@ def holdout_hybrid_temporal(tfolds: DataFrame, items: DataFrame, k: int,
     m = temporal_user_mean(tfolds, k)
     crowd = crowd_signal(F.col("imdb_rating"), 0.0)
     test = tfolds.where(F.col("test_fold").isNotNull()).withColumn("fold", F.col("test_fold"))
-    return (test.join(m, ["user_id", "fold"], "left")
+    return (join_stats(test, m, ["user_id", "fold"], "left")
             .join(items.select("item_id", "imdb_rating"), "item_id", "left")
             .withColumn("pred", w_crowd * F.coalesce(F.col("train_mean"), crowd) + w_user * crowd))
 
@@ -68,7 +76,7 @@ def holdout_hybrid(folded: DataFrame, items: DataFrame, w_user: float = 0.7,
     own fold's model): ``w_crowd·train_mean + w_user·crowd``; no training rating → crowd."""
     m = out_of_fold_user_mean(folded)
     crowd = crowd_signal(F.col("imdb_rating"), crowd_missing)
-    return (folded.join(m, ["user_id", "fold"])
+    return (join_stats(folded, m, ["user_id", "fold"], "left")
             .join(items.select("item_id", "imdb_rating"), "item_id", "left")
             .withColumn("pred", w_crowd * F.coalesce(F.col("train_mean"), crowd) + w_user * crowd))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import (AS_OF, DEFAULT_CROWD, DEFAULT_RUNTIME, DEFAULT_VOTES,
                                    DEFAULT_YEAR, VOTES_CAP)
 from ..functions.content import split_list
+from .salting import join_stats
 
 NUMERIC = ["year", "runtime", "imdb", "log_votes", "days_since_first_rate", "age_at_rating_days"]
 
@@ -190,7 +191,7 @@ def base_features(df: DataFrame, ff: FittedFeatures) -> DataFrame:
     out = df
     if "rated_at" in cols and "user_id" in cols:
         first = df.groupBy("user_id").agg(F.min("rated_at").alias("_first"))
-        out = out.join(first, "user_id", "left")
+        out = join_stats(out, first, ["user_id"], "left")
         d = F.col("rated_at")
         days = F.coalesce(F.datediff(d, F.col("_first")).cast("double"), F.lit(0.0))
     else:
@@ -272,10 +273,22 @@ def long_features(df: DataFrame, ff: FittedFeatures, keys=("user_id", "item_id")
             .select(*keys, "f.feature", F.coalesce("f.value", F.lit(0.0)).alias("value")))
 
 
-def align(long_df: DataFrame, vocabulary: DataFrame, how: str = "left_semi") -> DataFrame:
-    """J08 in long form: (a) ``left_semi`` keeps only training features (missing ones are the
-    implicit zeros of a sparse row, extras dropped); (b) ``full`` gives the union space."""
-    return long_df.join(vocabulary.select("feature"), "feature", how)
+def align(long_df: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """J08a in long form: keep only training features (missing ones are the implicit zeros of a
+    sparse row, extras dropped)."""
+    return long_df.join(vocabulary.select("feature"), "feature", "left_semi")
+
+
+def union_space(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The union feature space of two long frames: ``feature``, and on how many rows of either
+    side it has a value (``rows_a``, ``rows_b``; 0 where a side lacks it).
+
+    Absent values are 0.0 without being stored: ``vectorize`` over these names gives the zero-filled
+    rows of both sides as sparse vectors, so no row is multiplied by the number of features.
+    """
+    side = lambda x, n: x.groupBy("feature").agg(F.count("*").alias(n))
+    j = side(a, "rows_a").join(side(b, "rows_b"), "feature", "full_outer")
+    return j.select("feature", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("rows_a", "rows_b")])
 
 
 def vectorize(df: DataFrame, ff: FittedFeatures, out: str = "features") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MOVIE_TYPES, TV_TYPES, WHY_BLEND_DEFAULT
+from .salting import join_stats
 
 
 def exclude_rated(candidates: DataFrame, ratings: DataFrame,
@@ -98,8 +99,8 @@ def normalize_scores(scores: DataFrame, by: list[str] | None = None, col: str =
     0.5 for the whole group.
 
     The bounds come from a partial ``groupBy`` (one row per group) joined back on the group
-    key, not from an unbounded window, so a hot user is aggregated map-side and AQE's skew
-    join splits its rows across tasks.
+    key in salted parts, not from an unbounded window, so a hot user is aggregated map-side and
+    its rows are spread over tasks.
     """
     by = by or ["user_id"]
     b = scores.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
@@ -107,7 +108,7 @@ def normalize_scores(scores: DataFrame, by: list[str] | None = None, col: str =
     finite = ~(F.isnan(lo) | F.isnan(hi) | (F.abs(lo) == float("inf"))
                | (F.abs(hi) == float("inf")))
     val = F.when(finite & ((hi - lo) > 0), (F.col(col) - lo) / (hi - lo)).otherwise(F.lit(0.5))
-    return scores.join(b, by).withColumn(out, val).drop("_lo", "_hi")
+    return join_stats(scores, b, by).withColumn(out, val).drop("_lo", "_hi")
 
 
 def blend(*algo_scores: DataFrame, key: list[str] | None = None) -> DataFrame:

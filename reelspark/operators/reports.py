@@ -99,14 +99,13 @@ def feature_target_corr(long_df: DataFrame, target: DataFrame, n_rows: int | Non
     """A10: Pearson correlation of every feature with the target, where a feature absent from
     a row counts as 0 (long form stores only non-zeros). From the sums Σx, Σx², Σxy per feature
     (partial groupBy over the long rows) and the global n, Σy, Σy² (one aggregate row); NaN /
-    undefined correlations dropped; top ``top`` by |corr| (ties by feature name)."""
-    key = [c for c in ("user_id", "item_id") if c in long_df.columns]
-    t = target.select(*key, F.col("y").cast("double").alias("y"))
+    undefined correlations dropped; top ``top`` by |corr| (ties by feature name). ``long_df`` carries
+    the target as column ``y`` beside every feature, so nothing is joined; an empty target gives no rows."""
+    t = target.select(F.col("y").cast("double").alias("y"))
     g = t.agg(F.count("*").alias("n"), F.sum("y").alias("sy"),
               F.sum(F.col("y") * F.col("y")).alias("syy")).first()
-    n, sy, syy = float(g["n"]), g["sy"], g["syy"]
-    j = long_df.join(t, key)
-    s = j.groupBy("feature").agg(F.sum("value").alias("sx"),
+    n, sy, syy = float(g["n"] or 1), g["sy"] or 0.0, g["syy"] or 0.0
+    s = long_df.withColumn("y", F.col("y").cast("double")).groupBy("feature").agg(F.sum("value").alias("sx"),
                                  F.sum(F.col("value") * F.col("value")).alias("sxx"),
                                  F.sum(F.col("value") * F.col("y")).alias("sxy"))
     cov = F.col("sxy") - F.col("sx") * F.lit(sy) / n

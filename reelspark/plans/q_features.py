@@ -10,6 +10,7 @@ from ..functions.scalar import (bounded_scale, clip_rating, crowd_signal, hybrid
                                 pred_to_score, r6, recency_weight)
 from ..functions.scalar import r6_sql as R
 from ..operators import features as fe
+from ..operators.salting import join_stats
 from ..sources import testbind as tb
 from .registry import query
 
@@ -142,10 +143,13 @@ SELECT field, token, CAST(row_number() OVER (PARTITION BY field ORDER BY token)
 FROM (SELECT DISTINCT 'genres' AS field, unnest({_tok('genres')}) AS token FROM items
       UNION SELECT DISTINCT 'title_type', title_type FROM items WHERE title_type IS NOT NULL
       UNION SELECT DISTINCT 'decade', CAST(CAST(floor(year / 10) * 10 AS INT) AS VARCHAR)
-            FROM items WHERE year IS NOT NULL)""", "items"))
+            FROM items WHERE year IS NOT NULL
+      UNION SELECT DISTINCT 'rate_month', CAST(month(rated_at) AS VARCHAR) FROM ratings WHERE rated_at IS NOT NULL
+      UNION SELECT DISTINCT 'rate_dow', CAST((dayofweek(rated_at) + 6) % 7 AS VARCHAR)
+            FROM ratings WHERE rated_at IS NOT NULL)""", "items", "ratings"))
 def vocabulary(spark, sf_dir):
-    """Distinct sorted tokens per categorical field, indexed from 1 (bounded domains:
-    the per-field window runs over distinct values only)."""
+    """Distinct sorted tokens of the five categorical fields, indexed from 1; the per-field
+    window runs over distinct values only."""
     it = tb.items(spark, sf_dir)
     g = it.select(F.lit("genres").alias("field"), F.explode(cv.split_list("genres")).alias("token"))
     t = it.where(F.col("title_type").isNotNull()).select(F.lit("title_type").alias("field"),
@@ -154,7 +158,10 @@ def vocabulary(spark, sf_dir):
         F.lit("decade").alias("field"),
         (F.floor(F.col("year") / 10) * 10).cast("int").cast("string").alias("token"))
     from pyspark.sql import Window
-    v = g.unionByName(t).unionByName(d).distinct()
+    r = tb.ratings(spark, sf_dir).where(F.col("rated_at").isNotNull())
+    m = r.select(F.lit("rate_month").alias("field"), F.month("rated_at").cast("string").alias("token"))
+    w = r.select(F.lit("rate_dow").alias("field"), F.weekday("rated_at").cast("string").alias("token"))
+    v = g.unionByName(t).unionByName(d).unionByName(m).unionByName(w).distinct()
     return v.withColumn("idx", F.row_number().over(
         Window.partitionBy("field").orderBy("token")).cast("bigint"))
 
@@ -252,7 +259,7 @@ def cosine_embeddings(spark, sf_dir):
            .groupBy("label")
            .agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_c"))
            .select("label", F.transform("_c", lambda s: s["m"]).alias("centroid")))
-    j = emb.join(cen, "label")
+    j = join_stats(emb, cen, ["label"])
     return j.select("vec_id", "label", r6(cv.cosine("vec", "centroid")).alias("cosine"))
 
 
@@ -302,7 +309,7 @@ def _seed_sim(spark, sf_dir):
                                              ["user_id", "item_id"], "left_anti")
     iv = cv.with_content_vector(it.select("item_id", "genres", "year"), out="vec") \
         .select("item_id", "vec")
-    return cand.join(sv, "user_id").join(iv, "item_id").select(
+    return join_stats(cand, sv, ["user_id"]).join(iv, "item_id").select(
         "user_id", "item_id", cv.seed_similarity("seed_vec", "vec").alias("similarity"))
 
 
@@ -335,7 +342,7 @@ def explanations(spark, sf_dir):
                                              ["user_id", "item_id"], "left_anti")
     um = r.groupBy("user_id").agg(F.avg("my_rating").alias("m"))
     pred = hybrid_signal(F.lit(None), F.col("m"), crowd_signal("imdb_rating"))
-    p = (cand.join(it.select("item_id", "imdb_rating"), "item_id").join(um, "user_id", "left")
+    p = (join_stats(cand.join(it.select("item_id", "imdb_rating"), "item_id", "left"), um, ["user_id"], "left")
          .join(_seed_sim(spark, sf_dir), ["user_id", "item_id"], "left")
          .select("user_id", "item_id", pred.alias("pred"), "similarity"))
     why = F.concat_ws("; ", F.when(F.col("similarity") > 0.6, F.lit(WHY_SEED)),
@@ -370,7 +377,7 @@ def hybrid_signal_q(spark, sf_dir):
     c = catalog(r.select("user_id", "item_id", "my_rating"), tb.watchlist(spark, sf_dir)) \
         .select("user_id", "item_id", "my_rating")
     um = r.groupBy("user_id").agg(F.avg("my_rating").alias("m"))
-    j = c.join(it.select("item_id", "imdb_rating"), "item_id").join(um, "user_id", "left")
+    j = join_stats(c.join(it.select("item_id", "imdb_rating"), "item_id", "left"), um, ["user_id"], "left")
     h = hybrid_signal("my_rating", "m", crowd_signal("imdb_rating"))
     return j.select("user_id", "item_id", "my_rating", r6(h).alias("hybrid"))
 
@@ -423,8 +430,8 @@ def scale_predictions(spark, sf_dir):
     r, it = tb.ratings(spark, sf_dir), tb.items(spark, sf_dir)
     um = r.groupBy("user_id").agg(F.avg("my_rating").alias("m"),
                                   F.stddev_pop("my_rating").alias("sd"))
-    p = (tb.watchlist(spark, sf_dir).join(it.select("item_id", "imdb_rating"), "item_id")
-         .join(um, "user_id", "left")
+    w = tb.watchlist(spark, sf_dir).join(it.select("item_id", "imdb_rating"), "item_id", "left")
+    p = (join_stats(w, um, ["user_id"], "left")
          .withColumn("pred", hybrid_signal(F.lit(None), F.col("m"), crowd_signal("imdb_rating"))))
     return p.select("user_id", "item_id", r6("pred").alias("pred"),
                     r6(pred_to_score("pred")).alias("score"),
@@ -486,3 +493,30 @@ def features_aligned(spark, sf_dir):
     vocab = ri.sparkSession.createDataFrame([(v,) for v in ff.vocabulary], "feature string")
     al = fe.align(wl, vocab)
     return al.select("user_id", "item_id", "feature", r6("value").alias("value"))
+
+
+@query("features_union", tb.with_views(f"""{RI_CTE}{WI_CTE}{base_sql('ri', 'ri', 'b')}{_std_sql('b')}
+{base_sql('wi', 'ri', 'wb')},
+tl AS ({_features_long_sql('b', 'ri', 'st')}),
+wl AS ({_features_long_sql('wb', 'ri', 'st')}),
+a AS (SELECT feature, count(*) AS n FROM tl GROUP BY feature),
+w AS (SELECT feature, count(*) AS n FROM wl GROUP BY feature)
+SELECT coalesce(a.feature, w.feature) AS feature, CAST(coalesce(a.n, 0) AS BIGINT) AS rows_a,
+  CAST(coalesce(w.n, 0) AS BIGINT) AS rows_b
+FROM a FULL OUTER JOIN w ON a.feature = w.feature""", "items", "ratings", "watchlist"))
+def features_union(spark, sf_dir):
+    """J08(b): the union feature space of rated and watchlist items."""
+    ri, ff = _research(spark, sf_dir)
+    return fe.union_space(fe.long_features(ri, ff),
+                          fe.long_features(watch_items(spark, sf_dir).drop("my_rating"), ff))
+
+
+@query("target_stats", tb.with_views(f"""
+SELECT user_id, count(*) AS n, {R('avg(my_rating)')} AS mean, {R('stddev_pop(my_rating)')} AS std,
+  min(my_rating) AS min_rating, max(my_rating) AS max_rating FROM ratings GROUP BY user_id""", "ratings"))
+def target_stats(spark, sf_dir):
+    """Count, mean, population std, min and max of every user's ratings."""
+    y = F.col("my_rating")
+    return tb.ratings(spark, sf_dir).groupBy("user_id").agg(
+        F.count("*").alias("n"), r6(F.avg(y)).alias("mean"), r6(F.stddev_pop(y)).alias("std"),
+        F.min(y).alias("min_rating"), F.max(y).alias("max_rating"))

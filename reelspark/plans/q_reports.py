@@ -10,6 +10,7 @@ from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import metrics as mt
 from ..operators import reports as rp
+from ..operators.salting import join_stats
 from ..sources import testbind as tb
 from . import q_features as qf
 from . import q_splits as qs
@@ -93,8 +94,8 @@ def _watch_preds(spark, sf_dir):
     um = r.groupBy("user_id").agg(F.avg("my_rating").alias("m"))
     cand = tb.watchlist(spark, sf_dir).join(r.select("user_id", "item_id"),
                                              ["user_id", "item_id"], "left_anti")
-    return (cand.join(it.select("item_id", "title_type", "imdb_rating"), "item_id")
-            .join(um, "user_id", "left")
+    meta = it.select("item_id", "title_type", "imdb_rating")
+    return (join_stats(cand.join(meta, "item_id", "left"), um, ["user_id"], "left")
             .select("user_id", "item_id", "title_type",
                     hybrid_signal(F.lit(None), F.col("m"), crowd_signal("imdb_rating")).alias("pred")))
 
@@ -119,6 +120,16 @@ def by_type(spark, sf_dir):
     return _r6_all(rp.by_type(_watch_preds(spark, sf_dir)), ["title_type", "cnt"])
 
 
+@query("prediction_summary", tb.with_views(f"""{WATCH_SQL}
+SELECT user_id, count(*) AS n, {R('avg(pred)')} AS mean_pred, {R('max(pred)')} AS max_pred,
+  {R('min(pred)')} AS min_pred FROM wp GROUP BY user_id""", "items", "ratings", "watchlist"))
+def prediction_summary(spark, sf_dir):
+    """Count, mean, max and min of every user's watchlist predictions."""
+    return _watch_preds(spark, sf_dir).groupBy("user_id").agg(
+        F.count("*").alias("n"), r6(F.avg("pred")).alias("mean_pred"),
+        r6(F.max("pred")).alias("max_pred"), r6(F.min("pred")).alias("min_pred"))
+
+
 # ----------------------------------------------------------------------------- M09
 
 @query("model_overlap", tb.with_views(f"""{WATCH_SQL},
@@ -164,8 +175,9 @@ ORDER BY abs(corr) DESC, feature LIMIT 10""", "items", "ratings"))
 def feature_corr(spark, sf_dir):
     """A10: top-10 features by |corr| with the rating (absent feature = 0)."""
     ri, ff = qf._research(spark, sf_dir)
-    lf = fe.long_features(ri, ff)
-    t = ri.select("user_id", "item_id", F.col("my_rating").alias("y"))
+    # the target rides along as a key of the long rows, so nothing is joined back
+    lf = fe.long_features(ri.withColumn("y", F.col("my_rating")), ff, ("user_id", "item_id", "y"))
+    t = ri.select(F.col("my_rating").alias("y"))
     c = rp.feature_target_corr(lf, t)
     return c.select("feature", r6("corr").alias("corr"))
 

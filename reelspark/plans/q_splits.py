@@ -215,10 +215,7 @@ base AS (SELECT f.fold, gm.train_mean,
 
 
 def _baseline(spark, sf_dir):
-    f = folded(spark, sf_dir)
-    gm = ev.out_of_fold_global_mean(f)
-    e = F.col("train_mean") - F.col("my_rating")
-    return f.join(gm, "fold").groupBy("fold", "train_mean").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return ev.mean_predictor(folded(spark, sf_dir))
 
 
 @query("baseline_mean", tb.with_views(f"""{folded_sql()}{BASELINE_SQL}

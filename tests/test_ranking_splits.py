@@ -107,7 +107,10 @@ def test_cv_anchor_mean_predictor(spark):
     r = spark.createDataFrame([(0, i + 1, v, dt.date(2021, 1, i + 1)) for i, v in enumerate([1, 2, 9, 10])],
                               RSCHEMA)
     f = sp.stratified_folds(r, k=2)
-    gm = ev.out_of_fold_global_mean(f)
+    gm = ev.mean_predictor(f)
+    assert {round(r["rmse"], 9) for r in gm.collect()} == {
+        round(r["rmse"], 9) for r in f.join(gm.drop("rmse"), "fold").groupBy("fold").agg(
+            F.sqrt(F.avg(F.pow(F.col("train_mean") - F.col("my_rating"), 2))).alias("rmse")).collect()}
     pred = f.join(gm, "fold").select("fold", F.col("my_rating").cast("double").alias("y"),
                                      F.col("train_mean").alias("p"))
     m = mt.rating_metrics(pred, ["fold"]).withColumn("model", F.lit("mean"))
