@@ -233,3 +233,44 @@ def validate_quarantine(spark, sf_dir):
         .when(et == "error", "watchlist_remove").otherwise(et).alias("action"),
         F.when(et == "purchase", rating_int(F.col("value"))).alias("rating"))
     return tag_invalid(raw, "item_const", "rating", "action", ACTIONS)
+
+
+# ---------------------------------------------------------------- the library path
+
+def _pipeline_sql(before: bool) -> str:
+    only = f"title_type IN ({MOVIES_SQL})"
+    return tb.with_views(f""",
+{_HYBRID_SQL.strip()},
+parts AS (SELECT user_id, item_id, 'hybrid' AS algo, score FROM scored UNION ALL
+  SELECT w.user_id, w.item_id, 'crowd', {R('coalesce(i.imdb_rating, 0.0)')} FROM watchlist w
+  LEFT JOIN items i ON i.item_id = w.item_id
+  WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = w.user_id AND r.item_id = w.item_id)),
+pb AS (SELECT user_id, algo, min(score) AS lo, max(score) AS hi FROM parts GROUP BY user_id, algo),
+blended AS (SELECT p.user_id, p.item_id, {R('avg(CASE WHEN hi - lo > 0 THEN (score - lo) / (hi - lo) ELSE 0.5 END)')} AS score
+  FROM parts p JOIN pb ON pb.user_id = p.user_id AND pb.algo = p.algo GROUP BY p.user_id, p.item_id),
+ranked AS (SELECT b.*, i.title, i.year, i.genres, i.title_type, CAST(row_number() OVER (PARTITION BY b.user_id
+    ORDER BY b.score DESC NULLS LAST, coalesce(CAST(i.num_votes AS DOUBLE), 0) DESC,
+    coalesce(CAST(i.year AS DOUBLE), 0) DESC, b.item_id ASC) AS BIGINT) AS rank
+  FROM blended b LEFT JOIN items i ON i.item_id = b.item_id {f"WHERE {only}" if before else ""})
+SELECT user_id, rank, item_id, coalesce(title, '') AS title, year, coalesce(genres, '') AS genres, title_type, score,
+  '{WHY_BLEND_DEFAULT}' AS why_explainer
+FROM ranked WHERE rank <= 10 {"" if before else f"AND {only}"}""", "items", "ratings", "watchlist")
+
+
+def _pipeline(spark, sf_dir, before: bool):
+    from ..operators import algorithms as al
+    data = al.Dataset(tb.ratings(spark, sf_dir), tb.watchlist(spark, sf_dir), tb.items(spark, sf_dir))
+    return al.recommend(data, ["hybrid", "crowd"], k=10, content_type="movies", filter_before=before,
+                        movie_types=TEST_MOVIE_TYPES, tv_types=TEST_TV_TYPES)
+
+
+@query("pipeline_recommend", _pipeline_sql(True))
+def pipeline_recommend(spark, sf_dir):
+    """§2.10: two algorithms by name, normalised, blended, filtered, top 10."""
+    return _pipeline(spark, sf_dir, True)
+
+
+@query("pipeline_recommend_after", _pipeline_sql(False))
+def pipeline_recommend_after(spark, sf_dir):
+    """As ``pipeline_recommend`` with the content filter after the top-k."""
+    return _pipeline(spark, sf_dir, False)

