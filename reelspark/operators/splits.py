@@ -26,6 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import EVEN_EDGES, EVEN_LABELS, STRAT_EDGES
+from .salting import join_stats
+
+#: Rows of a user in a month from which on the month is numbered in finer buckets.
+CROWDED = 100_000
 
 
 def shuffle_key(seed: int, id_col: str = "item_id") -> Column:
@@ -122,10 +126,15 @@ def temporal_folds(ratings: DataFrame, k: int = 5, date_col: str = "rated_at") -
     ``pos`` (0-based), ``test_fold`` (NULL for rows never tested) and ``first_train_fold`` —
     the first fold whose training set contains it; rows with ``t = 0`` get neither.
     """
-    # ordered bucket (date, item-id prefix): monotone in (date, item_id), so a user with many
-    # ratings on one day is still numbered across tasks
-    bucket = F.struct(F.col(date_col), order_prefix("item_id", ratings))
-    p = position_in_group(ratings, ["user_id"], bucket, [F.col("item_id")])
+    # Ordered bucket: the month, and inside crowded months the date and an item-id prefix. Both are
+    # monotone in (date, item_id), so a user with many ratings in a month, or on one day, is still
+    # numbered across tasks, while the table of counts has a row per user and month.
+    month = F.trunc(F.col(date_col), "month")
+    crowded = (ratings.groupBy("user_id", month.alias("_month")).agg(F.count("*").alias("_n"))
+               .where(F.col("_n") > CROWDED).select("user_id", "_month", F.lit(True).alias("_crowded")))
+    rows = join_stats(ratings.withColumn("_month", month), crowded, ["user_id", "_month"], "left")
+    fine = F.when(F.col("_crowded"), F.struct(F.col(date_col).alias("d"), order_prefix("item_id", ratings).alias("p")))
+    p = position_in_group(rows, ["user_id"], F.struct(F.col("_month"), fine), [F.col(date_col), F.col("item_id")])
     n, t = F.col("n"), F.floor(F.col("n") / (k + 1))
     pos0 = F.col("pos") - 1
     start = n - k * t

@@ -15,8 +15,10 @@ def _plan(df) -> str:
 
 
 def _final_plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()
-    return _plan(df)
+    df.collect()  # the frame's own execution, so that the adaptive plan is the one that ran
+    p = _plan(df)
+    assert "isFinalPlan=true" in p
+    return p
 
 
 def test_top_k_uses_window_group_limit(spark):

@@ -155,6 +155,20 @@ def test_rating_metrics(spark):
     assert m["mae"] == pytest.approx(2 / 3) and m["r2"] == pytest.approx(1 - 2 / 8)
 
 
+def test_temporal_folds_of_crowded_months(spark, monkeypatch):
+    """Finer buckets in crowded months number the rows as one window over the user does."""
+    import datetime as dt
+    rows = [(u, i, 1 + i % 10, dt.date(2020, 1 + i % 2, 1 + (i * 7) % 3)) for u in (1, 2) for i in range(u * 60)]
+    df = spark.createDataFrame(rows, RSCHEMA)
+    plain = sorted(map(tuple, sp.temporal_folds(df, 3).collect()))
+    monkeypatch.setattr(sp, "CROWDED", 20)
+    assert sorted(map(tuple, sp.temporal_folds(df, 3).collect())) == plain
+    order = sorted((r[0], r[3], r[1]) for r in rows)
+    want = {(u, i): sum(1 for x in order if x[0] == u and x < (u, d, i)) for u, d, i in order}
+    cols = sp.temporal_folds(df, 3).columns
+    assert {(r[0], r[1]): r[cols.index("pos")] for r in plain} == want
+
+
 def test_folds_keep_rows_outside_every_bin_and_null_ids(spark):
     """NULL, 0-below, 11 and NULL item ids: every row gets a fold."""
     df = spark.createDataFrame([(1, 1, None), (1, 2, -1), (1, 3, 11), (1, 4, 5), (1, None, 6), (2, None, None)],
