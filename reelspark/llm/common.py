@@ -12,6 +12,8 @@ from ..session import ensure_checkpoint_dir, scratch_path
 
 # The ASCII white space that separates words everywhere in this subpackage.
 WORD_SPACE = r"\x20\x09-\x0D"
+#: Narrow rows that one task writes of a table whose size is known.
+ROWS_PER_TASK = 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +39,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage with a copy that every executor can reach, so a lost executor costs
     only its running tasks. The reread table also carries no partitioning, so that a join with
-    it shuffles both sides and adaptive execution may split a hot key.
+    it shuffles both sides and adaptive execution may split a hot key. Where at most ``rows`` rows
+    are known to come out, they are written by as many tasks as that takes, two a core at least.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_TASK))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

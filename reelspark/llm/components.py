@@ -16,38 +16,44 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``key``, ``root`` (smallest key reachable) of every key in ``edges`` (``a``, ``b``).
 
     Alternates two star operations: every key hands its larger neighbours, then its smaller ones,
-    to the smallest neighbour it knows, until the edges are stars. Each step is a grouped minimum
+    to the smallest neighbour it knows, until all edges form stars. Each step is a grouped minimum
     joined back, so a key with many neighbours is never gathered in a task; its result is written to
     the shared folder. Raises if ``rounds`` do not suffice (they do for paths of 2**rounds keys).
     """
     now = shared_table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                        .distinct(), "edges")
-    before = None
     for _ in range(rounds):
-        now = _star(_star(now, large=True), large=False)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        n = now.count()
+        if n == 0 or _stars(now):
             break
-        before = state
+        now = _star(_star(now, n, large=True), n, large=False)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("key"), F.col("a").alias("root")).union(
         now.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges ``a`` < ``b``."""
+def _stars(edges: DataFrame) -> bool:
+    """Whether every key is either the centre of its edges or at the end of a single one."""
+    ends = edges.select(F.col("b").alias("v"), F.lit(1).alias("end"), F.lit(0).alias("centre")).union(
+        edges.select(F.col("a").alias("v"), F.lit(0).alias("end"), F.lit(1).alias("centre")))
+    return (ends.groupBy("v").agg(F.sum("end").alias("ends"), F.max("centre").alias("centre"))
+            .where("ends > 1 or ends = 1 and centre = 1").agg(F.count("*")).first()[0] == 0)
+
+
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """One star step over ``n`` edges ``a`` < ``b``."""
     one = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     # large: over all neighbours, hand on those larger than u; small: over the smaller ones
     seen = one.union(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))) if large else one
-    least = shared_table(seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "stars")
+    least = shared_table(seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "stars", 2 * n)
     out = seen.join(least, "u")
-    if large:
-        new = out.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    else:
-        new = out.select(F.col("m").alias("a"), F.col("v").alias("b")).union(
-            least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-    return shared_table(new.where("a <> b").distinct(), "edges")
+    if large:  # one edge for each edge
+        return shared_table(out.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b"),
+                            "edges", n)
+    new = out.select(F.col("m").alias("a"), F.col("v").alias("b")).union(
+        least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+    return shared_table(new.where("a <> b").distinct(), "edges", 2 * n)
 
 
 def groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,8 @@ chooses two of the tokens; a class goes to the child named by the value it holds
 of similarity s share a child with chance 1 - (1 - s)² at least, so a pair stays together in a tree
 to any depth with chance 0.969 at s = 0.85, and 4 trees find it with 1 - 1e-6. Nodes of up to
 ``leaf`` classes are compared exhaustively by their tokens; larger ones branch again, to ``depth``
-levels. What is still large then shares so many tokens that it is taken as one candidate group.
+levels. A large node whose members share most tokens would not get smaller by branching; it is taken as
+one candidate group, as is what is still large in the end.
 
 Compared nodes give candidate groups (connected components of the pairs that may reach the
 threshold), and in each group the full sets decide: every pair within it is intersected exactly. A group is
@@ -91,20 +92,41 @@ def candidate_links(classes: DataFrame, threshold: float, trees: int, depth: int
         rows = shared_table(rows.join(sizes, "node").select("digest", "node", "n"), "nodes")
         small = rows.where(F.col("n") <= leaf).select("digest", "node").join(tokens, "digest")
         links.append(leaf_links(small, least_shared(threshold)))
-        large = rows.where(F.col("n") > leaf).select("digest", "node")
-        if level + 1 == depth:
-            first = shared_table(large.groupBy("node").agg(F.min("digest").alias("a")), "dense-nodes")
-            links.append(large.join(first, "node").select("a", F.col("digest").alias("b")))
-        elif large.isEmpty():
+        large = rows.where(F.col("n") > leaf)
+        if large.isEmpty():
             break
-        else:
-            rows = children(large.join(tokens, "digest"), level + 1)
+        if level == 0:  # only classes of large nodes go on
+            tokens = shared_table(tokens.join(large.select("digest").distinct(), "digest"), "large-tokens")
+        # Branching splits what is dissimilar; members that share most tokens would only be copied.
+        close = shared_table(large.select("node").distinct() if level + 1 == depth
+                             else dense_nodes(large, tokens), "dense-nodes")
+        alike = large.join(close, "node")
+        first = shared_table(alike.groupBy("node").agg(F.min("digest").alias("a")), "dense-firsts")
+        links.append(alike.join(first, "node").select("a", F.col("digest").alias("b")))
+        rows = children(large.join(close, "node", "left_anti").select("digest", "node").join(tokens, "digest"), level + 1)
     out = links[0]
     for x in links[1:]:
         out = out.union(x)
     return out.where("a <> b").distinct()
 
 
+def dense_nodes(large: DataFrame, tokens: DataFrame, sample: int = 16) -> DataFrame:
+    """``node`` of the nodes whose members share half of their tokens on average, by about
+    ``sample`` of them. This decides only where the comparison takes place, not what is linked."""
+    some = large.where(F.pmod(F.xxhash64("digest", "node"), F.col("n")) < sample).select("digest", "node").join(tokens, "digest")
+
+    def run(batches):
+        for node in groups(batches, ["node"]):
+            grid = np.stack(node["tokens"].to_numpy())
+            n = len(grid)
+            same = (grid[:, None, :] == grid[None, :, :]).mean(axis=2).sum() - n
+            if n > 1 and same >= 0.5 * n * (n - 1):
+                yield node[["node"]].iloc[:1]
+
+    return (some.select("node", "tokens").repartition("node").sortWithinPartitions("node")
+            .mapInPandas(run, "node long"))
+
+
 def leaf_links(members: DataFrame, least: int) -> DataFrame:
     """Exhaustive comparison of small nodes by their tokens: links to the first of each group."""
     def run(batches):
@@ -207,7 +229,7 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, id_col: str, text_co
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, share: int = 85,
-         of: int = 100, trees: int = 4, depth: int = 5, leaf: int = 64,
+         of: int = 100, trees: int = 4, depth: int = 5, leaf: int = 512,
          block_shingles: int = 2_000_000) -> DataFrame:
     """One row per document: ``id_col``, ``n_shingles``, ``component_id``, ``kept``, ``text_key``."""
     spark = docs.sparkSession
