@@ -43,8 +43,8 @@ def test_fewer_candidates_than_asked_for(spark):
 def test_windows_only_grow():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((200, 8))
-    index = collision_ann.CollisionIndex(np.arange(200), x, 32, 1)
-    all_ = index.nearest(x[3], 3, 10, 0.6, 1.0, 1.5)
+    index = collision_ann.CollisionIndex(np.arange(200), x, 32, 0.6, 1.0, 1)
+    all_ = index.nearest(x[3], 3, 10, 1.5)
     d = np.sqrt(((x - x[3]) ** 2).sum(axis=1))
     d[3] = np.inf
     assert [i for i, _ in all_] == np.argsort(d)[:10].tolist()  # all verified: exact
