@@ -263,9 +263,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component (repeated rows of it go too), with all columns."""
-    kept = shared_table(link(docs, id_col, text_col, **options).where("kept").select(
-        F.col(id_col).alias("_kept_id"), F.col("text_key").alias("_kept_text")).distinct(), "kept")
+    kept = shared_table(link(docs, id_col, text_col, **options).where("kept").groupBy(
+        F.col(id_col).alias("_kept_id"), F.col("text_key").alias("_kept_text")).agg(F.count("*").alias("_rows")), "kept")
     same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (text_key(text_col) == kept["_kept_text"])
     rows = docs.join(kept, same, "left_semi")
+    if kept.where("_rows > 1").isEmpty():
+        return rows  # no row is there twice: nothing to deal out by id once more
     return (rows.withColumn("_text_key", text_key(text_col)).dropDuplicates([id_col, "_text_key"])
             .drop("_text_key"))
