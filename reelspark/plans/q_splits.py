@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import EVEN_EDGES, EVEN_LABELS, STRAT_EDGES
-from ..functions.scalar import clip_rating, crowd_signal, r6
+from ..functions.scalar import clip_rating, r6
 from ..functions.scalar import r6_sql as R
 from ..operators import evaluate as ev
 from ..operators import metrics as mt
