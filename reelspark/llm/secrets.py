@@ -63,13 +63,14 @@ def joined(spans: Column) -> Column:
         ":", F.element_at(name, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, text_col: str, owner_col: str | None, repo_cols: tuple[str, ...]) -> DataFrame:
-    """All columns of ``docs`` in a struct ``doc``, with ``row``, ``owner``, ``repo``, ``base``
+def find(docs: DataFrame, text_col: str, owner_col: str | None, repo_cols: tuple[str, ...],
+         keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` in a struct ``doc``, with ``row``, ``owner``, ``repo``, ``base``
     (the candidates by start and kind); written once, so that ``row`` is fixed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     found = docs.select(
-        F.struct("*").alias("doc"), text.alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), text.alias("text"),
         (name(owner_col) if owner_col else F.lit("")).alias("owner"),
         (F.concat_ws("\n", *map(name, repo_cols)) if repo_cols else F.lit("")).alias("repo"))
     base = F.array_sort(F.concat(matches(F.col("text"), ASSIGN, 0, 2, 6, False),
@@ -112,8 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
          repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2) -> DataFrame:
     """One row per document: ``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``n_live``,
     ``base_sha256``, ``spans`` (base and live)."""
-    used = list(dict.fromkeys([id_col, text_col, *([owner_col] if owner_col else []), *repo_cols]))
-    found = find(docs.select(*used), text_col, owner_col, repo_cols)
+    found = find(docs, text_col, owner_col, repo_cols, [id_col])
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     found = found.select(F.col(f"doc.`{id_col}`").alias(id_col), "row", "owner", "repo", "base")
     return with_live(found, max_owners, max_repos).select(
@@ -127,7 +127,7 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str | None = "sou
            repo_cols: tuple[str, ...] = ("source", "lang"), mark: str = "[SECRET]", max_owners: int = 1,
            max_repos: int = 2) -> DataFrame:
     """``docs`` with every live value in the text replaced by ``mark``; same columns and rows."""
-    found = find(docs, text_col, owner_col, repo_cols)
+    found = find(docs, text_col, owner_col, repo_cols, docs.columns)
     # Live spans by start; one that begins inside the span before it is left to that span.
     text = F.col(f"doc.`{text_col}`").cast("string")
     ordered = F.array_sort("live")
