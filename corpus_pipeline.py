@@ -35,9 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that stand in the corpus more than once go."""
+    """Passages of over 50 words that stand in the corpus more than once go."""
     bounded_batches(spark)
-    return _sized(suffix_dedup.remove_repeats(docs))
+    return _sized(suffix_dedup.remove_repeats(docs, words=51))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

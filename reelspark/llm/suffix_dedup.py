@@ -23,6 +23,9 @@ copies: it loses everything, and is sorted once. Nulls in the id are an id of th
 are not read by ``measure``; ``remove_repeats`` returns all columns. A task holds the texts of one
 batch, one run of ``RUN`` suffixes, or one range of about ``RANGE`` suffixes; a text of more than
 ``SEGMENT`` bytes is looked at in overlapping segments.
+
+``remove_repeats`` with ``words`` measures in words: the same steps run over a code of ``CODE`` bytes for
+every word, in which only windows that start at a word's code count, and whole words go.
 """
 
 from __future__ import annotations
@@ -39,15 +42,22 @@ from pyspark.sql import functions as F
 from .common import shared_table
 from .components import groups
 from .shingles import _letters, _powers, mix
+from .word_codes import CODE, char_spans, word_codes
 
 LENGTH, GRAM = 400, 100
 #: Suffixes in a sorted run, and in a range of the merge; bytes looked at together (a power of two).
 RUN, RANGE, SEGMENT = 20_000, 8_000, 1 << 20
 #: Most suffixes that are sampled for splitters (about 400 bytes each).
 SAMPLE = 8_192
+#: Words of the anchor substring, where strings are measured in words.
+GRAM_WORDS = 13
 _U = np.uint64
 
 
+def text_bytes(text: str | None) -> bytes:
+    return (text or "").encode()
+
+
 def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial sums of bytes, and what to multiply a difference with."""
     up, down = _powers(1 << max(12, int(len(raw)).bit_length()))
@@ -303,12 +313,13 @@ def suffix_entries(owner: bytes, text: bytes, wanted, parts, length: int) -> Ite
             yield text[a:a + length - lo], text[a - hi:a][::-1], a, lo, hi, owner
 
 
-def repeated_starts(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, starts): ``key``, ``text`` of texts that may hold repeats; ``key``, ``first``, ``last``: runs of
-    window starts that are repeated. ``docs``: ``id``, ``key``, ``text``."""
+def repeated_starts(docs: DataFrame, length: int, gram: int, code) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, starts, long): ``key``, ``text`` of texts that may hold repeats; ``key``, ``first``, ``last``: runs of
+    window starts that are repeated; ``key`` of all texts of ``length`` bytes or more, also repeatedly.
+    ``docs``: ``id``, ``key``, ``text``; ``code`` makes the bytes of a text."""
     def count(batches):
         for pdf in batches:
-            texts = [(t or "").encode() for t in pdf["text"]]
+            texts = [code(t) for t in pdf["text"]]
             keys = pdf["key"].tolist()
             who, hashes = [], []
             for i, _, h, _, _ in anchors(texts, length, gram):
@@ -333,8 +344,8 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame,
     total = wanted.agg(F.sum("n")).first()[0] or 0
 
     n_ranges = max(1, -(-total // RANGE))
-    splitters = choose_splitters(texts, total, n_ranges, length, gram)
-    runs = texts.mapInPandas(sorted_runs(splitters, length, gram),
+    splitters = choose_splitters(texts, total, n_ranges, length, gram, code)
+    runs = texts.mapInPandas(sorted_runs(splitters, length, gram, code),
                              "part int, n int, shared binary, sizes binary, tails binary, before_shared binary, "
                              "before_sizes binary, before_tails binary, marks binary, owners binary")
 
@@ -360,10 +371,12 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame,
               .agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "first"))).alias("at"))
               .where("n > 1").select(F.explode("at").alias("at"))
               .select("at.key", "at.first", F.col("at.first").alias("last")))
-    return texts.select("key", "text"), resolved.where("hash is null").select("key", "first", "last").union(across)
+    return (texts.select("key", "text"), resolved.where("hash is null").select("key", "first", "last").union(across),
+            counted.select("key"))
 
 
-def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, gram: int) -> list[tuple[bytes, bytes]]:
+def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, gram: int,
+                     code) -> list[tuple[bytes, bytes]]:
     """Up to ``n_ranges - 1`` splitters from a sample of at most about ``SAMPLE`` suffixes."""
     if n_ranges == 1:
         return []
@@ -372,7 +385,7 @@ def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, g
     def sample(batches):
         limit = _U(min(int(rate * 2**64), 2**64 - 1))
         for pdf in batches:
-            texts_, out = [(t or "").encode() for t in pdf["text"]], []
+            texts_, out = [code(t) for t in pdf["text"]], []
             keys = [int.from_bytes(k[:8], "little") for k in pdf["key"]]
             for i, pos, h, least, most in anchors(texts_, length, gram):
                 draw = mix(pos.astype(_U) * _U(0x9E3779B97F4A7C15) ^ _U(keys[i]))
@@ -387,7 +400,7 @@ def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, g
     return sorted({found[int(i * step)] for i in range(1, n_ranges) if found})
 
 
-def sorted_runs(splitters: list[tuple[bytes, bytes]], length: int, gram: int):
+def sorted_runs(splitters: list[tuple[bytes, bytes]], length: int, gram: int, code):
     """Maps texts to pieces of sorted, front-coded runs, one row for each range a run reaches."""
     def pieces(entries: list[tuple]) -> pd.DataFrame:
         entries.sort(key=lambda e: e[:2])
@@ -406,7 +419,7 @@ def sorted_runs(splitters: list[tuple[bytes, bytes]], length: int, gram: int):
     def run(batches):
         held: list[tuple] = []
         for pdf in batches:
-            texts = [(t or "").encode() for t in pdf["text"]]
+            texts = [code(t) for t in pdf["text"]]
             keys, hashes = pdf["key"].tolist(), pdf["hashes"].tolist()
             for part in anchors(texts, length, gram):
                 i = part[0]
@@ -436,31 +449,64 @@ def cut(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes,
     return b"".join(kept), removed, spans
 
 
+def cut_words(text: str, starts: list[tuple[int, int]], words: int) -> tuple[str, int, int]:
+    """As ``cut``, for window starts in the text's word codes: whole words and what is between them go."""
+    spans: list[list[int]] = []
+    for first, last in sorted((-(-a // CODE), b // CODE) for a, b in starts):
+        if first > last:
+            continue  # no window of these starts at a word
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], last + words)
+        else:
+            spans.append([first, last + words])
+    begin, end = char_spans(text)
+    kept, at, removed = [], 0, 0
+    for first, stop in spans:
+        a, b = int(begin[first]), int(end[stop - 1])
+        kept.append(text[at:a])
+        removed += len(text[a:b].encode())
+        at = b
+    kept.append(text[at:])
+    return "".join(kept), removed, len(spans)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
 
 
-def outcomes(docs: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
+def outcomes(docs: DataFrame, length: int, gram: int, with_text: bool, words: int | None = None) -> DataFrame:
     """``key``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked, ``kept`` (text; parts of
-    characters go) of every text that loses bytes. ``docs``: ``id``, ``key``, ``text``."""
-    texts, starts = repeated_starts(docs, length, gram)
+    characters go) of every text that loses bytes. ``docs``: ``id``, ``key``, ``text``. With ``words``, strings
+    of so many words count, whatever their bytes."""
+    if words:
+        length, gram = words * CODE, max(1, min(GRAM_WORDS, words // 2)) * CODE
+    texts, starts, long = repeated_starts(docs, length, gram, word_codes if words else text_bytes)
     found = texts.join(starts.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "key")
 
     def run(batches):
         for pdf in batches:
             out = []
             for key, text, starts_ in zip(pdf["key"], pdf["text"], pdf["starts"]):
-                kept, removed, spans = cut(text.encode(), [(s["first"], s["last"]) for s in starts_], length)
-                out.append((key, removed, spans, hashlib.sha256(kept).hexdigest(),
-                            kept.decode("utf-8", "ignore") if with_text else None))
+                found_ = [(s["first"], s["last"]) for s in starts_]
+                if words:
+                    kept, removed, spans = cut_words(text, found_, words)
+                    raw = kept.encode()
+                    if not spans:
+                        continue
+                else:
+                    raw, removed, spans = cut(text.encode(), found_, length)
+                    kept = raw.decode("utf-8", "ignore") if with_text else None
+                out.append((key, removed, spans, hashlib.sha256(raw).hexdigest(), kept if with_text else None))
             yield pd.DataFrame(out, columns=["key", "n_removed", "n_spans", "kept_sha256", "kept"]).drop_duplicates("key")
 
     single = found.mapInPandas(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
-    copies = (docs.select("key", F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= length)
-              .groupBy("key", "n").agg(F.count("*").alias("rows")).where("rows > 1")
+    copies = (docs.select("key", F.octet_length("text").cast("long").alias("n"))
+              .where(F.col("n") >= (words or length)).groupBy("key", "n").agg(F.count("*").alias("rows")).where("rows > 1")
               .select("key", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
                       F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept")))
+    if words:
+        copies = copies.join(long, "key", "left_semi")
     copies = shared_table(copies, "copied-texts")
     return shared_table(single.join(copies.select("key"), "key", "left_anti").union(copies), "outcomes")
 
@@ -478,9 +524,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of the text; same columns and rows."""
-    lost = outcomes(keyed(docs, id_col, text_col), length, gram, True).select(
+                   gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of the text, or with ``words`` the repeated strings of so many
+    words; same columns and rows."""
+    lost = outcomes(keyed(docs, id_col, text_col), length, gram, True, words).select(
         F.col("key").alias("_key"), F.col("kept").alias("_kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumn("_key", F.unhex(F.md5(text.cast("binary")))).join(lost, "_key", "left")

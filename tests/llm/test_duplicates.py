@@ -211,3 +211,43 @@ def test_remove_repeats_keeps_columns(frame):
     by = {r.doc_id: r.text for r in out.collect()}
     assert by[204] == "" and by[200] is None and by[207] == "short copy"
     assert suffix_dedup.measure(frame([])).collect() == []
+
+
+def test_remove_repeats_by_words(frame, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randrange(1, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    planted = {n: prose(n) for n in (50, 51, 55, 66)}
+    short = [rng.choice("abcdefghij") for _ in range(51)]
+    assert all(len(" ".join(x).encode()) < 400 for x in [*planted.values(), short])
+    monkeypatch.setattr(suffix_dedup, "RANGE", 20)
+    rows, kept = [], {}
+    for k, passage in enumerate([*planted.values(), short]):
+        for i in range(3):
+            a, b = [*prose(rng.randrange(20, 80)), f"end{k}{i}"], [f"next{k}{i}", *prose(rng.randrange(20, 80))]
+            glue = "\n  " if i == 2 else " "  # other white space, same words
+            rows.append((10 * k + i, " ".join(a) + " " + glue.join(passage) + " " + " ".join(b), "s", "en"))
+            kept[10 * k + i] = rows[-1][1] if len(passage) < 51 else " ".join(a) + "  " + " ".join(b)
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60))
+    rows += [(100 + i, " ".join(prose(30)) + f" end{i} " + han, "s", "en") for i in range(2)]
+    whole = " ".join(prose(60))
+    rows += [(200, whole, "s", "en"), (201, whole, "s", "en"), (202, None, "s", "en"), (203, "two words", "s", "en"), (204, "two words", "s", "en")]
+    got = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(frame(rows).repartition(3), words=51).collect()}
+    assert len(got) == len(rows)
+    for i, text in kept.items():
+        assert got[i] == text, i
+    assert all(han[:3] not in got[100 + i] and len(got[100 + i]) > 30 for i in range(2))
+    assert got[200] == got[201] == "" and got[202] is None and got[203] == got[204] == "two words"
+
+
+def test_word_codes_in_blocks(monkeypatch):
+    from reelspark.llm import word_codes
+
+    text = "one  two\tthree\u3000four " + "x" * 100 + " \u4e00\u4e8ca end" * 30
+    whole, spans = word_codes.word_codes(text), word_codes.char_spans(text)
+    assert [text[a:b] for a, b in zip(*spans)][:4] == ["one", "two", "three", "four"]
+    assert [text[a:b] for a, b in zip(*spans)][-4:] == ["\u4e00", "\u4e8c", "a", "end"]
+    assert len(whole) == word_codes.CODE * len(spans[0]) and word_codes.word_codes(None) == b""
+    monkeypatch.setattr(word_codes, "BLOCK", 128)
+    assert word_codes.word_codes(text) == whole
+    assert [x.tolist() for x in word_codes.char_spans(text)] == [x.tolist() for x in spans]
