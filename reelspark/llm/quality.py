@@ -3,6 +3,8 @@
 Base counts of every text, and a verdict from zstandard ratios (compressed over plain bytes): the
 whole text's ratio must lie in the band of its length, and of its fixed chunks at most
 ``bad_chunks`` may lie outside the chunk band. A low ratio means repetition, a high one noise.
+Noise is also looked for in smaller pieces, as it fills a chunk only in part at its ends. What is left
+behind the last chunk or piece is judged as the last full one from the text's end.
 Short texts have no band: their ratio says little.
 
 Null and empty texts have no words; they fail the base rules. Repeated rows give one row each.
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 #: (bytes from, lowest ratio, highest ratio) of whole texts; below the first no band holds.
 BANDS = ((200, 0.25, 0.95), (1_000, 0.20, 0.80), (5_000, 0.15, 0.75))
 #: Size of the fixed chunks, and their band.
-CHUNK_BYTES, CHUNK_BAND = 4_096, (0.12, 0.90)
+CHUNK_BYTES, CHUNK_BAND = 4_096, (0.12, 0.70)
+#: Size of the pieces, the highest ratio of a clean one, and the share of noisy ones that a text may hold.
+#: Of the documents at hand clean text has at most 0.603 for 1 KiB and 0.484 for 4 KiB; random base64 has
+#: 0.797 and 0.761, random printable ASCII 0.871 and 0.836. Hex (0.541, 0.522) is too near to text.
+NOISE = (1_024, 0.70, 0.20)
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -53,7 +59,17 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def in_bands(raw: bytes, compress, bands, chunk_bytes: int, chunk_band, bad_chunks: float) -> bool:
+def outside(raw: bytes, compress, size: int, low: float, high: float) -> float:
+    """Share of the text's parts of ``size`` bytes whose ratio is not in the band; 0 for a shorter text."""
+    if len(raw) < size:
+        return 0.0
+    starts = list(range(0, len(raw) - size + 1, size))
+    if len(raw) % size:
+        starts.append(len(raw) - size)
+    return sum(not low <= len(compress(raw[k:k + size])) / size <= high for k in starts) / len(starts)
+
+
+def in_bands(raw: bytes, compress, bands, chunk_bytes: int, chunk_band, bad_chunks: float, noise=NOISE) -> bool:
     """The verdict on one text."""
     n = len(raw)
     band = next((b for b in reversed(bands) if n >= b[0]), None)
@@ -61,16 +77,12 @@ def in_bands(raw: bytes, compress, bands, chunk_bytes: int, chunk_band, bad_chun
         return True
     if not band[1] <= len(compress(raw)) / n <= band[2]:
         return False
-    chunks = n // chunk_bytes
-    if not chunks:
-        return True
-    low, high = chunk_band
-    bad = sum(not low <= len(compress(raw[k * chunk_bytes:(k + 1) * chunk_bytes])) / chunk_bytes <= high
-              for k in range(chunks))
-    return bad <= bad_chunks * chunks
+    size, high, share = noise
+    return (outside(raw, compress, chunk_bytes, *chunk_band) <= bad_chunks
+            and outside(raw, compress, size, 0.0, high) <= share)
 
 
-def rater(bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CHUNK_BAND, bad_chunks=0.3):
+def rater(bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CHUNK_BAND, bad_chunks=0.3, noise=NOISE):
     """text → (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     import zstandard
 
@@ -83,7 +95,7 @@ def rater(bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CHUNK_BAND, bad_chunk
         failed = len(words) < 20 or 100 * repeated > 30 * len(words)
         return (len(words), len(text or "") - (len(raw) - len(raw.translate(None, _SPACE))),
                 len(raw) - len(raw.translate(None, _SYMBOLS)), duplicate_lines(raw), repeated, failed,
-                not failed and in_bands(raw, compress, bands, chunk_bytes, chunk_band, bad_chunks))
+                not failed and in_bands(raw, compress, bands, chunk_bytes, chunk_band, bad_chunks, noise))
 
     return rate
 

@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
+import pytest
+
 from reelspark.llm import quality, secrets
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -123,3 +126,18 @@ def test_bands_depend_on_length():
     verdict = lambda raw, bands: quality.in_bands(raw, c, bands, 4096, (0.12, 0.9), 0.3)
     raw = b"abcd" * 100
     assert verdict(raw, ((10_000, 0.5, 0.9),)) and not verdict(raw, ((100, 0.5, 0.9),))
+
+
+@pytest.mark.parametrize("n_bytes", [4_600, 8_000, 20_456])
+@pytest.mark.parametrize("part", [0.3, 0.5, 0.7])
+def test_noise_parts_of_clean_texts(n_bytes, part):
+    rng = random.Random(n_bytes)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(vocabulary) for _ in range(n_bytes // 2))[:n_bytes]
+    kept = quality.rater()
+    assert kept(prose)[-1]
+    size = int(part * n_bytes)
+    for letters in (string.ascii_letters + string.digits + "+/", "".join(map(chr, range(33, 127)))):
+        noise = "".join(rng.choice(letters) for _ in range(size))
+        for at in (0, (n_bytes - size) // 2, n_bytes - size):  # at the start, inside, at the end
+            assert not kept(prose[:at] + " " + noise + " " + prose[at + size:])[-1], (letters, at)
