@@ -6,6 +6,11 @@ hash. Equal windows choose the same anchor, so only suffixes that start at ancho
 and of these only those whose anchor substring is found twice or more (a count of hashes drops
 suffixes that are unique within their first ``gram`` bytes before anything is exchanged).
 
+An anchor with all the bytes that its windows reach is a context. Contexts are grouped by their hashes first:
+all windows of one that is found twice are repeated, at every place it has, and only one of its
+places is sorted, and that only where its anchor substring has other contexts too. So what a third of all
+documents hold is sorted once, and no two sorted suffixes are alike.
+
 1. Each task sorts its suffixes, cut after the last byte a window of theirs can reach, and
    front-codes the sorted run: of every suffix only its common prefix's length with the suffix before
    it and the rest of its bytes are sent.
@@ -47,8 +52,8 @@ from .word_codes import CODE, char_spans, word_codes
 LENGTH, GRAM = 400, 100
 #: Suffixes in a sorted run, and in a range of the merge; bytes looked at together (a power of two).
 RUN, RANGE, SEGMENT = 20_000, 8_000, 1 << 20
-#: Most suffixes that are sampled for splitters (about 400 bytes each).
-SAMPLE = 8_192
+#: Suffixes that are sampled for splitters (about 400 bytes each), at least and for each range.
+SAMPLE, SAMPLE_PER_RANGE = 8_192, 4
 #: Words of the anchor substring, where strings are measured in words.
 GRAM_WORDS = 13
 _U = np.uint64
@@ -104,13 +109,15 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, list
         yield np.frombuffer(b"".join(held), dtype=np.uint8), parts
 
 
-def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(texts: list[bytes], length: int, gram: int, contexts: bool = False) -> Iterator[tuple]:
     """Per part of a text: (text, anchor positions, their hashes, and for each anchor the least and
-    the most bytes between the start of a window that chooses it and itself)."""
+    the most bytes between the start of a window that chooses it and itself), and if asked the hashes of
+    all bytes that its windows reach, with its place in them."""
     w = length - gram + 1
     bits = SEGMENT.bit_length() - 1
     for raw, parts in segments(texts, length):
-        h = rolling(raw, gram)
+        total, down = prefix_sums(raw)
+        h = mix((total[gram:] - total[:-gram]) * down[:len(raw) - gram + 1])
         # the hash's high bits, then the position: the smallest hash, and its first place in ties
         order = (h >> _U(bits) << _U(bits)) | np.arange(len(h), dtype=_U)
         chosen = (window_minimum(order, w) & _U(SEGMENT - 1)).astype(np.int64)
@@ -122,7 +129,12 @@ def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int, n
             first = np.concatenate([[0], edge])
             last = np.concatenate([edge, [len(mine)]]) - 1
             a = mine[first] - start
-            yield i, at + a, h[mine[first]].view(np.int64), a - last, a - first
+            out = i, at + a, h[mine[first]].view(np.int64), a - last, a - first
+            if contexts:
+                d = (total[start + last + length] - total[start + first]) * down[start + first]
+                d = mix(d ^ (a - first).astype(_U) * _U(0xD6E8FEB86659FD93))
+                out = *out, mix(d ^ (last - first).astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+            yield out
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -307,45 +319,62 @@ def resolve(merged: list[tuple], lcp: list[int], low: bytes | None, high: bytes
 
 
 def suffix_entries(owner: bytes, text: bytes, wanted, parts, length: int) -> Iterator[tuple]:
-    for _, pos, h, least, most in parts:
-        for j in np.flatnonzero(np.isin(h, wanted)).tolist():
+    """Of the anchors whose first window starts at one of ``wanted``."""
+    for _, pos, _, least, most in parts:
+        for j in np.flatnonzero(np.isin(pos - most, wanted)).tolist():
             a, lo, hi = int(pos[j]), int(least[j]), int(most[j])
             yield text[a:a + length - lo], text[a - hi:a][::-1], a, lo, hi, owner
 
 
-def repeated_starts(docs: DataFrame, length: int, gram: int, code) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, starts, long): ``key``, ``text`` of texts that may hold repeats; ``key``, ``first``, ``last``: runs of
-    window starts that are repeated; ``key`` of all texts of ``length`` bytes or more, also repeatedly.
-    ``docs``: ``id``, ``key``, ``text``; ``code`` makes the bytes of a text."""
+def candidates(docs: DataFrame, length: int, gram: int, code) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(wanted, starts, long). ``key``, ``firsts``, ``n`` of texts that may hold repeats: the first window starts of
+    their anchors that are to be sorted. ``key``, ``first``, ``last``: runs of repeated window starts that need no
+    sorting. ``key`` of all texts of ``length`` bytes or more, also repeatedly."""
     def count(batches):
         for pdf in batches:
             texts = [code(t) for t in pdf["text"]]
             keys = pdf["key"].tolist()
-            who, hashes = [], []
-            for i, _, h, _, _ in anchors(texts, length, gram):
-                who.append(np.full(len(h), i))
-                hashes.append(h)
-            if who:
-                one = pd.DataFrame({"who": np.concatenate(who), "hash": np.concatenate(hashes)})
-                one = one.groupby(["who", "hash"], sort=False).size().reset_index(name="n")
-                yield pd.DataFrame({"key": [keys[i] for i in one["who"]], "hash": one["hash"], "n": one["n"]})
-
-    counted = shared_table(docs.select("key", "text").mapInPandas(count, "key binary, hash long, n int"), "anchors")
-    twice = shared_table(
-        counted.groupBy("hash").agg(F.min(F.xxhash64("key")).alias("a"), F.max(F.xxhash64("key")).alias("b"),
-                                    F.max("n").alias("n")).where("a <> b or n > 1").select("hash"), "anchors-twice")
-    wanted = shared_table(counted.dropDuplicates(["key", "hash"]).join(twice, "hash").groupBy("key")
-                          .agg(F.collect_list("hash").alias("hashes"), F.sum("n").alias("n")), "wanted")
+            found = []
+            for i, pos, h, least, most, context in anchors(texts, length, gram, True):
+                found.append((np.full(len(h), i), h, context, pos - most, pos - least))
+            if found:
+                who, h, context, first, last = map(np.concatenate, zip(*found))
+                yield pd.DataFrame({"key": [keys[i] for i in who], "hash": h, "context": context, "first": first, "last": last})
+
+    counted = shared_table(docs.select("key", "text").mapInPandas(
+        count, "key binary, hash long, context long, first long, last long"), "anchors")
+    place = F.xxhash64("key", "first")
+    twice = shared_table(counted.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+                         .where("a <> b").select("hash"), "anchors-twice")
+    places = shared_table(counted.join(twice, "hash").withColumn("place", place), "places")
+    # ``a`` is the place that stands for its context; ``b`` differs if there is another one
+    contexts = shared_table(places.groupBy("hash", "context").agg(F.min("place").alias("a"), F.max("place").alias("b")),
+                            "contexts")
+    several = contexts.groupBy("hash").agg((F.min("context") != F.max("context")).alias("several"))
+    contexts = shared_table(contexts.join(several, "hash"), "contexts-kinds")
+    places = shared_table(places.join(contexts, ["hash", "context"]).select(
+        "key", "first", "last", (F.col("a") != F.col("b")).alias("again"),
+        (F.col("several") & (F.col("place") == F.col("a"))).alias("sort")).where("again or sort"), "places-kinds")
+    wanted = (places.groupBy("key").agg(F.collect_set(F.when(F.col("sort"), F.col("first"))).alias("firsts"))
+              .withColumn("n", F.size("firsts")))
+    return shared_table(wanted, "wanted"), places.where("again").select("key", "first", "last"), counted.select("key")
+
+
+def repeated_starts(docs: DataFrame, length: int, gram: int, code) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, starts, long): ``key``, ``text`` of texts that may hold repeats; ``key``, ``first``, ``last``: runs of
+    window starts that are repeated; ``key`` of all texts of ``length`` bytes or more, also repeatedly.
+    ``docs``: ``id``, ``key``, ``text``; ``code`` makes the bytes of a text."""
+    wanted, again, long = candidates(docs, length, gram, code)
     # Of texts with copies only the row with the smallest id is sorted.
     first = docs.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep"))
-    wanted = shared_table(wanted.join(first, "key").select("key", "hashes", "n", F.col("rep.id").alias("rep_id")), "wanted-reps")
+    wanted = shared_table(wanted.join(first, "key").select("key", "firsts", "n", F.col("rep.id").alias("rep_id")), "wanted-reps")
     same = (docs["key"] == wanted["key"]) & docs["id"].eqNullSafe(wanted["rep_id"])
-    texts = shared_table(docs.join(wanted, same).select(wanted["key"], "text", "hashes"), "texts")
+    texts = shared_table(docs.join(wanted, same).select(wanted["key"], "text", "firsts"), "texts")
     total = wanted.agg(F.sum("n")).first()[0] or 0
 
     n_ranges = max(1, -(-total // RANGE))
     splitters = choose_splitters(texts, total, n_ranges, length, gram, code)
-    runs = texts.mapInPandas(sorted_runs(splitters, length, gram, code),
+    runs = texts.where(F.size("firsts") > 0).mapInPandas(sorted_runs(splitters, length, gram, code),
                              "part int, n int, shared binary, sizes binary, tails binary, before_shared binary, "
                              "before_sizes binary, before_tails binary, marks binary, owners binary")
 
@@ -371,16 +400,16 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, code) -> tuple[Data
               .agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "first"))).alias("at"))
               .where("n > 1").select(F.explode("at").alias("at"))
               .select("at.key", "at.first", F.col("at.first").alias("last")))
-    return (texts.select("key", "text"), resolved.where("hash is null").select("key", "first", "last").union(across),
-            counted.select("key"))
+    sorted_out = resolved.where("hash is null").select("key", "first", "last")
+    return texts.select("key", "text"), again.union(sorted_out).union(across), long
 
 
 def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, gram: int,
                      code) -> list[tuple[bytes, bytes]]:
-    """Up to ``n_ranges - 1`` splitters from a sample of at most about ``SAMPLE`` suffixes."""
+    """Up to ``n_ranges - 1`` splitters from a sample of about ``SAMPLE`` suffixes, more for many ranges."""
     if n_ranges == 1:
         return []
-    rate = min(1.0, SAMPLE / max(total, 1))
+    rate = min(1.0, max(SAMPLE, SAMPLE_PER_RANGE * n_ranges) / max(total, 1))
 
     def sample(batches):
         limit = _U(min(int(rate * 2**64), 2**64 - 1))
@@ -389,13 +418,13 @@ def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, g
             keys = [int.from_bytes(k[:8], "little") for k in pdf["key"]]
             for i, pos, h, least, most in anchors(texts_, length, gram):
                 draw = mix(pos.astype(_U) * _U(0x9E3779B97F4A7C15) ^ _U(keys[i]))
-                keep = (draw <= limit) & np.isin(h, pdf["hashes"].iloc[i])
+                keep = draw <= limit
                 part = (i, pos[keep], h[keep], least[keep], most[keep])
-                out += [e[:2] for e in suffix_entries(b"", texts_[i], part[2], [part], length)]
+                out += [e[:2] for e in suffix_entries(b"", texts_[i], pdf["firsts"].iloc[i], [part], length)]
             if out:
                 yield pd.DataFrame(out, columns=["right", "left"])
 
-    found = sorted((bytes(r.right), bytes(r.left)) for r in texts.mapInPandas(sample, "right binary, left binary").collect())
+    found = sorted((bytes(r.right), bytes(r.left)) for r in texts.where(F.size("firsts") > 0).mapInPandas(sample, "right binary, left binary").collect())
     step = len(found) / n_ranges
     return sorted({found[int(i * step)] for i in range(1, n_ranges) if found})
 
@@ -420,10 +449,10 @@ def sorted_runs(splitters: list[tuple[bytes, bytes]], length: int, gram: int, co
         held: list[tuple] = []
         for pdf in batches:
             texts = [code(t) for t in pdf["text"]]
-            keys, hashes = pdf["key"].tolist(), pdf["hashes"].tolist()
+            keys, firsts = pdf["key"].tolist(), pdf["firsts"].tolist()
             for part in anchors(texts, length, gram):
                 i = part[0]
-                held += suffix_entries(keys[i], texts[i], hashes[i], [part], length)
+                held += suffix_entries(keys[i], texts[i], firsts[i], [part], length)
                 if len(held) >= RUN:
                     yield pieces(held)
                     held = []

@@ -251,3 +251,24 @@ def test_word_codes_in_blocks(monkeypatch):
     monkeypatch.setattr(word_codes, "BLOCK", 128)
     assert word_codes.word_codes(text) == whole
     assert [x.tolist() for x in word_codes.char_spans(text)] == [x.tolist() for x in spans]
+
+
+def test_hot_passage_is_sorted_once(frame, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    licence = text(600)
+    rows = [(i, text(rng.randrange(30, 90)) + licence + text(rng.randrange(30, 90)), "s", "en") for i in range(90)]
+    rows += [(200 + i, text(300), "s", "en") for i in range(20)] + [(300, licence[100:400] + text(50), "s", "en")]
+    docs = suffix_dedup.keyed(frame(rows), "doc_id", "text")
+    wanted, again, _ = suffix_dedup.candidates(docs, 40, 10, suffix_dedup.text_bytes)
+    texts, sent = {bytes(r.key): r.text.encode() for r in docs.collect()}, Counter()
+    for r in wanted.collect():
+        raw = texts[bytes(r.key)]
+        parts = suffix_dedup.anchors([raw], 40, 10)
+        sent.update(e[:2] for e in suffix_dedup.suffix_entries(b"", raw, r.firsts, parts, 40))
+    # the licence's inner anchors stand in 90 documents each, and one of them stands for all
+    assert sent and max(sent.values()) == 1
+    assert again.count() > 90 * 10 > sum(sent.values())
+    monkeypatch.setattr(suffix_dedup, "RANGE", 20)
+    got = [tuple(r) for r in suffix_dedup.measure(frame(rows).repartition(3), length=40, gram=10).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 40)))
