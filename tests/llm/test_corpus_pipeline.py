@@ -63,3 +63,15 @@ def test_registered():
     for n in range(1, 11):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert set(entry.oracle_sql()) <= names
+
+
+@pytest.mark.parametrize("words", [51, 55, 66])
+def test_short_passages_of_over_50_words_go(spark, words):
+    rng = random.Random(words)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    passage = prose(words)
+    assert len(passage) < 400
+    rows = [(i, f"{prose(60)} end{i} {passage} next{i} {prose(60)}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pipeline.repeated_passages(spark, docs, "").collect():
+        assert r.text == rows[r.doc_id][1].replace(passage, "")
