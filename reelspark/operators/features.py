@@ -15,14 +15,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import (AS_OF, DEFAULT_CROWD, DEFAULT_RUNTIME, DEFAULT_VOTES,
                                    DEFAULT_YEAR, VOTES_CAP)
 from ..functions.content import split_list
-from .salting import join_stats
+from ..session import ensure_checkpoint_dir
+from .quantiles import exact_medians
+from .salting import counted, join_stats
 
+#: Categorical features that the driver lists, for MLlib's vectorisers.
+MAX_VOCABULARY = 100_000
 NUMERIC = ["year", "runtime", "imdb", "log_votes", "days_since_first_rate", "age_at_rating_days"]
 
 
@@ -36,11 +40,14 @@ class FeatureSpec:
     standardize: bool = True
     top_dir_k: int = 30
     as_of: str = AS_OF
+    numeric: tuple[str, ...] = tuple(NUMERIC)             # numeric columns of the matrix; NUMERIC are standardised
 
 
 RESEARCH = FeatureSpec()
+#: The package's matrix also holds what its features were made from.
+RAW = ("votes", "decade", "rate_year", "rate_month", "rate_dow", "rel_month", "rated_epoch", "release_epoch")
 PACKAGE = FeatureSpec(year_range=(1900, 2024), date_fill=(2020, 6, 3, 6),
-                      onehots=("type", "decade", "rate_m"), standardize=False)
+                      onehots=("type", "decade", "rate_m"), standardize=False, numeric=(*NUMERIC, *RAW))
 RUN_CV = FeatureSpec(year_range=None, votes_cap=None, age_reference="rated")
 
 
@@ -55,25 +62,26 @@ def _age_days(df: DataFrame, spec: FeatureSpec) -> Column:
     return F.datediff(ref, F.col("release_date")).cast("double")
 
 
-def fit_medians(train: DataFrame, spec: FeatureSpec = RESEARCH) -> dict:
-    """Exact medians of year, runtime, crowd rating, votes and age over ``train``.
+def median_columns(df: DataFrame, spec: FeatureSpec = RESEARCH) -> dict[str, Column]:
+    """What P07 takes the median of, by name."""
+    out = {name: F.col(src).cast("double") for name, src in
+           (("year", "year"), ("runtime", "runtime"), ("imdb", "imdb_rating"), ("votes", "num_votes")) if src in df.columns}
+    if "release_date" in df.columns and (spec.age_reference != "rated" or "rated_at" in df.columns):
+        out["age"] = _age_days(df, spec)
+    return out
 
-    One global aggregate. ``median`` keeps a value→count map per task, so its partial state is
-    bounded by the number of *distinct* values (years, runtimes, ratings, vote bins, day
-    counts), not by the row count.
-    """
-    cols = set(train.columns)
-    exprs = []
-    for name, src in (("year", "year"), ("runtime", "runtime"), ("imdb", "imdb_rating"),
-                      ("votes", "num_votes")):
-        if src in cols:
-            exprs.append(F.median(F.col(src).cast("double")).alias(name))
-    if "release_date" in cols and (spec.age_reference != "rated" or "rated_at" in cols):
-        exprs.append(F.median(_age_days(train, spec)).alias("age"))
-    row = train.agg(*exprs).first().asDict() if exprs else {}
-    if row.get("imdb") is None and "imdb_rating" in cols:
-        row["imdb"] = DEFAULT_CROWD
-    return row
+
+def median_defaults(medians: dict, df: DataFrame) -> dict:
+    """An all-NULL crowd rating has the median 7.0."""
+    if medians.get("imdb") is None and "imdb_rating" in df.columns:
+        return {**medians, "imdb": DEFAULT_CROWD}
+    return medians
+
+
+def fit_medians(train: DataFrame, spec: FeatureSpec = RESEARCH) -> dict:
+    """Exact medians of year, runtime, crowd rating, votes and age over ``train``, in passes with a bounded state
+    (:mod:`.quantiles`)."""
+    return median_defaults(exact_medians(train, median_columns(train, spec)), train)
 
 
 FILLED = {"year": "year_f", "runtime": "runtime_f"}
@@ -116,7 +124,7 @@ class FittedFeatures:
     @property
     def vocabulary(self) -> list[str]:
         """Model vector slot names: the numeric features, then the categorical tokens."""
-        return list(NUMERIC) + list(self.cat_vocabulary or [])
+        return list(self.spec.numeric) + list(self.cat_vocabulary or [])
 
 
 def fit(train: DataFrame, spec: FeatureSpec = RESEARCH) -> FittedFeatures:
@@ -140,14 +148,18 @@ def fit(train: DataFrame, spec: FeatureSpec = RESEARCH) -> FittedFeatures:
 
     def vocab_job(base):
         toks = base.select(F.explode(category_tokens(ff)).alias("t")).distinct()
-        return [r["t"] for r in toks.orderBy("t").collect()]
+        found = [r["t"] for r in toks.orderBy("t").limit(MAX_VOCABULARY + 1).collect()]
+        if len(found) > MAX_VOCABULARY:
+            raise ValueError(f"over {MAX_VOCABULARY} categorical features; number them with dictionary() and build rows "
+                             "with sparse_rows()")
+        return found
 
     try:
         with ThreadPoolExecutor(2) as pool:
             med_f, dirs_f = pool.submit(fit_medians, train, spec), pool.submit(dirs_job)
             ff = FittedFeatures(spec, med_f.result(), dirs_f.result())
             base = base_features(train, ff)
-            sc_f = pool.submit(fit_standardizer, base) if spec.standardize else None
+            sc_f = pool.submit(fit_standardizer, base, [c for c in NUMERIC if c in spec.numeric]) if spec.standardize else None
             voc_f = pool.submit(vocab_job, base)
             ff.scaler = sc_f.result() if sc_f else None
             ff.cat_vocabulary = voc_f.result()
@@ -159,6 +171,10 @@ def fit(train: DataFrame, spec: FeatureSpec = RESEARCH) -> FittedFeatures:
 
 # ----------------------------------------------------------------------------- row features
 
+def _epoch(d: Column) -> Column:
+    return F.coalesce(F.unix_seconds(d.cast("timestamp")).cast("double"), F.lit(0.0))
+
+
 def _num(df: DataFrame, src: str) -> Column:
     return F.col(src).cast("double") if src in df.columns else F.lit(None).cast("double")
 
@@ -167,7 +183,8 @@ def base_features(df: DataFrame, ff: FittedFeatures) -> DataFrame:
     """P07–P13 and P16 on any frame with the fitted statistics of ``ff``.
 
     Adds: year, runtime, imdb, votes, log_votes, decade, rate_year, rate_month, rate_dow,
-    rel_month, days_since_first_rate, age_at_rating_days, has_director_info. The first rating
+    rel_month, days_since_first_rate, age_at_rating_days, rated_epoch, release_epoch (seconds, unknown 0),
+    has_director_info. The first rating
     date is per user (P12): a partial ``groupBy(user_id).min`` joined back on ``user_id``.
     """
     spec, med = ff.spec, ff.medians
@@ -190,7 +207,7 @@ def base_features(df: DataFrame, ff: FittedFeatures) -> DataFrame:
                        F.lit(float(spec.year_range[1])))
     out = df
     if "rated_at" in cols and "user_id" in cols:
-        first = df.groupBy("user_id").agg(F.min("rated_at").alias("_first"))
+        first = df.groupBy("user_id").agg(*counted(F.min("rated_at").alias("_first")))
         out = join_stats(out, first, ["user_id"], "left")
         d = F.col("rated_at")
         days = F.coalesce(F.datediff(d, F.col("_first")).cast("double"), F.lit(0.0))
@@ -214,7 +231,7 @@ def base_features(df: DataFrame, ff: FittedFeatures) -> DataFrame:
         F.coalesce(F.weekday(d), F.lit(fd)).alias("rate_dow"),
         F.coalesce(F.month(rel), F.lit(fr)).alias("rel_month"),
         days.alias("days_since_first_rate"),
-        age.alias("age_at_rating_days"),
+        age.alias("age_at_rating_days"), _epoch(d).alias("rated_epoch"), _epoch(rel).alias("release_epoch"),
         (split_list("genres") if "genres" in cols else F.array().cast("array<string>"))
         .alias("genre_tokens"),
         (split_list("directors") if "directors" in cols else F.array().cast("array<string>"))
@@ -227,16 +244,16 @@ def base_features(df: DataFrame, ff: FittedFeatures) -> DataFrame:
 
 def _numeric_value(name: str, ff: FittedFeatures) -> Column:
     v = F.col(FILLED.get(name, name)).cast("double")
-    if ff.spec.standardize and ff.scaler:
+    if ff.spec.standardize and ff.scaler and name in ff.scaler:
         mu, sd = ff.scaler[name]
         v = (v - F.lit(mu)) / F.lit(sd)
     return v
 
 
-def category_tokens(ff: FittedFeatures) -> Column:
+def category_tokens(ff: FittedFeatures, decade: Column | None = None) -> Column:
     """X14–X16 as one token array per row: one-hots (``type_…``, ``dec_…``, ``rate_m_…``,
     ``rate_dow_…``, ``rel_m_…``), genres (``g_…``) and top-K directors (``dir_<token>``; the cleaned name is only a label),
-    de-duplicated. Applied to a ``base_features`` frame."""
+    de-duplicated. Applied to a ``base_features`` frame. Where a ``decade`` is given and NULL, the row has none."""
     oh = {
         "type": F.concat(F.lit("type_"), F.coalesce(F.col("title_type"), F.lit("Unknown"))),
         "decade": F.concat(F.lit("dec_"), F.coalesce(F.col("decade"), F.lit(0)).cast("string")),
@@ -244,7 +261,9 @@ def category_tokens(ff: FittedFeatures) -> Column:
         "rate_dow": F.concat(F.lit("rate_dow_"), F.col("rate_dow").cast("string")),
         "rel_m": F.concat(F.lit("rel_m_"), F.col("rel_month").cast("string")),
     }
-    onehots = F.array(*[oh[o] for o in ff.spec.onehots])
+    if decade is not None:
+        oh["decade"] = F.concat(F.lit("dec_"), decade.cast("string"))
+    onehots = F.array_compact(F.array(*[oh[o] for o in ff.spec.onehots]))
     genres = F.transform(F.col("genre_tokens"), lambda g: F.concat(F.lit("g_"), g))
     top = F.array(*[F.lit(d) for d in ff.top_dirs]) if ff.top_dirs else \
         F.array().cast("array<string>")
@@ -258,7 +277,7 @@ def feature_array(based: DataFrame, ff: FittedFeatures) -> Column:
     """Numeric features (standardised when the spec says so) + categorical tokens with value
     1.0, as ``array<struct<feature, value>>`` — the long form's source."""
     nums = F.array(*[F.struct(F.lit(n).alias("feature"), _numeric_value(n, ff).alias("value"))
-                     for n in NUMERIC])
+                     for n in ff.spec.numeric])
     cats = F.transform(category_tokens(ff),
                        lambda t: F.struct(t.alias("feature"), F.lit(1.0).alias("value")))
     return F.concat(nums, cats)
@@ -267,7 +286,7 @@ def feature_array(based: DataFrame, ff: FittedFeatures) -> Column:
 def long_features(df: DataFrame, ff: FittedFeatures, keys=("user_id", "item_id")) -> DataFrame:
     """Long form ``(keys…, feature, value)``: one row per non-zero feature of each input row."""
     b = base_features(df, ff)
-    # never empty (six numeric entries): explode_outer avoids an inferred size() > 0 filter
+    # never empty (numeric entries): explode_outer avoids an inferred size() > 0 filter
     # that Catalyst would push below the projections, evaluating the features twice
     return (b.select(*keys, F.explode_outer(feature_array(b, ff)).alias("f"))
             .select(*keys, "f.feature", F.coalesce("f.value", F.lit(0.0)).alias("value")))
@@ -291,6 +310,47 @@ def union_space(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("feature", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("rows_a", "rows_b")])
 
 
+def dictionary(features: DataFrame, col: str = "feature") -> DataFrame:
+    """A05 as a table: ``feature``, ``idx``: the distinct non-NULL values in rising order, numbered from 0 without a gap.
+
+    A global sort spreads the values over tasks; a value's number is its place in its task plus the sizes of the tasks
+    before. Nothing but one count per task is ever in one place.
+    """
+    spark = features.sparkSession
+    placed = (features.select(F.col(col).alias("feature")).where("feature is not null").distinct().orderBy("feature")
+              .withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.select("feature", F.shiftright("_at", 33).cast("int").alias("_task"),
+                           F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_in"))
+    ensure_checkpoint_dir(spark)
+    placed = placed.checkpoint()  # the places stay what they are if a task runs again
+    sizes = placed.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")  # over one row per task
+    return placed.join(F.broadcast(sizes.select("_task", before.alias("_before"))), "_task") \
+        .select("feature", (F.col("_before") + F.col("_in")).alias("idx"))
+
+
+def sparse_rows(long_df: DataFrame, numbered: DataFrame, keys=("user_id", "item_id")) -> DataFrame:
+    """Rows over the feature space ``numbered`` (``feature``, ``idx``): ``keys``, ``indices`` (rising), ``values``.
+
+    Everything not listed is 0; features outside the space are dropped (J08a). Assembled by aggregation on the keys,
+    so a row's features meet, never a column's.
+    """
+    cells = long_df.join(numbered, "feature").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_c"))
+    return cells.select(*keys, F.col("_c.idx").alias("indices"), F.col("_c.value").alias("values"))
+
+
+def union_rows(a: DataFrame, b: DataFrame, keys=("user_id", "item_id")) -> DataFrame:
+    """The rows of both long frames over their union feature space, in sorted order, with 0 where a side lacks a
+    feature: ``side`` ('a' or 'b'), ``keys``, ``size`` of the space, ``indices``, ``values``."""
+    numbered = dictionary(a.select("feature").union(b.select("feature")))
+    sides = a.select(F.lit("a").alias("side"), *keys, "feature", "value").unionByName(
+        b.select(F.lit("b").alias("side"), *keys, "feature", "value"))
+    size = numbered.agg(F.count("*").alias("size"))
+    return sparse_rows(sides, numbered, ("side", *keys)).crossJoin(F.broadcast(size)) \
+        .select("side", *keys, "size", "indices", "values")
+
+
 def vectorize(df: DataFrame, ff: FittedFeatures, out: str = "features") -> DataFrame:
     """Model input without pivoting: the categorical token array goes through
     ``CountVectorizerModel.from_vocabulary(binary=True)`` (sparse, JVM-side; tokens outside the
@@ -299,8 +359,8 @@ def vectorize(df: DataFrame, ff: FittedFeatures, out: str = "features") -> DataF
     from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 
     b = base_features(df, ff)
-    nums = [f"_n{i}" for i in range(len(NUMERIC))]
-    b = b.select("*", *[_numeric_value(n, ff).alias(c) for n, c in zip(NUMERIC, nums)],
+    nums = [f"_n{i}" for i in range(len(ff.spec.numeric))]
+    b = b.select("*", *[_numeric_value(n, ff).alias(c) for n, c in zip(ff.spec.numeric, nums)],
                  category_tokens(ff).alias("_cat"))
     cv = CountVectorizerModel.from_vocabulary(ff.cat_vocabulary, inputCol="_cat",
                                               outputCol="_catv", binary=True)

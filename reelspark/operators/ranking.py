@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MOVIE_TYPES, TV_TYPES, WHY_BLEND_DEFAULT
-from .salting import join_stats
+from .salting import counted, join_stats
 
 
 def exclude_rated(candidates: DataFrame, ratings: DataFrame,
@@ -103,7 +103,7 @@ def normalize_scores(scores: DataFrame, by: list[str] | None = None, col: str =
     its rows are spread over tasks.
     """
     by = by or ["user_id"]
-    b = scores.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    b = scores.groupBy(*by).agg(*counted(F.min(col).alias("_lo"), F.max(col).alias("_hi")))
     lo, hi = F.col("_lo"), F.col("_hi")
     finite = ~(F.isnan(lo) | F.isnan(hi) | (F.abs(lo) == float("inf"))
                | (F.abs(hi) == float("inf")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import AS_OF
 from ..functions.scalar import pred_to_score, quality_band
 from .ranking import top_k_per_group
 
@@ -97,21 +98,24 @@ def model_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 def feature_target_corr(long_df: DataFrame, target: DataFrame, n_rows: int | None = None,
                         top: int = 10) -> DataFrame:
     """A10: Pearson correlation of every feature with the target, where a feature absent from
-    a row counts as 0 (long form stores only non-zeros). From the sums Σx, Σx², Σxy per feature
-    (partial groupBy over the long rows) and the global n, Σy, Σy² (one aggregate row); NaN /
-    undefined correlations dropped; top ``top`` by |corr| (ties by feature name). ``long_df`` carries
-    the target as column ``y`` beside every feature, so nothing is joined; an empty target gives no rows."""
+    a row counts as 0 (long form stores only non-zeros).
+
+    No raw sums of squares: a feature's own rows give count, means and central moments, which Spark merges between tasks
+    as such; the rows without it are a second group (x = 0, their mean of y follows from the overall one) that is merged in closed
+    form. With n₁ rows of mean (x₁, y₁) out of n and overall mean ȳ, the co-moment grows by x₁(y₁ − ȳ)n₁ and the moment of x by
+    x₁²n₁(n − n₁)/n. So large offsets cancel before anything is squared. Undefined correlations are dropped; top ``top`` by
+    |corr| (ties by feature name). ``long_df`` carries the target as column ``y`` beside every feature, so nothing is joined;
+    rows without a target do not count, and an empty target gives no rows."""
     t = target.select(F.col("y").cast("double").alias("y"))
-    g = t.agg(F.count("*").alias("n"), F.sum("y").alias("sy"),
-              F.sum(F.col("y") * F.col("y")).alias("syy")).first()
-    n, sy, syy = float(g["n"] or 1), g["sy"] or 0.0, g["syy"] or 0.0
-    s = long_df.withColumn("y", F.col("y").cast("double")).groupBy("feature").agg(F.sum("value").alias("sx"),
-                                 F.sum(F.col("value") * F.col("value")).alias("sxx"),
-                                 F.sum(F.col("value") * F.col("y")).alias("sxy"))
-    cov = F.col("sxy") - F.col("sx") * F.lit(sy) / n
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.lit(syy - sy * sy / n)
-    corr = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    g = t.agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var")).first()
+    n, mean, m2y = float(g["n"] or 1), g["mean"] or 0.0, (g["var"] or 0.0) * (g["n"] or 0)
+    own = long_df.withColumn("y", F.col("y").cast("double")).where(F.col("y").isNotNull())
+    s = own.groupBy("feature").agg(F.count("value").cast("double").alias("n1"), F.avg("value").alias("x1"), F.avg("y").alias("y1"),
+                                   F.var_pop("value").alias("vx"), F.covar_pop("value", "y").alias("cxy"))
+    n1, x1 = F.col("n1"), F.col("x1")
+    m2x = F.col("vx") * n1 + x1 * x1 * n1 * (F.lit(n) - n1) / F.lit(n)
+    cov = F.col("cxy") * n1 + x1 * (F.col("y1") - F.lit(mean)) * n1
+    corr = F.when((m2x > 0) & (F.lit(m2y) > 0), cov / (F.sqrt(m2x) * F.sqrt(F.lit(m2y))))
     c = s.select("feature", corr.alias("corr")).where(F.col("corr").isNotNull())
     return (c.orderBy(F.abs("corr").desc(), F.col("feature")).limit(top))
 
@@ -128,8 +132,8 @@ def feature_extremes(long_df: DataFrame, n_rows: int, bound: float = 1000.0) ->
             .where((F.col("max_value") > bound) | (F.col("min_value") < -bound)))
 
 
-def data_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A19 + F07: one row per column with count, nulls, min, max, mean, sample std — one global
+def data_profile(df: DataFrame, cols: list[str], as_of: str = AS_OF) -> DataFrame:
+    """A19 + F07 (titles of years after ``as_of`` are in the future): one row per column with count, nulls, min, max, mean, sample std — one global
     aggregate (partial per task), reshaped by exploding a fixed array of structs."""
     aggs = []
     for c in cols:
@@ -143,7 +147,7 @@ def data_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     if "num_votes" in df.columns:
         extra.append(F.count_if(F.col("num_votes") > 1_000_000).alias("votes_over_1m"))
     if "year" in df.columns:
-        extra.append(F.count_if(F.col("year") > 2025).alias("future_year"))
+        extra.append(F.count_if(F.col("year") > int(as_of[:4])).alias("future_year"))
     one = df.agg(F.count("*").alias("rows"), *aggs, *extra)
     rows = F.array(*[F.struct(F.lit(c).alias("column"),
                               F.col(f"{c}__n").cast("bigint").alias("non_null"),

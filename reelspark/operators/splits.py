@@ -145,3 +145,20 @@ def temporal_folds(ratings: DataFrame, k: int = 5, date_col: str = "rated_at") -
     return p.select(*ratings.columns, pos0.cast("bigint").alias("pos"), n.cast("bigint").alias("n"),
                     test.cast("int").alias("test_fold"),
                     first_train.cast("int").alias("first_train_fold"))
+
+
+def temporal_ranges(tfolds: DataFrame, k: int = 5, by: tuple[str, ...] = ("user_id",), date_col: str = "rated_at") -> DataFrame:
+    """What each temporal fold trains and tests on: ``by``, ``fold``, ``n_train``, ``train_start``, ``train_end``,
+    ``n_test``, ``test_start``, ``test_end``.
+
+    ``tfolds``: rows of :func:`temporal_folds`. Rows are aggregated by the block they lie in (block 0 trains all folds, block
+    j + 1 is tested by fold j); a fold's training part is the running total over at most ``k`` blocks of a group.
+    """
+    block = F.coalesce(F.col("test_fold") + 1, F.lit(0))
+    blocks = (tfolds.where(F.col("test_fold").isNotNull() | F.col("first_train_fold").isNotNull())
+              .groupBy(*by, block.alias("fold")).agg(F.count("*").alias("n"), F.min(date_col).alias("lo"), F.max(date_col).alias("hi")))
+    before = Window.partitionBy(*by).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(
+        *by, (F.col("fold") - 1).cast("int").alias("fold"), F.sum("n").over(before).alias("n_train"),
+        F.min("lo").over(before).alias("train_start"), F.max("hi").over(before).alias("train_end"),
+        F.col("n").alias("n_test"), F.col("lo").alias("test_start"), F.col("hi").alias("test_end")).where("fold >= 0")

@@ -25,7 +25,7 @@ scored AS (
   FROM (SELECT user_id, item_id FROM watchlist w
         WHERE NOT EXISTS (SELECT 1 FROM ratings r
                           WHERE r.user_id = w.user_id AND r.item_id = w.item_id)) c
-  JOIN items i ON i.item_id = c.item_id
+  LEFT JOIN items i ON i.item_id = c.item_id
   LEFT JOIN (SELECT user_id, avg(my_rating) AS user_mean FROM ratings GROUP BY user_id) um
     ON um.user_id = c.user_id),
 bounds AS (SELECT user_id, min(score) AS lo, max(score) AS hi FROM scored GROUP BY user_id)"""
@@ -111,14 +111,14 @@ def catalog_q(spark, sf_dir):
 @query("item_universe", tb.with_views("""
 SELECT item_id, source, title_type FROM (
   SELECT u.*, row_number() OVER (PARTITION BY item_id ORDER BY source DESC, title_type DESC) rn
-  FROM (SELECT r.item_id, 1 AS source, i.title_type FROM ratings r JOIN items i USING (item_id)
+  FROM (SELECT r.item_id, 1 AS source, i.title_type FROM ratings r LEFT JOIN items i USING (item_id)
         UNION ALL
-        SELECT w.item_id, 0 AS source, i.title_type FROM watchlist w JOIN items i USING (item_id)) u
+        SELECT w.item_id, 0 AS source, i.title_type FROM watchlist w LEFT JOIN items i USING (item_id)) u
 ) t WHERE rn = 1""", "items", "ratings", "watchlist"))
 def item_universe_q(spark, sf_dir):
     it = tb.items(spark, sf_dir).select("item_id", "title_type")
-    r = tb.ratings(spark, sf_dir).join(it, "item_id")
-    w = tb.watchlist(spark, sf_dir).join(it, "item_id")
+    r = tb.ratings(spark, sf_dir).join(it, "item_id", "left")
+    w = tb.watchlist(spark, sf_dir).join(it, "item_id", "left")
     return cat.item_universe(r, w, ["title_type"])
 
 
@@ -159,7 +159,7 @@ _ALGO_SQL = """
 algo_scores AS (
   SELECT user_id, item_id, 'crowd' AS algo, coalesce(imdb_rating, 0.0) / 10 AS score,
          CASE WHEN imdb_rating >= 8 THEN 'highly rated by the crowd' END AS why
-  FROM watchlist JOIN items USING (item_id)
+  FROM watchlist LEFT JOIN items USING (item_id)
   UNION ALL
   SELECT w.user_id, w.item_id, 'user_mean' AS algo, um.m / 10 AS score, NULL AS why
   FROM watchlist w JOIN (SELECT user_id, avg(my_rating) AS m FROM ratings GROUP BY user_id) um
@@ -169,7 +169,7 @@ algo_scores AS (
 def _algo_scores(spark, sf_dir):
     w = tb.watchlist(spark, sf_dir)
     it = tb.items(spark, sf_dir).select("item_id", "imdb_rating")
-    crowd = w.join(it, "item_id").select(
+    crowd = w.join(it, "item_id", "left").select(
         "user_id", "item_id", F.lit("crowd").alias("algo"),
         (F.coalesce("imdb_rating", F.lit(0.0)) / 10).alias("score"),
         F.when(F.col("imdb_rating") >= 8, F.lit("highly rated by the crowd")).alias("why"))

@@ -10,7 +10,7 @@ from ..functions.scalar import (bounded_scale, clip_rating, crowd_signal, hybrid
                                 pred_to_score, r6, recency_weight)
 from ..functions.scalar import r6_sql as R
 from ..operators import features as fe
-from ..operators.salting import join_stats
+from ..operators.salting import ROWS, counted, join_stats
 from ..sources import testbind as tb
 from .registry import query
 
@@ -18,24 +18,25 @@ from .registry import query
 
 
 def rated_items(spark, sf_dir):
-    """Ratings with item metadata: the training frame of the feature builder."""
-    return tb.ratings(spark, sf_dir).join(tb.items(spark, sf_dir), "item_id")
+    """Ratings with item metadata: the training frame of the feature builder. Rows without metadata stay, the
+    imputer fills them."""
+    return tb.ratings(spark, sf_dir).join(tb.items(spark, sf_dir), "item_id", "left")
 
 
 def watch_items(spark, sf_dir):
     """Unrated watchlist rows with item metadata: the scoring frame."""
     w = tb.watchlist(spark, sf_dir).join(tb.ratings(spark, sf_dir).select("user_id", "item_id"),
                                          ["user_id", "item_id"], "left_anti")
-    return w.join(tb.items(spark, sf_dir), "item_id")
+    return w.join(tb.items(spark, sf_dir), "item_id", "left")
 
 
 RI_CTE = """, ri AS (SELECT r.user_id, r.item_id, r.my_rating, r.rated_at, i.title, i.year,
    i.genres, i.directors, i.imdb_rating, i.num_votes, i.title_type, i.runtime, i.release_date
- FROM ratings r JOIN items i ON i.item_id = r.item_id)"""
+ FROM ratings r LEFT JOIN items i ON i.item_id = r.item_id)"""
 
 WI_CTE = """, wi AS (SELECT w.user_id, w.item_id, CAST(NULL AS DATE) AS rated_at, i.title, i.year,
    i.genres, i.directors, i.imdb_rating, i.num_votes, i.title_type, i.runtime, i.release_date
- FROM watchlist w JOIN items i ON i.item_id = w.item_id
+ FROM watchlist w LEFT JOIN items i ON i.item_id = w.item_id
  WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = w.user_id AND r.item_id = w.item_id))"""
 
 
@@ -255,10 +256,10 @@ def cosine_embeddings(spark, sf_dir):
     emb = tb.embeddings(spark, sf_dir).select(
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     pos = emb.select("label", F.posexplode("vec").alias("pos", "v"))
-    cen = (pos.groupBy("label", "pos").agg(F.avg("v").alias("m"))
+    cen = (pos.groupBy("label", "pos").agg(*counted(F.avg("v").alias("m")))
            .groupBy("label")
-           .agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_c"))
-           .select("label", F.transform("_c", lambda s: s["m"]).alias("centroid")))
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_c"), F.max(ROWS).alias(ROWS))
+           .select("label", F.transform("_c", lambda s: s["m"]).alias("centroid"), ROWS))
     j = join_stats(emb, cen, ["label"])
     return j.select("vec_id", "label", r6(cv.cosine("vec", "centroid")).alias("cosine"))
 
@@ -309,7 +310,7 @@ def _seed_sim(spark, sf_dir):
                                              ["user_id", "item_id"], "left_anti")
     iv = cv.with_content_vector(it.select("item_id", "genres", "year"), out="vec") \
         .select("item_id", "vec")
-    return join_stats(cand, sv, ["user_id"]).join(iv, "item_id").select(
+    return join_stats(cand, sv, ["user_id"], sizes=tb.watchlist(spark, sf_dir)).join(iv, "item_id").select(
         "user_id", "item_id", cv.seed_similarity("seed_vec", "vec").alias("similarity"))
 
 
@@ -327,7 +328,7 @@ um AS (SELECT user_id, avg(my_rating) AS m FROM ratings GROUP BY user_id),
 p AS (SELECT c.user_id, c.item_id,
         0.3 * coalesce(um.m, coalesce(i.imdb_rating, 0.0)) + 0.7 * coalesce(i.imdb_rating, 0.0) AS pred,
         sim.similarity
-      FROM cand c JOIN items i ON i.item_id = c.item_id
+      FROM cand c LEFT JOIN items i ON i.item_id = c.item_id
       LEFT JOIN um ON um.user_id = c.user_id
       LEFT JOIN sim ON sim.user_id = c.user_id AND sim.item_id = c.item_id)
 SELECT user_id, item_id, {R('pred')} AS pred,
@@ -342,7 +343,8 @@ def explanations(spark, sf_dir):
                                              ["user_id", "item_id"], "left_anti")
     um = r.groupBy("user_id").agg(F.avg("my_rating").alias("m"))
     pred = hybrid_signal(F.lit(None), F.col("m"), crowd_signal("imdb_rating"))
-    p = (join_stats(cand.join(it.select("item_id", "imdb_rating"), "item_id", "left"), um, ["user_id"], "left")
+    p = (join_stats(cand.join(it.select("item_id", "imdb_rating"), "item_id", "left"), um, ["user_id"], "left",
+                    sizes=tb.watchlist(spark, sf_dir))
          .join(_seed_sim(spark, sf_dir), ["user_id", "item_id"], "left")
          .select("user_id", "item_id", pred.alias("pred"), "similarity"))
     why = F.concat_ws("; ", F.when(F.col("similarity") > 0.6, F.lit(WHY_SEED)),
@@ -368,7 +370,7 @@ SELECT c.user_id, c.item_id, c.my_rating,
 FROM (SELECT coalesce(r.user_id, w.user_id) AS user_id, coalesce(r.item_id, w.item_id) AS item_id,
         r.my_rating
       FROM ratings r FULL OUTER JOIN watchlist w ON r.user_id = w.user_id AND r.item_id = w.item_id) c
-JOIN items i ON i.item_id = c.item_id
+LEFT JOIN items i ON i.item_id = c.item_id
 LEFT JOIN (SELECT user_id, avg(my_rating) AS m FROM ratings GROUP BY user_id) um
   ON um.user_id = c.user_id""", "items", "ratings", "watchlist"))
 def hybrid_signal_q(spark, sf_dir):
@@ -377,7 +379,7 @@ def hybrid_signal_q(spark, sf_dir):
     c = catalog(r.select("user_id", "item_id", "my_rating"), tb.watchlist(spark, sf_dir)) \
         .select("user_id", "item_id", "my_rating")
     um = r.groupBy("user_id").agg(F.avg("my_rating").alias("m"))
-    j = join_stats(c.join(it.select("item_id", "imdb_rating"), "item_id", "left"), um, ["user_id"], "left")
+    j = join_stats(c.join(it.select("item_id", "imdb_rating"), "item_id", "left"), um, ["user_id"], "left", sizes=r)
     h = hybrid_signal("my_rating", "m", crowd_signal("imdb_rating"))
     return j.select("user_id", "item_id", "my_rating", r6(h).alias("hybrid"))
 
@@ -419,7 +421,7 @@ def standardize(spark, sf_dir):
 p AS (SELECT w.user_id, w.item_id,
         0.3 * coalesce(um.m, coalesce(i.imdb_rating, 0.0)) + 0.7 * coalesce(i.imdb_rating, 0.0) AS pred,
         um.m, um.sd
-      FROM watchlist w JOIN items i ON i.item_id = w.item_id LEFT JOIN um ON um.user_id = w.user_id)
+      FROM watchlist w LEFT JOIN items i ON i.item_id = w.item_id LEFT JOIN um ON um.user_id = w.user_id)
 SELECT user_id, item_id, {R('pred')} AS pred,
   {R('least(greatest((pred - 1.0) / 9.0, 0.0), 1.0)')} AS score,
   {R('CASE WHEN m IS NULL OR sd IS NULL THEN least(greatest(pred, 1.0), 10.0) WHEN sd = 0 THEN 5.5 ELSE least(greatest(5.5 + 4.5 * tanh((pred - m) / (2.0 * sd)), 1.0), 10.0) END')} AS bounded,
@@ -431,7 +433,7 @@ def scale_predictions(spark, sf_dir):
     um = r.groupBy("user_id").agg(F.avg("my_rating").alias("m"),
                                   F.stddev_pop("my_rating").alias("sd"))
     w = tb.watchlist(spark, sf_dir).join(it.select("item_id", "imdb_rating"), "item_id", "left")
-    p = (join_stats(w, um, ["user_id"], "left")
+    p = (join_stats(w, um, ["user_id"], "left", sizes=tb.watchlist(spark, sf_dir))
          .withColumn("pred", hybrid_signal(F.lit(None), F.col("m"), crowd_signal("imdb_rating"))))
     return p.select("user_id", "item_id", r6("pred").alias("pred"),
                     r6(pred_to_score("pred")).alias("score"),
@@ -441,12 +443,21 @@ def scale_predictions(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- X14–X16, J08
 
-def _features_long_sql(src_base: str, train_base: str, st: str) -> str:
+#: The raw columns beside the six numeric features.
+RAW_SQL = {"votes": "votes", "decade": "decade", "rate_year": "rate_year", "rate_month": "rate_month", "rate_dow": "rate_dow",
+           "rel_month": "rel_month", "rated_epoch": "coalesce(epoch(rated_at), 0)", "release_epoch": "coalesce(epoch(release_date), 0)"}
+
+
+def _features_long_sql(src_base: str, train_base: str, st: str | None) -> str:
     """Long-form research features of CTE ``src_base`` with the director top-K of
-    ``train_base``'s rows and the standardiser CTE ``st``."""
-    num = "\nUNION ALL\n".join(
-        f"SELECT s.user_id, s.item_id, '{n}' AS feature, {_z_sql(n, c, 's')} AS value "
-        f"FROM {src_base} s CROSS JOIN {st} st" for n, c in NUMERIC_SQL.items())
+    ``train_base``'s rows and the standardiser CTE ``st``; without one the numbers and raw columns as they are."""
+    if st is None:
+        num = "\nUNION ALL\n".join(f"SELECT user_id, item_id, '{n}' AS feature, CAST({c} AS DOUBLE) AS value FROM {src_base}"
+                                   for n, c in (NUMERIC_SQL | RAW_SQL).items())
+    else:
+        num = "\nUNION ALL\n".join(
+            f"SELECT s.user_id, s.item_id, '{n}' AS feature, {_z_sql(n, c, 's')} AS value "
+            f"FROM {src_base} s CROSS JOIN {st} st" for n, c in NUMERIC_SQL.items())
     oh = [("'type_' || coalesce(title_type, 'Unknown')"),
           ("'dec_' || CAST(coalesce(decade, 0) AS VARCHAR)"),
           ("'rate_m_' || CAST(rate_month AS VARCHAR)"),
@@ -511,6 +522,27 @@ def features_union(spark, sf_dir):
                           fe.long_features(watch_items(spark, sf_dir).drop("my_rating"), ff))
 
 
+@query("features_union_rows", tb.with_views(f"""{RI_CTE}{WI_CTE}{base_sql('ri', 'ri', 'b')}{_std_sql('b')}
+{base_sql('wi', 'ri', 'wb')},
+tl AS ({_features_long_sql('b', 'ri', 'st')}),
+wl AS ({_features_long_sql('wb', 'ri', 'st')}),
+num AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx, count(*) OVER () AS size
+        FROM (SELECT feature FROM tl UNION SELECT feature FROM wl)),
+lf AS (SELECT 'a' AS side, * FROM tl UNION ALL SELECT 'b' AS side, * FROM wl)
+SELECT side, user_id, item_id, CAST(max(size) AS BIGINT) AS size, string_agg(idx, ',' ORDER BY idx) AS indices,
+  {R('sum(value * (idx + 1))')} AS weighed
+FROM lf JOIN num USING (feature) GROUP BY side, user_id, item_id""", "items", "ratings", "watchlist"))
+def features_union_rows(spark, sf_dir):
+    """J08(b): rated and watchlist rows over the union feature space, 0 where not listed. ``weighed`` sums
+    value × (index + 1) over a row's entries."""
+    ri, ff = _research(spark, sf_dir)
+    rows = fe.union_rows(fe.long_features(ri, ff), fe.long_features(watch_items(spark, sf_dir).drop("my_rating"), ff))
+    weighed = F.aggregate(F.arrays_zip("indices", "values"), F.lit(0.0),
+                          lambda acc, c: acc + c["values"] * (c["indices"] + 1))
+    return rows.select("side", "user_id", "item_id", "size", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"),
+                       r6(weighed).alias("weighed"))
+
+
 @query("target_stats", tb.with_views(f"""
 SELECT user_id, count(*) AS n, {R('avg(my_rating)')} AS mean, {R('stddev_pop(my_rating)')} AS std,
   min(my_rating) AS min_rating, max(my_rating) AS max_rating FROM ratings GROUP BY user_id""", "ratings"))

@@ -86,7 +86,7 @@ wp AS (SELECT c.user_id, c.item_id, i.title_type,
          0.3 * coalesce(um.m, coalesce(i.imdb_rating, 0.0)) + 0.7 * coalesce(i.imdb_rating, 0.0) AS pred
        FROM (SELECT user_id, item_id FROM watchlist w WHERE NOT EXISTS (SELECT 1 FROM ratings r
              WHERE r.user_id = w.user_id AND r.item_id = w.item_id)) c
-       JOIN items i ON i.item_id = c.item_id LEFT JOIN um ON um.user_id = c.user_id)"""
+       LEFT JOIN items i ON i.item_id = c.item_id LEFT JOIN um ON um.user_id = c.user_id)"""
 
 
 def _watch_preds(spark, sf_dir):
@@ -95,7 +95,8 @@ def _watch_preds(spark, sf_dir):
     cand = tb.watchlist(spark, sf_dir).join(r.select("user_id", "item_id"),
                                              ["user_id", "item_id"], "left_anti")
     meta = it.select("item_id", "title_type", "imdb_rating")
-    return (join_stats(cand.join(meta, "item_id", "left"), um, ["user_id"], "left")
+    return (join_stats(cand.join(meta, "item_id", "left"), um, ["user_id"], "left",
+                       sizes=tb.watchlist(spark, sf_dir))
             .select("user_id", "item_id", "title_type",
                     hybrid_signal(F.lit(None), F.col("m"), crowd_signal("imdb_rating")).alias("pred")))
 
@@ -137,7 +138,7 @@ a AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY
         item_id) AS rank FROM wp),
 b AS (SELECT w.user_id, w.item_id, row_number() OVER (PARTITION BY w.user_id
         ORDER BY coalesce(i.imdb_rating, 0.0) DESC, w.item_id) AS rank
-      FROM wp w JOIN items i ON i.item_id = w.item_id),
+      FROM wp w LEFT JOIN items i ON i.item_id = w.item_id),
 j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.item_id, b.item_id) AS item_id,
         CAST(a.rank AS BIGINT) AS rank_a, CAST(b.rank AS BIGINT) AS rank_b
       FROM (SELECT * FROM a WHERE rank <= 10) a
@@ -153,7 +154,7 @@ def model_overlap(spark, sf_dir):
     wp = _watch_preds(spark, sf_dir)
     a = top_k_per_group(wp.withColumn("s", r6("pred")), 10, ["user_id"],
                         [F.col("s").desc(), F.col("item_id")])
-    crowd = wp.join(tb.items(spark, sf_dir).select("item_id", "imdb_rating"), "item_id") \
+    crowd = wp.join(tb.items(spark, sf_dir).select("item_id", "imdb_rating"), "item_id", "left") \
         .withColumn("s", F.coalesce("imdb_rating", F.lit(0.0)))
     b = top_k_per_group(crowd, 10, ["user_id"], [F.col("s").desc(), F.col("item_id")])
     return rp.model_overlap(a, b)
@@ -182,34 +183,23 @@ def feature_corr(spark, sf_dir):
     return c.select("feature", r6("corr").alias("corr"))
 
 
-@query("feature_extremes", tb.with_views(f"""{qf.RI_CTE}
-, e AS (SELECT user_id, item_id, feature, value FROM (
-  SELECT user_id, item_id, 'votes' AS feature, CAST(num_votes AS DOUBLE) AS value FROM ri
-  WHERE num_votes IS NOT NULL AND num_votes <> 0
-  UNION ALL SELECT user_id, item_id, 'year', CAST(year AS DOUBLE) FROM ri WHERE year IS NOT NULL AND year <> 0
-  UNION ALL SELECT user_id, item_id, 'runtime', CAST(runtime AS DOUBLE) FROM ri
-  WHERE runtime IS NOT NULL AND runtime <> 0
-  UNION ALL SELECT user_id, item_id, 'imdb', imdb_rating FROM ri WHERE imdb_rating IS NOT NULL AND imdb_rating <> 0
-  UNION ALL SELECT user_id, item_id, 'age_days', CAST(DATE '2025-12-31' - release_date AS DOUBLE) FROM ri
-  WHERE release_date IS NOT NULL AND DATE '2025-12-31' - release_date <> 0)),
+#: The whole matrix without standardisation.
+WIDE = fe.with_spec(fe.RESEARCH, standardize=False, numeric=(*fe.NUMERIC, *fe.RAW))
+
+
+@query("feature_extremes", tb.with_views(f"""{qf.RI_CTE}{qf.base_sql('ri', 'ri', 'b')},
+e AS ({qf._features_long_sql('b', 'ri', None)}),
 n AS (SELECT count(*) AS n FROM ri),
 s AS (SELECT feature, min(value) AS mn, max(value) AS mx, count(*) AS cnt FROM e GROUP BY feature),
 r AS (SELECT feature, CASE WHEN cnt < n THEN least(mn, 0.0) ELSE mn END AS min_value,
         CASE WHEN cnt < n THEN greatest(mx, 0.0) ELSE mx END AS max_value FROM s CROSS JOIN n)
-SELECT * FROM r WHERE max_value > 1000 OR min_value < -1000""", "items", "ratings"))
+SELECT feature, {R('min_value')} AS min_value, {R('max_value')} AS max_value FROM r
+WHERE max_value > 1000 OR min_value < -1000""", "items", "ratings"))
 def feature_extremes(spark, sf_dir):
-    """A11 on the raw (un-standardised) numeric features of the rated frame, long form with
-    zeros omitted."""
+    """A11 on every feature of the rated frame before standardisation: numeric, raw columns, one-hots, genres, directors."""
     ri = qf.rated_items(spark, sf_dir)
-    age = F.datediff(F.lit("2025-12-31").cast("date"), F.col("release_date")).cast("double")
-    arr = F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in (
-        ("votes", F.col("num_votes").cast("double")), ("year", F.col("year").cast("double")),
-        ("runtime", F.col("runtime").cast("double")), ("imdb", F.col("imdb_rating")),
-        ("age_days", age))])
-    lf = (ri.select("user_id", "item_id", F.explode(arr).alias("f")).select("user_id", "item_id", "f.*")
-          .where(F.col("value").isNotNull() & (F.col("value") != 0)))
-    n = ri.count()
-    return rp.feature_extremes(lf, n)
+    x = rp.feature_extremes(fe.long_features(ri, fe.fit(ri, WIDE)), ri.count())
+    return x.select("feature", r6("min_value").alias("min_value"), r6("max_value").alias("max_value"))
 
 
 # ----------------------------------------------------------------------------- A19, F07

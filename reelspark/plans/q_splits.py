@@ -12,6 +12,7 @@ from ..functions.scalar import r6_sql as R
 from ..operators import evaluate as ev
 from ..operators import metrics as mt
 from ..operators import splits as sp
+from ..operators.salting import join_stats
 from ..sources import testbind as tb
 from .registry import query
 
@@ -52,7 +53,7 @@ pred AS (SELECT f.*, i.imdb_rating,
            0.3 * coalesce(o.train_mean, coalesce(i.imdb_rating, 0.0))
            + 0.7 * coalesce(i.imdb_rating, 0.0) AS pred
          FROM folded f JOIN oof o ON o.user_id = f.user_id AND o.fold = f.fold
-         JOIN items i ON i.item_id = f.item_id)"""
+         LEFT JOIN items i ON i.item_id = f.item_id)"""
 
 EVAL_SQL = "least(greatest(least(greatest((pred - 1.0) / 9.0, 0.0), 1.0) * 3.0 + 5.5, 1.0), 10.0)"
 
@@ -260,8 +261,8 @@ def grid_rows(spark, sf_dir):
     m = ev.out_of_fold_user_mean(f)
     grid = F.array(*[F.struct(F.lit(w).alias("w_user"), F.lit(c).alias("crowd_fill"))
                      for w in W_USER for c in CROWD_FILL])
-    j = (f.join(m, ["user_id", "fold"]).join(tb.items(spark, sf_dir).select("item_id", "imdb_rating"),
-                                             "item_id")
+    j = (join_stats(f, m, ["user_id", "fold"]).join(tb.items(spark, sf_dir).select("item_id", "imdb_rating"),
+                                                    "item_id", "left")
          .select("fold", "my_rating", "train_mean", "imdb_rating", F.explode(grid).alias("g"))
          .select("fold", "my_rating", "g.w_user", "g.crowd_fill", "train_mean", "imdb_rating"))
     crowd = F.coalesce(F.col("imdb_rating"), F.col("crowd_fill"))
@@ -286,7 +287,7 @@ gp AS (SELECT g.w_user, g.crowd_fill, f.fold, CAST(f.my_rating AS DOUBLE) AS y,
          least(greatest((1 - g.w_user) * coalesce(o.train_mean, coalesce(i.imdb_rating, g.crowd_fill))
            + g.w_user * coalesce(i.imdb_rating, g.crowd_fill), 1.0), 10.0) AS p
        FROM folded f JOIN oof o ON o.user_id = f.user_id AND o.fold = f.fold
-       JOIN items i ON i.item_id = f.item_id CROSS JOIN g),
+       LEFT JOIN items i ON i.item_id = f.item_id CROSS JOIN g),
 pf AS (SELECT w_user, crowd_fill, fold, sqrt(avg((p - y) * (p - y))) AS rmse,
          CASE WHEN var_pop(y) * count(*) > 0 THEN 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) END AS r2
        FROM gp GROUP BY w_user, crowd_fill, fold),
@@ -308,20 +309,25 @@ def grid_results(spark, sf_dir):
 
 
 @query("grid_analysis", tb.with_views(f"""{GRID_SQL}
-SELECT CAST(w_user AS DOUBLE) AS w_user, {R('min(rmse_mean)')} AS best_rmse,
-  {R('avg(rmse_mean)')} AS mean_rmse, {R('max(r2_mean)')} AS best_r2, {R('avg(r2_mean)')} AS mean_r2,
-  CAST(min(rk) AS BIGINT) AS best_rank, CAST(sum(CASE WHEN rk <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS in_top
-FROM ranked GROUP BY w_user""", "items", "ratings"))
+, sides AS (SELECT 'all' AS param, CAST(NULL AS DOUBLE) AS value, * FROM ranked
+  UNION ALL SELECT 'w_user', CAST(w_user AS DOUBLE), * FROM ranked UNION ALL SELECT 'crowd_fill', CAST(crowd_fill AS DOUBLE), * FROM ranked),
+ga AS (SELECT param, value, min(rmse_mean) AS best_rmse, max(rmse_mean) AS worst_rmse, avg(rmse_mean) AS mean_rmse,
+    max(r2_mean) AS best_r2, avg(r2_mean) AS mean_r2, min(rk) AS best_rank, sum(CASE WHEN rk <= 5 THEN 1 ELSE 0 END) AS in_top
+  FROM sides GROUP BY param, value)
+SELECT param, value, {R('best_rmse')} AS best_rmse, {R('worst_rmse')} AS worst_rmse, {R('mean_rmse')} AS mean_rmse,
+  {R('best_r2')} AS best_r2, {R('mean_r2')} AS mean_r2, CAST(best_rank AS BIGINT) AS best_rank, CAST(in_top AS BIGINT) AS in_top,
+  param <> 'all' AND row_number() OVER (PARTITION BY param ORDER BY in_top DESC, best_rank) = 1 AS top_mode
+FROM ga""", "items", "ratings"))
 def grid_analysis(spark, sf_dir):
-    """A17 per user weight over the hybrid grid."""
+    """A17 over the hybrid grid, by user weight, by crowd fill and in all."""
     a = mt.grid_analysis(grid_rows(spark, sf_dir), "w_user", "crowd_fill")
-    return _r6_all(a, ["w_user", "best_rank", "in_top"])
+    return _r6_all(a, ["param", "value", "best_rank", "in_top", "top_mode"])
 
 
 # ----------------------------------------------------------------------------- M07 temporal
 
 TEMPORAL_SQL = f"""
-, p AS (SELECT user_id, item_id, my_rating,
+, p AS (SELECT user_id, item_id, my_rating, rated_at,
           row_number() OVER (PARTITION BY user_id ORDER BY rated_at, item_id) - 1 AS pos,
           count(*) OVER (PARTITION BY user_id) AS n FROM ratings),
 q AS (SELECT *, n // {K + 1} AS t, n - {K} * (n // {K + 1}) AS st FROM p),
@@ -335,7 +341,20 @@ tm AS (SELECT t.user_id, t.test_fold AS fold, avg(r.my_rating) AS train_mean
 pred AS (SELECT f.user_id, f.item_id, f.my_rating, f.test_fold AS fold,
            0.3 * coalesce(tm.train_mean, coalesce(i.imdb_rating, 0.0)) + 0.7 * coalesce(i.imdb_rating, 0.0) AS pred
          FROM tf f LEFT JOIN tm ON tm.user_id = f.user_id AND tm.fold = f.test_fold
-         JOIN items i ON i.item_id = f.item_id WHERE f.test_fold IS NOT NULL)"""
+         LEFT JOIN items i ON i.item_id = f.item_id WHERE f.test_fold IS NOT NULL)"""
+
+
+@query("fold_temporal_ranges", tb.with_views(f"""{TEMPORAL_SQL},
+te AS (SELECT user_id, test_fold AS fold, count(*) AS n_test, min(rated_at) AS test_start, max(rated_at) AS test_end
+       FROM tf WHERE test_fold IS NOT NULL GROUP BY user_id, test_fold),
+tr AS (SELECT te.user_id, te.fold, count(*) AS n_train, min(r.rated_at) AS train_start, max(r.rated_at) AS train_end
+       FROM te JOIN tf r ON r.user_id = te.user_id AND r.ff <= te.fold GROUP BY te.user_id, te.fold)
+SELECT te.user_id, CAST(te.fold AS INT) AS fold, CAST(n_train AS BIGINT) AS n_train, train_start, train_end,
+  CAST(n_test AS BIGINT) AS n_test, test_start, test_end
+FROM te JOIN tr ON tr.user_id = te.user_id AND tr.fold = te.fold""", "items", "ratings"))
+def fold_temporal_ranges(spark, sf_dir):
+    """Size and date range of every temporal fold's training and test part, per user."""
+    return sp.temporal_ranges(sp.temporal_folds(tb.ratings(spark, sf_dir), K), K)
 
 
 @query("cv_temporal", tb.with_views(f"""{TEMPORAL_SQL}{FOLD_METRICS_SQL.replace("'hybrid'", "'hybrid_temporal'")}

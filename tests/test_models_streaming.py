@@ -210,22 +210,25 @@ def test_crowd_column_is_split(spark):
 
 def test_stats_are_joined_back_in_parts(spark):
     """A third of the rows on one user: no task of the final plan reads more than a few parts of them."""
-    from reelspark.operators.salting import SALTS, join_stats
+    from reelspark.operators.salting import counted, join_stats
     n = 30_000
     rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("user_id"),
                                  F.col("id").alias("item_id"))
     stats = rows.groupBy("user_id").agg(F.count("*").alias("c"))
+    with_counts = rows.groupBy("user_id").agg(*counted(F.count("*").alias("c")))
     keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.shuffle.partitions", "64")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        out = join_stats(rows, stats, ["user_id"])
-        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
-        assert sum(x["count"] for x in sizes) == n and out.where("user_id = 0").first()["c"] == n // 3
-        assert max(x["count"] for x in sizes) < n // 3 / 2
-        assert out.where("user_id = 0").select(F.spark_partition_id()).distinct().count() > SALTS // 2
+        for known in (stats, with_counts):  # heavy users by the sketch, then by the statistics' own count
+            out = join_stats(rows, known, ["user_id"], hot_rows=1000)
+            assert out.columns == ["user_id", "item_id", "c"]
+            sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(x["count"] for x in sizes) == n and out.where("user_id = 0").first()["c"] == n // 3
+            assert max(x["count"] for x in sizes) < n // 3 / 2
+            assert out.where("user_id = 0").select(F.spark_partition_id()).distinct().count() > 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -306,3 +309,39 @@ def test_normalised_tables_follow_their_source(spark, tmp_path):
     tb.table(spark, SF001, "lineitem").where("l_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
     after = tb.ratings(spark, folder).count()
     assert after < before and after == tb.build_ratings(spark, folder).count()
+
+
+def test_only_heavy_groups_are_dealt_out(spark):
+    """Parts follow the count; statistics of all other groups are there once; NULL keys keep their rows."""
+    from reelspark.operators.salting import heavy_hitters, join_stats
+    rows = spark.range(9000).select(F.when(F.col("id") < 4000, F.lit("a")).when(F.col("id") < 5500, F.lit("b"))
+                                    .when(F.col("id") >= 8990, F.lit(None).cast("string")).otherwise(F.col("id").cast("string")).alias("k"),
+                                    F.col("id").alias("v"))
+    hot = {r["_h"]: r["_parts"] for r in heavy_hitters(rows, ["k"], 1000).collect()}
+    names = {r["h"]: r["k"] for r in rows.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    assert {names[h]: p for h, p in hot.items()} == {"a": 4, "b": 2}
+    stats = rows.where("k is not null and k <> '7000'").groupBy("k").agg(F.sum("v").alias("s"))
+    want = {r["k"]: r["s"] for r in stats.collect()}
+    left = join_stats(rows, stats, ["k"], "left", hot_rows=1000).collect()
+    assert len(left) == 9000 and all(r["s"] == want.get(r["k"]) for r in left)
+    inner = join_stats(rows, stats, ["k"], hot_rows=1000).collect()
+    assert len(inner) == 9000 - 10 - 1 and all(r["s"] == want[r["k"]] for r in inner)
+    assert sorted(r["v"] for r in inner if r["k"] == "a") == list(range(4000))
+    assert join_stats(rows.limit(0), stats, ["k"], "left").count() == join_stats(rows, stats.limit(0), ["k"]).count() == 0
+
+
+def test_medians_are_exact_in_bounded_passes(spark):
+    """Bit-equal to the built-in median for wide domains, ties, few rows, NULL and NaN."""
+    from reelspark.operators.quantiles import exact_medians
+    rng = np.random.default_rng(1)
+    n = 20_000
+    rows = [(float(a), float(b), float(c), None if i % 3 else float(i), 4.0, None) for i, (a, b, c) in enumerate(zip(
+        rng.lognormal(size=n), rng.integers(0, 7, size=n), np.where(rng.random(n) < 0.7, 3.0, rng.normal(size=n))))]
+    rows[5] = (float("nan"), 1.0, 2.0, None, 4.0, None)
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double").repartition(7)
+    cols = {x: F.col(x) for x in "abcdef"} | {"pair": F.when(F.col("d") < 6, F.col("d")), "shift": F.col("a") * 1e9 - 5e17}
+    clean = df.withColumn("a", F.nanvl("a", F.lit(None).cast("double")))
+    want = clean.agg(*[F.median(c).alias(x) for x, c in cols.items()]).first().asDict()
+    for limit, accuracy in ((100_000, 2000), (300, 100), (1, 50)):
+        assert exact_medians(df, cols, limit, accuracy) == want
+    assert exact_medians(df.limit(0), {"a": F.col("a")}) == {"a": None} and exact_medians(df, {}) == {}
