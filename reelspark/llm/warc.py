@@ -8,8 +8,9 @@ brought together by record, ordered by chunk number, and their SHA-1 is carried
 chunk, so a task holds one chunk of a record at a time.
 
 Files are written and read by Spark's text source, in any store it reaches. The rows of a file
-are split before each version line; a payload that holds the same bytes is cut inside them, so
-that a record never contains its own separator.
+are split where a version string follows a blank line. A payload that holds the version string is cut inside it wherever it
+stands, so no chunk contains it, nor can one begin with it after the blank line of its own header. What is read is
+held against the declared lengths and digests; a record that differs is an error.
 
 Null payloads are empty. A page with a null id is a record of its own that nothing refers to;
 repeated rows of the smallest id are all responses. Ties do not arise. Extra columns are not
@@ -63,9 +64,9 @@ def with_originals(pages: DataFrame, id_col: str, payload_col: str, url_col: str
 def chunk_rows(records: DataFrame, chunk_bytes: int) -> DataFrame:
     """One row per record and chunk; a revisit has one chunk without payload."""
     raw = F.col("payload")
-    # cut inside a separator that the payload itself holds
+    # cut inside every version string that the payload itself holds
     parts = F.when(F.col("refers_to").isNotNull(), F.array(F.lit(""))).when(
-        F.instr(raw, _SPLIT) > 0, F.split(raw, r"(?<=\r\n\r\nWARC/1)(?=\.1)")).otherwise(F.array(raw))
+        F.instr(raw, _VERSION) > 0, F.split(raw, r"(?<=WARC/1)(?=\.1)")).otherwise(F.array(raw))
     sizes = f"""flatten(transform(parts, (p, i) -> transform(
         sequence(0, greatest(0, cast(ceil(octet_length(p) / {chunk_bytes}) as int) - 1)),
         k -> struct(i as part, k * {chunk_bytes} as at))))"""
@@ -150,9 +151,10 @@ def read_chunks(spark: SparkSession, path: str, id_type: str = "long") -> DataFr
         F.expr("substring(block, skip + 1, octet_length(block))").alias("chunk"))
 
 
-def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+def read(spark: SparkSession, path: str, id_type: str = "long", verify: bool = True) -> DataFrame:
     """One row per record: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``,
-    ``refers_to``, ``digest_ok`` (what was read has the declared digest; null for revisits)."""
+    ``refers_to``, ``digest_ok`` (what was read has the declared digest and length; null for revisits). With ``verify``
+    a record that is not ok is an error."""
     chunks = read_chunks(spark, path, id_type)
     whole = (chunks.where(~F.col("segmented"))
              .withColumn("seen", F.when(F.col("record_type") == "response", base32(F.sha1("chunk"))))
@@ -161,25 +163,27 @@ def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
                      .otherwise(F.octet_length("chunk").cast("long")).alias("payload_bytes"),
                      F.coalesce("seen", "declared_digest").alias("payload_digest"),
                      "record_type", "refers_to",
-                     (F.col("seen") == F.col("declared_digest")).alias("digest_ok")))
+                     F.when(F.col("record_type") == "response", F.coalesce(
+                         (F.col("seen") == F.col("declared_digest")) & (F.octet_length("chunk") == F.col("declared_bytes")),
+                         F.lit(False))).alias("digest_ok")))
     parts = (chunks.where("segmented").repartition("record")
              .sortWithinPartitions("record", "chunk_no")
-             .select("page_id", "chunk_no", "declared_digest", "chunk"))
+             .select("page_id", "chunk_no", "declared_digest", "declared_bytes", "chunk"))
 
     def digest(batches):
         key, sha, size, declared = None, None, 0, None
 
         def row():
             got = b32encode(sha.digest()).decode()
-            return (key, size, got, "response", None, got == declared)
+            return (key, size, got, "response", None, (got, size) == declared)
 
         for pdf in batches:
             out = []
-            for page, no, want, chunk in pdf.itertuples(index=False):
+            for page, no, want, length, chunk in pdf.itertuples(index=False):
                 if no == 0:
                     if sha is not None:
                         out.append(row())
-                    key, sha, size, declared = page, hashlib.sha1(), 0, want
+                    key, sha, size, declared = page, hashlib.sha1(), 0, (want, length)
                 sha.update(chunk)
                 size += len(chunk)
             yield frame(out)
@@ -191,4 +195,9 @@ def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     def frame(out: list) -> pd.DataFrame:
         return pd.DataFrame(out, columns=names).astype({"page_id": object, "refers_to": object})
 
-    return whole.unionByName(parts.mapInPandas(digest, whole.schema))
+    out = whole.unionByName(parts.mapInPandas(digest, whole.schema))
+    if not verify:
+        return out
+    wrong = F.raise_error(F.concat(F.lit("archive record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("(no id)")),
+                                   F.lit(" does not have its declared digest or length")))
+    return out.withColumn("payload_digest", F.when(F.coalesce("digest_ok", F.lit(True)), F.col("payload_digest")).otherwise(wrong))

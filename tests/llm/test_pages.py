@@ -3,6 +3,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from reelspark.llm import html_text, warc
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p><article>no</article>";</script></head>
@@ -90,6 +92,37 @@ def test_archive_round_trip(spark, tmp_path):
     assert b"".join(bytes(c.chunk) for c in sorted(chunks, key=lambda c: c.chunk_no)) == split.encode()
 
 
+def test_payloads_around_the_separator(spark, tmp_path):
+    """The version string at the start, the end, across and right at chunk borders; behind blank lines of all kinds."""
+    sep = "\r\n\r\nWARC/1.1"
+    texts = ["WARC/1.1 is the format", "z" * 64 + "WARC/1.1 tail", "a" + sep, sep, sep * 5, "WARC/1.1" * 40, "WARC/1.WARC/1.1\r\n\r\n",
+             "\r\n\r\n" * 30 + "WARC/1.1", "WARC/1", "\r\n", "\n\r\n\r\nWARC/1.1x", "WARC-Type: response\r\n" * 9]
+    texts += ["y" * k + sep + " behind" for k in range(40, 80)] + ["y" * k + "WARC/1.1" + "\r\n\r\n" * 8 for k in range(50, 70)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(5)
+    path = str(tmp_path / "sep")
+    warc.write(pages, path, chunk_bytes=64)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.digest_ok) for r in warc.read(spark, path).collect()}
+    assert got == {i: (len(t.encode()), b32(t.encode()), True) for i, t in enumerate(texts)}
+    parts = {}
+    for c in warc.read_chunks(spark, path).collect():
+        parts.setdefault(c.page_id, {})[c.chunk_no] = bytes(c.chunk)
+    assert {i: b"".join(p[k] for k in sorted(p)).decode() for i, p in parts.items()} == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("chunk_bytes", [64, 65_536])
+def test_a_damaged_record_raises(spark, tmp_path, chunk_bytes):
+    pages = spark.createDataFrame([(1, "u", "intact"), (2, "u", "q" * 300)], "page_id long, url string, html string")
+    path = tmp_path / "damaged"
+    warc.write(pages.coalesce(1), str(path), chunk_bytes=chunk_bytes)
+    for p in path.glob("part-*"):
+        p.write_bytes(p.read_bytes().replace(b"qqq", b"qxq", 1))
+    for p in path.glob(".*.crc"):
+        p.unlink()
+    with pytest.raises(Exception, match="page 2 does not have its declared digest"):
+        warc.read(spark, str(path)).collect()
+    assert {r.page_id: r.digest_ok for r in warc.read(spark, str(path), verify=False).collect()} == {1: True, 2: False}
+
+
 def test_empty_archive_and_small_payloads(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "a"))
