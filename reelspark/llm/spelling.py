@@ -8,10 +8,10 @@ A word is taken as the multiset of its letters, a binary vector over (letter, ho
 changes at most two of its components, so near words have Hamming distance two or less. PartEnum finds all
 such pairs by equality: the components are dealt over ``parts`` parts, at least ``parts`` - 2 of which agree, so a
 word has one signature for every two parts left out. The signature also holds the length of the pair's longer
-word, as in PartEnum's intervals of sizes: a word gives signatures for its own length and for the next. Signatures
-are joined on equality, and the edit distance decides. A signature that more than ``crowded`` words share
-is joined on the signature together with the first, and with the last, half of the word: one edit leaves one of them as it is,
-so no pair is lost.
+word, as in PartEnum's intervals of sizes: a word gives signatures for its own length and, as the shorter word of a pair, for the
+next. Multisets know no order, and common letters meet often; so a signature is enumerated twice, with the first and with the
+last half of the word: one edit leaves one of the halves as it is. Signatures are joined on equality, and the edit distance decides.
+Many words share one only if they share a half and most of their letters.
 
 A word's form is its near word with the most occurrences, where that has ``ratio`` times as many; its root is found by
 following forms, whose counts grow by that ratio, so 2**``jumps`` steps always suffice.
@@ -101,34 +101,32 @@ def signatures(words: list[str], parts: int) -> np.ndarray:
     return np.concatenate(out, axis=1).view(np.int64)
 
 
-def near_words(words: DataFrame, parts: int, crowded: int) -> DataFrame:
-    """``a``, ``a_n``, ``b``, ``b_n``: each pair of near words once, ``a`` before ``b``."""
+def near_words(words: DataFrame, parts: int) -> DataFrame:
+    """``a``, ``a_n``, ``b``, ``b_n``: each pair of near words once; ``a`` is the longer one, or the first of equal length."""
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 some = pdf.iloc[at:at + 2000]
                 sig = signatures(some["word"].tolist(), parts)
-                each = sig.shape[1]
-                longer = np.repeat([0, 1], each // 2)[None, :] + some["word"].str.len().to_numpy()[:, None]
-                yield pd.DataFrame({"sig": sig.ravel(), "longer": longer.ravel(),
-                                    "word": np.repeat(some["word"].to_numpy(), each),
-                                    "n": np.repeat(some["n"].to_numpy(), each)})
-
-    signed = words.mapInPandas(run, "sig long, longer int, word string, n long")
-    signed = shared_table(signed, "signatures")
-    sizes = shared_table(signed.groupBy("sig").agg(F.count("*").alias("shared")).where("shared > 1"), "signature-sizes")
-    rows = signed.join(sizes, "sig")
-    # the shorter word of a pair has one letter less than the longer one at most
-    half = F.floor((F.col("longer") - 1) / 2).cast("int")
+                own = sig.shape[1] // 2
+                yield some.assign(sigs=list(sig[:, :own]), next_sigs=list(sig[:, own:]))
+
+    signed = words.mapInPandas(run, "word string, n long, sigs array<long>, next_sigs array<long>")
     word = F.col("word")
-    key = F.when(F.col("shared") <= crowded, F.array(F.col("sig"))).otherwise(F.array(
-        F.xxhash64("sig", F.lit("first"), F.substr(word, F.lit(1), half)),
-        F.xxhash64("sig", F.lit("last"), F.substr(word, F.length(word) - half + 1, half))))
-    keyed = shared_table(rows.select(F.explode(key).alias("key"), "word", "n"), "signature-keys")
-    a = keyed.select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
-    b = keyed.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    near = (F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, "key").where(near).drop("key").distinct()
+
+    def keys(sigs: str, longer):
+        # the shorter word of a pair has one letter less than the longer one at most
+        half = F.floor((longer - 1) / 2).cast("int")
+        halves = {"first": F.substr(word, F.lit(1), half), "last": F.substr(word, F.length(word) - half + 1, half)}
+        return F.concat(*[F.transform(sigs, lambda s, h=h, which=which: F.xxhash64(s, F.lit(which), h)) for which, h in halves.items()])
+
+    cells = F.concat(F.transform(keys("sigs", F.length(word)), lambda k: F.struct(k.alias("key"), F.lit(False).alias("shorter"))),
+                     F.transform(keys("next_sigs", F.length(word) + 1), lambda k: F.struct(k.alias("key"), F.lit(True).alias("shorter"))))
+    keyed = shared_table(signed.select("word", "n", F.explode(cells).alias("c")).select("c.*", "word", "n"), "signatures")
+    a = keyed.where("not shorter").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    b = keyed.select("key", "shorter", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    near = (F.col("shorter") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
+    return a.join(b, "key").where(near).select("a", "a_n", "b", "b_n").distinct()
 
 
 def roots(links: DataFrame, jumps: int) -> DataFrame:
@@ -141,10 +139,10 @@ def roots(links: DataFrame, jumps: int) -> DataFrame:
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 199, min_length: int = 6,
-             min_count: int = 5, ratio: int = 5, parts: int = 7, crowded: int = 64, jumps: int = 5) -> DataFrame:
+             min_count: int = 5, ratio: int = 5, parts: int = 4, jumps: int = 5) -> DataFrame:
     """``word``, ``n``, ``n_near``, ``form``, ``form_n``, ``root`` of every word."""
     words = shared_table(word_counts(docs, id_col, text_col, noise, min_length, min_count), "words")
-    near = shared_table(near_words(words, parts, crowded), "near-words")
+    near = shared_table(near_words(words, parts), "near-words")
     sides = near.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")).unionAll(
         near.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"),

@@ -11,22 +11,26 @@ all windows of one that is found twice are repeated, at every place it has, and
 places is sorted, and that only where its anchor substring has other contexts too. So what a third of all
 documents hold is sorted once, and no two sorted suffixes are alike.
 
-1. Each task sorts its suffixes, cut after the last byte a window of theirs can reach, and
-   front-codes the sorted run: of every suffix only its common prefix's length with the suffix before
-   it and the rest of its bytes are sent.
-2. Splitters from a sample cut the runs; every range goes to a task of its own, by content, so a
-   passage that a third of all documents hold spreads over many ranges.
+1. Each task sorts its suffixes, cut after the last byte a window of theirs can reach and headed by the hash of their
+   anchor substring, and front-codes the sorted run: of every suffix only its common prefix's length with the
+   suffix before it and the rest of its bytes are sent.
+2. The runs are cut by the hashes, so suffixes that share their first ``gram`` bytes lie in one range, and no window
+   is ever matched across ranges. Nothing is sampled, and nothing goes through the driver.
 3. The task merges its pieces with a loser tree that holds, for every loser, its common prefix with the
    winner: bytes known to be equal are never compared again. Out come sorted suffixes with the
    common prefixes of neighbours.
-4. Suffixes that share their first ``gram`` bytes are neighbours; their windows are compared. Windows that
-   could also match one in another range (by the common prefix with the splitter) are counted
-   across ranges in one more grouping.
+4. Suffixes that share their first ``gram`` bytes are neighbours; their windows are compared, for a block of the
+   windows' offsets at a time, and runs of repeated ones come out, never single windows.
+5. An anchor substring with more than ``CROWD`` different contexts (near copies of one passage, in a large share of
+   all documents) would fill a task. Its contexts are cut into blocks of ``BLOCK`` windows, and what was done for whole
+   contexts is done for blocks: equal blocks are grouped, all windows of one that is found twice are repeated, and one place
+   of each goes on, if there are other blocks with the same core (the bytes that all windows of a block share). Near copies
+   differ in few places, so few go on; their windows are counted by hash in one more grouping.
 
 Null texts are empty; texts under ``length`` bytes lose nothing. Rows with equal texts are one text with
 copies: it loses everything, and is sorted once. Nulls in the id are an id of their own. Extra columns
 are not read by ``measure``; ``remove_repeats`` returns all columns. A task holds the texts of one
-batch, one run of ``RUN`` suffixes, or one range of about ``RANGE`` suffixes; a text of more than
+batch, one run of ``RUN`` suffixes, or one range of about ``RANGE`` suffixes (``CROWD`` more at most); a text of more than
 ``SEGMENT`` bytes is looked at in overlapping segments.
 
 ``remove_repeats`` with ``words`` measures in words: the same steps run over a code of ``CODE`` bytes for
@@ -36,14 +40,15 @@ every word, in which only windows that start at a word's code count, and whole w
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.salting import ROWS, join_stats
 from .common import shared_table
 from .components import groups
 from .shingles import _letters, _powers, mix
@@ -52,8 +57,10 @@ from .word_codes import CODE, char_spans, word_codes
 LENGTH, GRAM = 400, 100
 #: Suffixes in a sorted run, and in a range of the merge; bytes looked at together (a power of two).
 RUN, RANGE, SEGMENT = 20_000, 8_000, 1 << 20
-#: Suffixes that are sampled for splitters (about 400 bytes each), at least and for each range.
-SAMPLE, SAMPLE_PER_RANGE = 8_192, 4
+#: Contexts of one anchor substring that are sorted in one task.
+CROWD = 10_000
+#: Bytes of the anchor's hash before a sorted suffix; offsets of windows that are compared together.
+HEAD, BLOCK = 8, 64
 #: Words of the anchor substring, where strings are measured in words.
 GRAM_WORDS = 13
 _U = np.uint64
@@ -245,91 +252,80 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple[tuple, int]]:
             node >>= 1
 
 
-def windows(entries: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, entry, offset) of every window of the entries; offset is from its start to the anchor."""
-    keys, who, offsets = [], [], []
-    at = 0
-    while at < len(entries):
-        size, end = 0, at
-        while end < len(entries) and (end == at or size < 500_000):
-            size += len(entries[end][0]) + len(entries[end][1])
-            end += 1
-        some = entries[at:end]
-        total, down = prefix_sums(np.frombuffer(b"".join(e[1][::-1] + e[0] for e in some), dtype=np.uint8))
-        counts = np.array([e[4] - e[3] + 1 for e in some])
-        starts = np.concatenate([[0], np.cumsum([len(e[0]) + len(e[1]) for e in some])[:-1]])
-        of = np.repeat(np.arange(len(some)), counts)
-        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        p = starts[of] + step
-        keys.append(mix((total[p + length] - total[p]) * down[p]))
-        who.append(of + at)
-        offsets.append(np.array([e[4] for e in some])[of] - step)
-        at = end
-    return np.concatenate(keys), np.concatenate(who), np.concatenate(offsets)
-
-
-def resolve(merged: list[tuple], lcp: list[int], low: bytes | None, high: bytes | None, length: int,
-            gram: int) -> tuple[list[tuple], list[tuple]]:
-    """Of one range: (owner, first, last) runs of repeated window starts, and open windows
-    (hash, owner or None, start) that another range may repeat; None: repeated here already."""
-    n = len(merged)
-    reach = [0] * n  # longest common prefix with a suffix of another range
-    if low is not None and n:
-        r = common_prefix(low, merged[0][0])
-        for i in range(n):
-            if i:
-                r = min(r, lcp[i])
-            if r < gram:
-                break
-            reach[i] = r
-    if high is not None and n:
-        r = common_prefix(high, merged[-1][0])
-        for i in range(n - 1, -1, -1):
-            if r < gram:
-                break
-            reach[i] = max(reach[i], r)
-            r = min(r, lcp[i])
-    use = [i for i in range(n) if reach[i] or lcp[i] >= gram and i or i + 1 < n and lcp[i + 1] >= gram]
-    if not use:
-        return [], []
-    some = [merged[i] for i in use]
-    key, who, offset = windows(some, length)
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    twice = counts[inverse] > 1
+class Entries:
+    """Sorted suffixes with what is before their anchors, as one buffer in which windows are hashed."""
+
+    def __init__(self, entries: list[tuple], length: int):
+        self.length, self.width = length, min(BLOCK, max(1, length // 2))
+        texts = [e[1][::-1] + e[0][HEAD:] for e in entries]
+        self.anchor, self.least, self.most = (np.array([e[k] for e in entries], dtype=np.int64) for k in (2, 3, 4))
+        # where the anchors lie in the buffer
+        self.at = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64) + self.most
+        self.total, self.down = prefix_sums(np.frombuffer(b"".join(texts), dtype=np.uint8))
+
+    def hash(self, start: np.ndarray, end: np.ndarray, of: np.ndarray | int) -> np.ndarray:
+        """Hashes of the bytes between, with what they are hashes of."""
+        return mix((self.total[end] - self.total[start]) * self.down[start] ^ mix(np.asarray(of).astype(_U)))
+
+    def block(self, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries with windows in the block of offsets (bytes from a window's start to its anchor) from ``lo`` on, and their
+        largest and smallest offset there."""
+        first, last = np.minimum(self.most, lo + self.width - 1), np.maximum(self.least, lo)
+        who = np.flatnonzero(first >= last)
+        return who, first[who], last[who]
+
+    def windows(self, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, entry, offset) of the windows of a block, by entry and from the first to the last."""
+        who, first, last = self.block(lo)
+        counts = first - last + 1
+        of = np.repeat(who, counts)
+        offset = np.repeat(first, counts) - (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+        start = self.at[of] - offset
+        return self.hash(start, start + self.length, offset), of, offset
+
+    def blocks(self) -> range:
+        return range(0, int(self.most.max()) + 1, self.width)
+
+
+def resolve(entries: list[tuple], length: int) -> list[tuple]:
+    """(owner, first, last) runs of window starts that two of the entries, which share their anchor substring, hold."""
+    parts: dict[int, list[tuple]] = {}
+    for at in range(0, len(entries), 1000):  # the buffers are a few hundred KB
+        some = Entries(entries[at:at + 1000], length)
+        for lo in some.blocks():
+            key, of, offset = some.windows(lo)
+            parts.setdefault(lo, []).append((key, (of + at).astype(np.int32), offset.astype(np.int32)))
     found: list[tuple] = []
-    anchor = np.array([e[2] for e in some])[who]
-    start = anchor - offset
-    at = np.flatnonzero(twice)
-    if len(at):
-        # starts grow by one along an entry's windows
-        new = np.concatenate([[True], (np.diff(at) != 1) | (who[at][1:] != who[at][:-1])])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(at)]]) - 1
-        found = [(some[w][5], s, e) for w, s, e in zip(
-            who[at[first]].tolist(), start[at[first]].tolist(), start[at[last]].tolist())]
-    may = length - offset <= np.array([reach[i] for i in use])[who]
-    at = np.flatnonzero(may)
-    open_windows: list[tuple] = []
-    if len(at):
-        _, one = np.unique(key[at], return_index=True)
-        at = at[one]
-        open_windows = [(k, None if t else some[w][5], s) for k, t, w, s in zip(
-            key[at].view(np.int64).tolist(), twice[at].tolist(), who[at].tolist(), start[at].tolist())]
-    return found, open_windows
+    for lo in sorted(parts):
+        key, who, offset = (np.concatenate(x) for x in zip(*parts.pop(lo)))
+        # equal windows have their anchor at the same place, so the offset is part of the hash
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        twice = np.zeros(len(key), dtype=bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        at = np.flatnonzero(twice)
+        if len(at):
+            # offsets fall by one along an entry's windows
+            new = np.concatenate([[True], (np.diff(offset[at]) != -1) | (who[at][1:] != who[at][:-1])])
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(at)]]) - 1
+            found += [(entries[w][5], entries[w][2] - a, entries[w][2] - b) for w, a, b in zip(
+                who[at[first]].tolist(), offset[at[first]].tolist(), offset[at[last]].tolist())]
+    return found
 
 
 def suffix_entries(owner: bytes, text: bytes, wanted, parts, length: int) -> Iterator[tuple]:
-    """Of the anchors whose first window starts at one of ``wanted``."""
-    for _, pos, _, least, most in parts:
+    """Of the anchors whose first window starts at one of ``wanted``; the anchor's hash heads the suffix."""
+    for _, pos, h, least, most in parts:
         for j in np.flatnonzero(np.isin(pos - most, wanted)).tolist():
             a, lo, hi = int(pos[j]), int(least[j]), int(most[j])
-            yield text[a:a + length - lo], text[a - hi:a][::-1], a, lo, hi, owner
+            yield h[j:j + 1].byteswap().tobytes() + text[a:a + length - lo], text[a - hi:a][::-1], a, lo, hi, owner
 
 
 def candidates(docs: DataFrame, length: int, gram: int, code) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(wanted, starts, long). ``key``, ``firsts``, ``n`` of texts that may hold repeats: the first window starts of
-    their anchors that are to be sorted. ``key``, ``first``, ``last``: runs of repeated window starts that need no
-    sorting. ``key`` of all texts of ``length`` bytes or more, also repeatedly."""
+    """(wanted, starts, long). ``key``, ``firsts``, ``crowded``, ``n`` of texts that may hold repeats: the first window starts
+    of their anchors that are to be sorted, or counted because their anchor is crowded. ``key``, ``first``, ``last``: runs of
+    repeated window starts that need neither. ``key`` of all texts of ``length`` bytes or more, also repeatedly."""
     def count(batches):
         for pdf in batches:
             texts = [code(t) for t in pdf["text"]]
@@ -344,18 +340,19 @@ def candidates(docs: DataFrame, length: int, gram: int, code) -> tuple[DataFrame
     counted = shared_table(docs.select("key", "text").mapInPandas(
         count, "key binary, hash long, context long, first long, last long"), "anchors")
     place = F.xxhash64("key", "first")
-    twice = shared_table(counted.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-                         .where("a <> b").select("hash"), "anchors-twice")
-    places = shared_table(counted.join(twice, "hash").withColumn("place", place), "places")
     # ``a`` is the place that stands for its context; ``b`` differs if there is another one
-    contexts = shared_table(places.groupBy("hash", "context").agg(F.min("place").alias("a"), F.max("place").alias("b")),
-                            "contexts")
-    several = contexts.groupBy("hash").agg((F.min("context") != F.max("context")).alias("several"))
-    contexts = shared_table(contexts.join(several, "hash"), "contexts-kinds")
-    places = shared_table(places.join(contexts, ["hash", "context"]).select(
+    contexts = shared_table(counted.groupBy("hash", "context").agg(
+        F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias(ROWS)), "contexts")
+    kinds = contexts.groupBy("hash").agg(F.count("*").alias("kinds"), F.max(F.col("a") != F.col("b")).alias("again")) \
+        .where("kinds > 1 or again").select("hash", "kinds", F.col("kinds").alias(ROWS))
+    kept = shared_table(join_stats(contexts.withColumnRenamed(ROWS, "places"), kinds, ["hash"])
+                        .withColumnRenamed("places", ROWS), "contexts-kinds")
+    places = shared_table(join_stats(counted.withColumn("place", place), kept, ["hash", "context"]).select(
         "key", "first", "last", (F.col("a") != F.col("b")).alias("again"),
-        (F.col("several") & (F.col("place") == F.col("a"))).alias("sort")).where("again or sort"), "places-kinds")
-    wanted = (places.groupBy("key").agg(F.collect_set(F.when(F.col("sort"), F.col("first"))).alias("firsts"))
+        F.when((F.col("kinds") > 1) & (F.col("place") == F.col("a")), F.col("kinds") > CROWD).alias("crowd"))
+        .where("again or crowd is not null"), "places-kinds")
+    wanted = (places.groupBy("key").agg(F.collect_set(F.when(~F.col("crowd"), F.col("first"))).alias("firsts"),
+                                        F.collect_set(F.when(F.col("crowd"), F.col("first"))).alias("crowded"))
               .withColumn("n", F.size("firsts")))
     return shared_table(wanted, "wanted"), places.where("again").select("key", "first", "last"), counted.select("key")
 
@@ -367,83 +364,87 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, code) -> tuple[Data
     wanted, again, long = candidates(docs, length, gram, code)
     # Of texts with copies only the row with the smallest id is sorted.
     first = docs.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep"))
-    wanted = shared_table(wanted.join(first, "key").select("key", "firsts", "n", F.col("rep.id").alias("rep_id")), "wanted-reps")
+    wanted = shared_table(wanted.join(first, "key").select("key", "firsts", "crowded", "n", F.col("rep.id").alias("rep_id")), "wanted-reps")
     same = (docs["key"] == wanted["key"]) & docs["id"].eqNullSafe(wanted["rep_id"])
-    texts = shared_table(docs.join(wanted, same).select(wanted["key"], "text", "firsts"), "texts")
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-
-    n_ranges = max(1, -(-total // RANGE))
-    splitters = choose_splitters(texts, total, n_ranges, length, gram, code)
-    runs = texts.where(F.size("firsts") > 0).mapInPandas(sorted_runs(splitters, length, gram, code),
-                             "part int, n int, shared binary, sizes binary, tails binary, before_shared binary, "
-                             "before_sizes binary, before_tails binary, marks binary, owners binary")
+    texts = shared_table(docs.join(wanted, same).select(wanted["key"], "text", "firsts", "crowded"), "texts")
+    total, crowds = wanted.agg(F.sum("n"), F.sum(F.size("crowded"))).first()
+    n_ranges = max(1, -(-(total or 0) // RANGE))
+    runs = texts.where(F.size("firsts") > 0).mapInPandas(
+        sorted_runs(n_ranges, length, gram, code),
+        "part int, n int, shared binary, sizes binary, tails binary, before_shared binary, "
+        "before_sizes binary, before_tails binary, marks binary, owners binary")
 
     def merge_ranges(batches):
         for g in groups(batches, ["part"]):
-            part = int(g["part"].iloc[0])
-            merged, lcp = [], []
-            for entry, k in merge([Run.decode(r) for r in g.itertuples(index=False)]):
-                merged.append(entry)
-                lcp.append(k)
-            low = splitters[part - 1][0] if part else None
-            high = splitters[part][0] if part < len(splitters) else None
-            found, open_windows = resolve(merged, lcp, low, high, length, gram)
-            if found:
-                yield pd.DataFrame(found, columns=["key", "first", "last"]).assign(hash=None)
-            if open_windows:
-                out = pd.DataFrame(open_windows, columns=["hash", "key", "first"])
-                yield out.assign(last=out["first"])[["key", "first", "last", "hash"]]
-
-    resolved = shared_table(runs.repartition(n_ranges, "part").sortWithinPartitions("part")
-                            .mapInPandas(merge_ranges, "key binary, first long, last long, hash long"), "resolved")
-    across = (resolved.where("hash is not null").groupBy("hash")
-              .agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "first"))).alias("at"))
-              .where("n > 1").select(F.explode("at").alias("at"))
-              .select("at.key", "at.first", F.col("at.first").alias("last")))
-    sorted_out = resolved.where("hash is null").select("key", "first", "last")
-    return texts.select("key", "text"), again.union(sorted_out).union(across), long
-
-
-def choose_splitters(texts: DataFrame, total: int, n_ranges: int, length: int, gram: int,
-                     code) -> list[tuple[bytes, bytes]]:
-    """Up to ``n_ranges - 1`` splitters from a sample of about ``SAMPLE`` suffixes, more for many ranges."""
-    if n_ranges == 1:
-        return []
-    rate = min(1.0, max(SAMPLE, SAMPLE_PER_RANGE * n_ranges) / max(total, 1))
-
-    def sample(batches):
-        limit = _U(min(int(rate * 2**64), 2**64 - 1))
+            for found in resolved_groups(merge([Run.decode(r) for r in g.itertuples(index=False)]), length, gram):
+                yield pd.DataFrame(found, columns=["key", "first", "last"])
+
+    sorted_out = shared_table(runs.repartition(n_ranges, "part").sortWithinPartitions("part")
+                              .mapInPandas(merge_ranges, "key binary, first long, last long"), "resolved")
+    starts = again.union(sorted_out)
+    if crowds:
+        starts = starts.union(crowded_starts(texts, length, gram, code))
+    return texts.select("key", "text"), starts, long
+
+
+def resolved_groups(merged: Iterator[tuple[tuple, int]], length: int, gram: int) -> Iterator[list[tuple]]:
+    """Repeated runs of the neighbours that share their anchor substring."""
+    held: list[tuple] = []
+    for entry, shared in merged:
+        if held and shared < HEAD + gram:
+            if len(held) > 1:
+                yield resolve(held, length)
+            held = []
+        held.append(entry)
+    if len(held) > 1:
+        yield resolve(held, length)
+
+
+def crowded_starts(texts: DataFrame, length: int, gram: int, code) -> DataFrame:
+    """``key``, ``first``, ``last`` of the repeated windows of crowded anchors."""
+    def hashes(batches):
         for pdf in batches:
-            texts_, out = [code(t) for t in pdf["text"]], []
-            keys = [int.from_bytes(k[:8], "little") for k in pdf["key"]]
-            for i, pos, h, least, most in anchors(texts_, length, gram):
-                draw = mix(pos.astype(_U) * _U(0x9E3779B97F4A7C15) ^ _U(keys[i]))
-                keep = draw <= limit
-                part = (i, pos[keep], h[keep], least[keep], most[keep])
-                out += [e[:2] for e in suffix_entries(b"", texts_[i], pdf["firsts"].iloc[i], [part], length)]
-            if out:
-                yield pd.DataFrame(out, columns=["right", "left"])
-
-    found = sorted((bytes(r.right), bytes(r.left)) for r in texts.where(F.size("firsts") > 0).mapInPandas(sample, "right binary, left binary").collect())
-    step = len(found) / n_ranges
-    return sorted({found[int(i * step)] for i in range(1, n_ranges) if found})
-
-
-def sorted_runs(splitters: list[tuple[bytes, bytes]], length: int, gram: int, code):
+            codes = [code(t) for t in pdf["text"]]
+            for part in anchors(codes, length, gram):
+                i = part[0]
+                entries = list(suffix_entries(b"", codes[i], pdf["crowded"].iloc[i], [part], length))
+                if not entries:
+                    continue
+                all_ = Entries(entries, length)
+                for lo in all_.blocks():
+                    who, first, last = all_.block(lo)
+                    key, _, _ = all_.windows(lo)
+                    at = all_.at[who]
+                    core = all_.hash(at - lo, at - (lo + all_.width - 1) + length, lo)
+                    whole = all_.hash(at - first, at - last + length, (first << 32) + last)
+                    yield pd.DataFrame({
+                        "key": pdf["key"].iloc[i], "first": all_.anchor[who] - first, "last": all_.anchor[who] - last,
+                        "core": core.view(np.int64), "block": whole.view(np.int64),
+                        "windows": np.split(key.view(np.int64), np.cumsum(first - last + 1)[:-1])})
+
+    rows = shared_table(texts.where(F.size("crowded") > 0).mapInPandas(
+        hashes, "key binary, first long, last long, core long, block long, windows array<long>")
+        .withColumn("place", F.xxhash64("key", "first")), "crowded")
+    blocks = shared_table(rows.groupBy("core", "block").agg(F.min("place").alias("a"), F.count("*").alias(ROWS)), "crowded-blocks")
+    found = join_stats(rows.select("key", "first", "last", "core", "block"),
+                       blocks.where(F.col(ROWS) > 1).select("core", "block", ROWS), ["core", "block"]).select("key", "first", "last")
+    kinds = blocks.groupBy("core").agg(F.count("*").alias(ROWS)).where(F.col(ROWS) > 1)
+    alone = join_stats(rows, blocks, ["core", "block"]).where(F.col("place") == F.col("a"))
+    single = shared_table(join_stats(alone.select("key", "first", "core", "windows"), kinds, ["core"])
+                          .select("key", "first", F.posexplode("windows").alias("step", "hash"))
+                          .select("key", (F.col("first") + F.col("step")).alias("first"), "hash"), "crowded-windows")
+    twice = single.groupBy("hash").agg(F.count("*").alias(ROWS)).where(F.col(ROWS) > 1)
+    return found.union(join_stats(single, twice, ["hash"]).select("key", "first", F.col("first").alias("last")))
+
+
+def sorted_runs(n_ranges: int, length: int, gram: int, code):
     """Maps texts to pieces of sorted, front-coded runs, one row for each range a run reaches."""
+    def part_of(entry: tuple) -> int:
+        return int.from_bytes(entry[0][:HEAD], "big") % n_ranges
+
     def pieces(entries: list[tuple]) -> pd.DataFrame:
-        entries.sort(key=lambda e: e[:2])
-        out, at = [], 0
-        while at < len(entries):
-            part = bisect_right(splitters, entries[at][:2])
-            end = len(entries) if part == len(splitters) else bisect_right(entries, splitters[part], lo=at,
-                                                                            key=lambda e: e[:2])
-            # an entry equal to a splitter belongs to the range above it
-            while end > at and part < len(splitters) and entries[end - 1][:2] == splitters[part]:
-                end -= 1
-            out.append({"part": part, **Run.encode(entries[at:end])})
-            at = end
-        return pd.DataFrame(out)[["part", "n", *Run.FIELDS]]
+        entries.sort(key=lambda e: (part_of(e), *e[:2]))
+        return pd.DataFrame([{"part": part, **Run.encode(list(some))} for part, some in groupby(entries, part_of)])[["part", "n", *Run.FIELDS]]
 
     def run(batches):
         held: list[tuple] = []
@@ -542,14 +543,16 @@ def outcomes(docs: DataFrame, length: int, gram: int, with_text: bool, words: in
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
             gram: int = GRAM) -> DataFrame:
-    """One row per document: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
+    """One row per document: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (of the remaining bytes),
+    ``kept_text`` (what remains, without parts of characters)."""
     rows = keyed(docs, id_col, text_col)
-    lost = outcomes(rows, length, gram, False).drop("kept").withColumnRenamed("kept_sha256", "sha")
-    plain = rows.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"),
+    lost = outcomes(rows, length, gram, True).withColumnRenamed("kept_sha256", "sha")
+    plain = rows.select("id", "key", "text", F.octet_length("text").cast("long").alias("n_bytes"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     return plain.join(lost, "key", "left").select(
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
+        F.when(F.col("n_removed").isNotNull(), F.col("kept")).otherwise(F.col("text")).alias("kept_text"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,

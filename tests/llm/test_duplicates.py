@@ -150,7 +150,8 @@ def brute_repeats(rows, length):
             if c[r[p:p + length]] > 1:
                 gone[p:p + length] = b"\1" * length
         kept = bytes(x for x, g in zip(r, gone) if not g)
-        out.append((d, len(r), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(r), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest(),
+                    kept.decode("utf-8", "ignore")))
     return out
 
 
@@ -166,10 +167,11 @@ def repeat_rows():
     return rows
 
 
-@pytest.mark.parametrize("per_range", [8_000, 20])
-def test_repeats(frame, monkeypatch, per_range):
+@pytest.mark.parametrize("per_range, crowd, block", [(8_000, 10_000, 64), (20, 10_000, 7), (8_000, 1, 64), (20, 3, 5)])
+def test_repeats(frame, monkeypatch, per_range, crowd, block):
     rows = repeat_rows()
-    monkeypatch.setattr(suffix_dedup, "RANGE", per_range)
+    for name, value in (("RANGE", per_range), ("CROWD", crowd), ("BLOCK", block)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     got = [tuple(r) for r in suffix_dedup.measure(frame(rows).repartition(3), length=40, gram=10).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 40)))
 
@@ -191,6 +193,53 @@ def test_long_texts_go_in_segments(monkeypatch):
     assert {p for _, p in chosen()} == {p for _, p in whole} == set(range(5000 - 39))
 
 
+def near_copies(n, rng=None):
+    """Copies of one passage with a word replaced, in texts of their own."""
+    rng = rng or random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    passage = [word() for _ in range(60)]
+    out = []
+    for i in range(n):
+        w = list(passage)
+        w[rng.randrange(60)] = word()
+        out.append((i, " ".join([word() for _ in range(3)] + w), "s", "en"))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [10_000, 50])
+def test_near_copies_equal_brute_force(frame, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "RANGE", 100)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 16)
+    rows = near_copies(150)
+    got = [tuple(r) for r in suffix_dedup.measure(frame(rows).repartition(3), length=60, gram=15).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 60)))
+
+
+def test_what_near_copies_give_grows_with_their_number(frame, monkeypatch):
+    """Rows of the merge, and of the crowded anchors, for 250, 1,000 and 2,000 near copies over several ranges."""
+    made = {}
+    keep = suffix_dedup.shared_table
+
+    def counting(df, name, *args):
+        out = keep(df, name, *args)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "shared_table", counting)
+    monkeypatch.setattr(suffix_dedup, "RANGE", 500)
+    for crowd in (10_000, 100):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        seen = {}
+        for n in (250, 1_000, 2_000):
+            made.clear()
+            texts, starts, _ = suffix_dedup.repeated_starts(
+                suffix_dedup.keyed(frame(near_copies(n, random.Random(3))), "doc_id", "text"), 200, 50, suffix_dedup.text_bytes)
+            seen[n] = made.get("resolved", 0), made.get("crowded", 0), made.get("crowded-windows", 0), starts.count()
+        for part in range(4):
+            assert seen[2_000][part] <= 12 * max(seen[250][part], 100) and seen[2_000][part] <= 3 * max(seen[1_000][part], 500)
+
+
 def test_loser_tree_merges_with_common_prefixes():
     rng = random.Random(2)
     words = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
