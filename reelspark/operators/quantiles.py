@@ -101,12 +101,19 @@ def _count_values(x: DataFrame, targets: list[_Target]) -> None:
     """Names the values that are left, from the counts of the values inside their intervals."""
     if not targets:
         return
-    cells = F.array(*[F.when(t.within(), F.struct(F.lit(k).alias("k"), F.col(f"_{t.column}").alias("v"))) for k, t in enumerate(targets)])
+    # the two middle ranks of a column mostly share their interval
+    spans = {(t.column, t.lo, t.hi): t for t in targets}
+    number = {span: k for k, span in enumerate(spans)}
+    cells = F.array(*[F.when(t.within(), F.struct(F.lit(k).alias("k"), F.col(f"_{t.column}").alias("v"))) for k, t in enumerate(spans.values())])
     rows = (x.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.k", "c.v").agg(F.count("*").alias("rows"))
             .collect())
-    before = [t.below for t in targets]
+    values: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: (r.k, r.v)):
-        t = targets[r.k]
-        if t.value is None and t.rank < before[r.k] + r["rows"]:
-            t.value = r.v
-        before[r.k] += r["rows"]
+        values.setdefault(r.k, []).append((r.v, r["rows"]))
+    for t in targets:
+        before = t.below
+        for v, n in values[number[t.column, t.lo, t.hi]]:
+            before += n
+            if t.rank < before:
+                t.value = v
+                break
