@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
 #: Narrow rows that one task writes of a table whose size is known.
 ROWS_PER_TASK = 250_000
+#: Bits of a filter of keys, at least and at most: 64 KB, and 8 MB as a table of 64-bit words.
+LEAST_BITS, MOST_BITS = 1 << 19, 1 << 26
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +53,20 @@ def shared_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_TASK))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def marked(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_may``: false only where ``key`` (a 64-bit hash) is not in ``keys`` (one column of such hashes).
+
+    The keys set one bit each in a table of ``MOST_BITS`` bits at most, which is broadcast: its size has that bound whatever
+    the keys, and rows that no key can want need no shuffle. Beyond about ``MOST_BITS`` keys it tells less, and is still right.
+    """
+    keys = keys.toDF("_k").where("_k is not null")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    words = shared_table(
+        keys.select(F.pmod("_k", F.lit(bits)).alias("_k")).groupBy(F.floor(F.col("_k") / 64).cast("int").alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(_k % 64 as int)))").alias("_bits")).coalesce(8), "key-bits")
+    at = F.pmod(key, F.lit(bits))
+    return (rows.withColumns({"_word": F.floor(at / 64).cast("int"), "_bit": (at % 64).cast("int")})
+            .join(F.broadcast(words), "_word", "left")
+            .withColumn("_may", F.coalesce(F.expr("shiftright(_bits, _bit) & 1 = 1"), F.lit(False))).drop("_word", "_bit", "_bits"))

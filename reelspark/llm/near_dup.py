@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import marked, shared_table
 from .components import Forest, connected, groups
 from .shingles import minwise, shingle_sets
 
@@ -197,8 +197,10 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, id_col: str, text_co
         F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int").alias("block")), "wanted-sets")
     texts = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"),
                         F.col(text_col).cast("string").alias("text"))
+    # texts that are not wanted take no part in the shuffle, and the plan is the same at every size
+    texts = marked(texts, F.col("text_key"), wanted.select("text_key")).where("_may")
     same = (texts["text_key"] == wanted["text_key"]) & texts["id"].eqNullSafe(wanted["id"])
-    rows = texts.join(wanted, same).select("digest", "grp", "n_blocks", "block", "text")
+    rows = texts.join(wanted.hint("merge"), same).select("digest", "grp", "n_blocks", "block", "text")
 
     def to_sets(batches):
         for pdf in batches:
@@ -263,11 +265,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component (repeated rows of it go too), with all columns."""
-    kept = shared_table(link(docs, id_col, text_col, **options).where("kept").groupBy(
-        F.col(id_col).alias("_kept_id"), F.col("text_key").alias("_kept_text")).agg(F.count("*").alias("_rows")), "kept")
-    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (text_key(text_col) == kept["_kept_text"])
-    rows = docs.join(kept, same, "left_semi")
-    if kept.where("_rows > 1").isEmpty():
-        return rows  # no row is there twice: nothing to deal out by id once more
-    return (rows.withColumn("_text_key", text_key(text_col)).dropDuplicates([id_col, "_text_key"])
-            .drop("_text_key"))
+    linked = shared_table(link(docs, id_col, text_col, **options)
+                          .select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "kept"), "linked")
+    gone = linked.where("not kept").select("_id", "_key").distinct()
+    # rows that stay need no shuffle, but for the few that the filter of keys takes for others
+    rows = marked(docs.withColumn("_text_key", text_key(text_col)), F.xxhash64(id_col, "_text_key"), gone.select(F.xxhash64("_id", "_key")))
+    unsure = rows.where("_may")
+    same = unsure[id_col].eqNullSafe(gone["_id"]) & (unsure["_text_key"] == gone["_key"])
+    rows = rows.where("not _may").unionByName(unsure.join(gone.hint("merge"), same, "left_anti"))
+    if linked.where("kept").groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows.select(*docs.columns)  # no row is there twice: nothing to deal out by id
+    return rows.dropDuplicates([id_col, "_text_key"]).select(*docs.columns)

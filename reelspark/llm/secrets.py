@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import marked, shared_table
 
 # Fixed patterns of the base scan, and the least length of what each has to hold.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,6 +30,8 @@ KINDS = ("assign", "access", "hex", "live")
 
 #: A value looks live if it has both letters and digits, and none of the stock words of examples.
 _EXAMPLE_WORDS = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef"
+#: Matches of a text whose places are summed up in one array.
+FOLD = 256
 
 
 def matches(text: Column, pattern: str, kind: int, value_group: int, least: int,
@@ -43,15 +45,28 @@ def matches(text: Column, pattern: str, kind: int, value_group: int, least: int,
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
                        lambda f, g: F.struct(g.alias("gap"), f["size"].alias("size"), f["value"].alias("value")))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    walked = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
+    spans = "array<struct<start:int,kind:int,end:int,value:string>>"
+    empty = F.expr(f"cast(array() as {spans})")
+    # Running sums in blocks: adding to an array copies it, so no array that is added to grows with the matches.
+    # (an array around ``steps`` names it, so that the blocks do not search the text again)
+    blocks = F.flatten(F.transform(F.array(steps), lambda all_: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_) / FOLD).cast("int") - 1, F.lit(0))),
+        lambda b: F.slice(all_, b * FOLD + 1, F.lit(FOLD)))))
+    each = F.transform(blocks, lambda block: F.aggregate(
+        block, F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda acc, s: F.struct(
             (acc["at"] + s["gap"] + s["size"]).alias("at"),
             F.concat(acc["out"], F.array(F.struct(
                 (acc["at"] + s["gap"]).alias("start"), F.lit(kind).alias("kind"),
-                (acc["at"] + s["gap"] + s["size"]).alias("end"), s["value"].alias("value")))).alias("out")),
-        lambda acc: acc["out"])
+                (acc["at"] + s["gap"] + s["size"]).alias("end"), s["value"].alias("value")))).alias("out"))))
+    walked = F.flatten(F.aggregate(
+        each, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{spans}>)").alias("out")),
+        lambda acc, e: F.struct(
+            (acc["at"] + e["at"]).alias("at"),
+            F.concat(acc["out"], F.array(F.transform(e["out"], lambda x: F.struct(
+                (x["start"] + acc["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + acc["at"]).alias("end"),
+                x["value"].alias("value"))))).alias("out")),
+        lambda acc: acc["out"]))
     kept = F.filter(walked, lambda x: (x["end"] - x["start"] if whole else F.length(x["value"])) >= least)
     return F.when(text.rlike(pattern), kept).otherwise(empty)
 
@@ -63,16 +78,20 @@ def joined(spans: Column) -> Column:
         ":", F.element_at(name, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def owner_and_repo(owner_col: str | None, repo_cols: tuple[str, ...]) -> tuple[Column, Column]:
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return name(owner_col) if owner_col else F.lit(""), F.concat_ws("\n", *map(name, repo_cols)) if repo_cols else F.lit("")
+
+
 def find(docs: DataFrame, text_col: str, owner_col: str | None, repo_cols: tuple[str, ...],
-         keep: list[str]) -> DataFrame:
+         keep: list[str], with_digest: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` in a struct ``doc``, with ``row``, ``owner``, ``repo``, ``base``
-    (the candidates by start and kind); written once, so that ``row`` is fixed."""
+    (the candidates by start and kind) and if asked the text's ``digest``; written once, so that ``row`` is fixed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    found = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), text.alias("text"),
-        (name(owner_col) if owner_col else F.lit("")).alias("owner"),
-        (F.concat_ws("\n", *map(name, repo_cols)) if repo_cols else F.lit("")).alias("repo"))
+    owner, repo = owner_and_repo(owner_col, repo_cols)
+    doc = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")] if keep else []
+    digest = [F.md5(text.cast("binary")).alias("digest")] if with_digest else []
+    found = docs.select(*doc, *digest, text.alias("text"), owner.alias("owner"), repo.alias("repo"))
     base = F.array_sort(F.concat(matches(F.col("text"), ASSIGN, 0, 2, 6, False),
                                  matches(F.col("text"), ACCESS, 1, 0, 20, True),
                                  matches(F.col("text"), HEX, 2, 0, 24, True)))
@@ -127,18 +146,24 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str | None = "sou
            repo_cols: tuple[str, ...] = ("source", "lang"), mark: str = "[SECRET]", max_owners: int = 1,
            max_repos: int = 2) -> DataFrame:
     """``docs`` with every live value in the text replaced by ``mark``; same columns and rows."""
-    found = find(docs, text_col, owner_col, repo_cols, docs.columns)
+    # Live spans depend on the text, its owner and repository; only rows that have some are joined with them.
+    found = find(docs, text_col, owner_col, repo_cols, [], with_digest=True).where(F.size("base") > 0)
+    live = shared_table(with_live(found, max_owners, max_repos).where(F.size("live") > 0)
+                        .select(F.col("digest").alias("_digest"), F.col("owner").alias("_owner"), F.col("repo").alias("_repo"), F.col("live").alias("_live"))
+                        .dropDuplicates(["_digest", "_owner", "_repo"]), "live-spans")
+    owner, repo = owner_and_repo(owner_col, repo_cols)
+    text = F.col(text_col).cast("string")
+    rows = docs.withColumns({"_digest": F.md5(F.coalesce(text, F.lit("")).cast("binary")), "_owner": owner, "_repo": repo})
+    rows = marked(rows, F.xxhash64("_digest", "_owner", "_repo"), live.select(F.xxhash64("_digest", "_owner", "_repo")))
     # Live spans by start; one that begins inside the span before it is left to that span.
-    text = F.col(f"doc.`{text_col}`").cast("string")
-    ordered = F.array_sort("live")
     cleaned = F.aggregate(
-        ordered, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
+        F.array_sort("_live"), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["end"] < acc["at"], acc).otherwise(F.struct(
             (s["end"] + 1).alias("at"),
             F.concat(acc["out"], F.when(s["start"] + 1 >= acc["at"], F.concat(
                 F.substring(text, acc["at"], s["start"] + 1 - acc["at"]), F.lit(mark))).otherwise(F.lit(""))).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.length(text))))
-    out = with_live(found, max_owners, max_repos).withColumn(
-        "clean", F.when(F.size("live") > 0, cleaned).otherwise(text))
-    return out.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c)
-                        for c in docs.columns])
+    changed = rows.where("_may").join(live.hint("merge"), ["_digest", "_owner", "_repo"], "left").withColumn(
+        text_col, F.when(F.col("_live").isNotNull(), cleaned).otherwise(text))
+    same = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.where("not _may").withColumn(text_col, text).select(*same).unionByName(changed.select(*same))

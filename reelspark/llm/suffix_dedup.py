@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.salting import ROWS, join_stats
-from .common import shared_table
+from .common import marked, shared_table
 from .components import groups
 from .shingles import _letters, _powers, mix
 from .word_codes import CODE, char_spans, word_codes
@@ -61,6 +61,8 @@ RUN, RANGE, SEGMENT = 20_000, 8_000, 1 << 20
 CROWD = 10_000
 #: Bytes of the anchor's hash before a sorted suffix; offsets of windows that are compared together.
 HEAD, BLOCK = 8, 64
+#: Suffixes of small groups that are compared in one go.
+TOGETHER = 1_000
 #: Words of the anchor substring, where strings are measured in words.
 GRAM_WORDS = 13
 _U = np.uint64
@@ -290,8 +292,8 @@ class Entries:
 def resolve(entries: list[tuple], length: int) -> list[tuple]:
     """(owner, first, last) runs of window starts that two of the entries, which share their anchor substring, hold."""
     parts: dict[int, list[tuple]] = {}
-    for at in range(0, len(entries), 1000):  # the buffers are a few hundred KB
-        some = Entries(entries[at:at + 1000], length)
+    for at in range(0, len(entries), TOGETHER):  # the buffers are a few hundred KB
+        some = Entries(entries[at:at + TOGETHER], length)
         for lo in some.blocks():
             key, of, offset = some.windows(lo)
             parts.setdefault(lo, []).append((key, (of + at).astype(np.int32), offset.astype(np.int32)))
@@ -365,8 +367,9 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, code) -> tuple[Data
     # Of texts with copies only the row with the smallest id is sorted.
     first = docs.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep"))
     wanted = shared_table(wanted.join(first, "key").select("key", "firsts", "crowded", "n", F.col("rep.id").alias("rep_id")), "wanted-reps")
-    same = (docs["key"] == wanted["key"]) & docs["id"].eqNullSafe(wanted["rep_id"])
-    texts = shared_table(docs.join(wanted, same).select(wanted["key"], "text", "firsts", "crowded"), "texts")
+    some = marked(docs, F.xxhash64("key"), wanted.select(F.xxhash64("key"))).where("_may")
+    same = (some["key"] == wanted["key"]) & some["id"].eqNullSafe(wanted["rep_id"])
+    texts = shared_table(some.join(wanted.hint("merge"), same).select(wanted["key"], "text", "firsts", "crowded"), "texts")
     total, crowds = wanted.agg(F.sum("n"), F.sum(F.size("crowded"))).first()
     n_ranges = max(1, -(-(total or 0) // RANGE))
     runs = texts.where(F.size("firsts") > 0).mapInPandas(
@@ -388,16 +391,23 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, code) -> tuple[Data
 
 
 def resolved_groups(merged: Iterator[tuple[tuple, int]], length: int, gram: int) -> Iterator[list[tuple]]:
-    """Repeated runs of the neighbours that share their anchor substring."""
+    """Repeated runs of the neighbours that share their anchor substring. Small groups are resolved together: equal windows
+    hold the same anchor substring, so none is found across groups."""
+    batch: list[tuple] = []
     held: list[tuple] = []
     for entry, shared in merged:
         if held and shared < HEAD + gram:
             if len(held) > 1:
-                yield resolve(held, length)
+                batch += held
             held = []
+            if len(batch) >= TOGETHER:
+                yield resolve(batch, length)
+                batch = []
         held.append(entry)
     if len(held) > 1:
-        yield resolve(held, length)
+        batch += held
+    if batch:
+        yield resolve(batch, length)
 
 
 def crowded_starts(texts: DataFrame, length: int, gram: int, code) -> DataFrame:
@@ -413,6 +423,8 @@ def crowded_starts(texts: DataFrame, length: int, gram: int, code) -> DataFrame:
                 all_ = Entries(entries, length)
                 for lo in all_.blocks():
                     who, first, last = all_.block(lo)
+                    if not len(who):
+                        continue
                     key, _, _ = all_.windows(lo)
                     at = all_.at[who]
                     core = all_.hash(at - lo, at - (lo + all_.width - 1) + length, lo)
@@ -541,6 +553,14 @@ def outcomes(docs: DataFrame, length: int, gram: int, with_text: bool, words: in
     return shared_table(single.join(copies.select("key"), "key", "left_anti").union(copies), "outcomes")
 
 
+def with_lost(rows: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined with ``lost`` on ``key``; texts that lose nothing take no part in the shuffle."""
+    rows = marked(rows, F.xxhash64(key), lost.select(F.xxhash64(key)))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in lost.dtypes if c != key]
+    untouched = rows.where("not _may").drop("_may").select("*", *nothing)
+    return untouched.unionByName(rows.where("_may").drop("_may").join(lost.hint("merge"), key, "left"))
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
             gram: int = GRAM) -> DataFrame:
     """One row per document: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (of the remaining bytes),
@@ -549,7 +569,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     lost = outcomes(rows, length, gram, True).withColumnRenamed("kept_sha256", "sha")
     plain = rows.select("id", "key", "text", F.octet_length("text").cast("long").alias("n_bytes"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    return plain.join(lost, "key", "left").select(
+    return with_lost(plain, lost, "key").select(
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
         F.when(F.col("n_removed").isNotNull(), F.col("kept")).otherwise(F.col("text")).alias("kept_text"))
@@ -562,6 +582,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lost = outcomes(keyed(docs, id_col, text_col), length, gram, True, words).select(
         F.col("key").alias("_key"), F.col("kept").alias("_kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("_key", F.unhex(F.md5(text.cast("binary")))).join(lost, "_key", "left")
+    out = with_lost(docs.withColumn("_key", F.unhex(F.md5(text.cast("binary")))), lost, "_key")
     clean = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(text_col))
     return out.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
