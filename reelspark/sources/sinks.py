@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.constants import ACTIONS
+from ..functions.scalar import rating_int
+from .ingest import validate
+
 
 def write_recommendations(recs: DataFrame, path: str, fmt: str = "parquet") -> None:
     """``item_id, score, title_type`` (+ ``user_id``) as Parquet or CSV."""
@@ -57,8 +61,11 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema=None) ->
 ACTION_LOG_COLS = ["timestamp_iso", "imdb_const", "action", "rating", "notes", "source", "batch_id"]
 
 
-def append_actions(actions: DataFrame, path: str) -> None:
-    """S11 (batch form): append validated action rows in the action-log column order."""
+def append_actions(actions: DataFrame, path: str) -> DataFrame:
+    """S11 (batch form): append the rows that pass P05 in the action-log column order; returns the others with their
+    ``reason``."""
     cols = [F.col(c) if c in actions.columns else F.lit(None).cast("string").alias(c)
             for c in ACTION_LOG_COLS]
-    actions.select(*cols).write.mode("append").option("header", True).csv(path)
+    clean, bad = validate(actions.select(*cols).withColumn("rating", rating_int(F.col("rating"))), "imdb_const", "rating", "action", ACTIONS)
+    clean.write.mode("append").option("header", True).csv(path)
+    return bad

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,3 +174,115 @@ def clean_action_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (clean.groupBy(*LOG_KEY).agg(first)
             .select(F.col("first.timestamp_iso"), "imdb_const", "action", "rating", "notes",
                     F.col("first.source"), "batch_id"), bad)
+
+
+def _merged(firsts: DataFrame) -> DataFrame:
+    """One row per ``LOG_KEY``: the earliest."""
+    return firsts.groupBy(*LOG_KEY).agg(F.min("first").alias("first"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to; one that is not there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _commit(spark: SparkSession, base: str, micro_batch: int, upto: int) -> None:
+    """The manifest of a micro-batch: that it is whole, and the newest snapshot at that time."""
+    spark.createDataFrame([(micro_batch, upto)], "micro_batch long, upto long").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{base}/manifest/id={micro_batch}")
+
+
+def committed(spark: SparkSession, base: str) -> tuple[int, int]:
+    """(newest micro-batch, newest snapshot) that are whole; -1 for none."""
+    manifest = read_if_there(spark, f"{base}/manifest")
+    if manifest is None:
+        return -1, -1
+    newest = manifest.agg(F.max("micro_batch"), F.max("upto")).first()
+    return (-1, -1) if newest[0] is None else (newest[0], newest[1])
+
+
+def _log_firsts(spark: SparkSession, base: str, newest: int, upto: int) -> DataFrame | None:
+    parts = []
+    if upto >= 0:
+        parts.append(spark.read.parquet(f"{base}/snap/upto={upto}"))
+    if newest > upto:
+        deltas = read_if_there(spark, f"{base}/clean")
+        if deltas is not None:
+            parts.append(deltas.where((F.col("micro_batch") > upto) & (F.col("micro_batch") <= newest)).drop("micro_batch"))
+    if not parts:
+        return None
+    return _merged(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+
+def append_log_stream(spark: SparkSession, source: str, base: str, compact_every: int = 20, max_files: int | None = None) -> None:
+    """S11/ST01: take the action-log files in folder ``source`` that are new into the log under ``base`` (both on storage
+    that all executors reach), with the key ``LOG_KEY`` and P05.
+
+    A micro-batch writes its first row of every key (``clean``) and its quarantine, then, last of all, its manifest: what a
+    reader sees is what manifests name, so a batch that died half-way is not there, and when it is replayed it writes the same
+    folders again. Every ``compact_every`` batches the log is merged into a snapshot; when the manifest that names it is there,
+    the deltas and snapshots before the *previous* snapshot are deleted, so a reader that has just read an
+    older manifest still finds its files.
+    """
+    def take(batch: DataFrame, micro_batch: int) -> None:
+        session = batch.sparkSession
+        newest, upto = committed(session, base)
+        if micro_batch <= newest:  # replayed after its manifest was written: it is whole
+            retire_log(session, base)
+            return
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            clean, bad = validate(batch, "imdb_const", "rating", "action", ACTIONS)
+            clean.groupBy(*LOG_KEY).agg(F.min(F.struct("ts", "timestamp_iso", "source")).alias("first")) \
+                .write.mode("overwrite").parquet(f"{base}/clean/micro_batch={micro_batch}")
+            bad.write.mode("overwrite").parquet(f"{base}/quarantine/micro_batch={micro_batch}")
+        finally:
+            batch.unpersist()
+        snap = upto
+        if (micro_batch + 1) % compact_every == 0:
+            _log_firsts(session, base, micro_batch, upto).write.mode("overwrite").parquet(f"{base}/snap/upto={micro_batch}")
+            snap = micro_batch
+        _commit(session, base, micro_batch, snap)
+        if snap == micro_batch:
+            retire_log(session, base)
+
+    (read_action_log(spark, source, streaming=True, max_files=max_files).writeStream.outputMode("append")
+     .option("checkpointLocation", f"{base}/ckpt").foreachBatch(take).trigger(availableNow=True).start().awaitTermination())
+
+
+def _snapshots(spark: SparkSession, base: str) -> list[int]:
+    """Snapshots that manifests name, newest first."""
+    manifest = read_if_there(spark, f"{base}/manifest")
+    if manifest is None:
+        return []
+    return sorted((r.upto for r in manifest.select("upto").where("upto >= 0").distinct().collect()), reverse=True)
+
+
+def retire_log(spark: SparkSession, base: str) -> None:
+    """Delete what no reader can need: deltas and manifests that the previous snapshot holds, and the snapshots before it."""
+    snaps = _snapshots(spark, base)
+    if len(snaps) < 2:
+        return
+    keep = snaps[1]
+    for old in snaps[2:]:
+        _delete(spark, f"{base}/snap/upto={old}")
+    manifest = spark.read.parquet(f"{base}/manifest")
+    for r in manifest.select("micro_batch").where(F.col("micro_batch") < keep).collect():
+        _delete(spark, f"{base}/clean/micro_batch={r.micro_batch}")
+        _delete(spark, f"{base}/manifest/id={r.micro_batch}")
+    _delete(spark, f"{base}/clean/micro_batch={keep}")
+
+
+def read_log(spark: SparkSession, base: str) -> DataFrame:
+    """The log under ``base`` in ``ACTION_LOG_COLS``: the first row of every key of all whole micro-batches."""
+    firsts = _log_firsts(spark, base, *committed(spark, base))
+    if firsts is None:
+        return spark.createDataFrame([], ", ".join(f"{c} {'int' if c == 'rating' else 'string'}" for c in ACTION_LOG_COLS))
+    return firsts.select(F.col("first.timestamp_iso"), "imdb_const", "action", "rating", "notes", F.col("first.source"), "batch_id")
+
+
+def read_log_quarantine(spark: SparkSession, base: str) -> DataFrame | None:
+    """Refused rows of all whole micro-batches with their ``reason``; None where nothing has been written."""
+    bad = read_if_there(spark, f"{base}/quarantine")
+    return None if bad is None else bad.where(F.col("micro_batch") <= committed(spark, base)[0]).drop("micro_batch")

@@ -345,3 +345,115 @@ def test_medians_are_exact_in_bounded_passes(spark):
     for limit, accuracy in ((100_000, 2000), (300, 100), (1, 50)):
         assert exact_medians(df, cols, limit, accuracy) == want
     assert exact_medians(df.limit(0), {"a": F.col("a")}) == {"a": None} and exact_medians(df, {}) == {}
+
+
+def _log_files(folder, batches):
+    folder.mkdir(exist_ok=True)
+    for i, rows in enumerate(batches):
+        (folder / f"part{i}.csv").write_text("timestamp_iso,imdb_const,action,rating,notes,source,batch_id\n" + "\n".join(rows) + "\n")
+
+
+def _log_batches():
+    """Late rows, repeats within and across files, bad rows."""
+    line = lambda h, item, action, rating, notes, b: f"2024-02-02T{h:02d}:00:00Z,{item},{action},{rating},{notes},web,{b}"
+    return [[line(10 + i, "tt7000001", "rate", 8, "n", "b1"), line(9 - i, "tt7000001", "rate", 8, "n", "b1"),
+             line(5, f"tt700001{i}", "watchlist_add", "", f"file {i}", "b2"), line(6, "tt7", "rate", 5, "", f"b{i}"),
+             line(7, "tt7000002", "rate", 11 if i % 2 else 6, "x", "b3")] for i in range(7)]
+
+
+def _log_rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_log_stream_equals_the_cleaned_batch(spark, tmp_path):
+    _log_files(tmp_path / "in", _log_batches())
+    base = str(tmp_path / "log")
+    assert st.read_log(spark, base).count() == 0
+    st.append_log_stream(spark, str(tmp_path / "in"), base, compact_every=2, max_files=1)
+    clean, bad = st.clean_action_log(st.read_action_log(spark, str(tmp_path / "in")))
+    assert _log_rows(st.read_log(spark, base)) == _log_rows(clean) and st.read_log(spark, base).columns == sinks.ACTION_LOG_COLS
+    assert st.read_log_quarantine(spark, base).count() == bad.count() > 0
+    # seven batches, snapshots after 1, 3 and 5: the previous one and what it does not hold are there, the rest is gone
+    left = {p.parent.name + "/" + p.name for p in (tmp_path / "log").glob("*/*=*")}
+    assert {x for x in left if x.startswith("snap")} == {"snap/upto=3", "snap/upto=5"}
+    assert {x for x in left if x.startswith("clean")} == {"clean/micro_batch=4", "clean/micro_batch=5", "clean/micro_batch=6"}
+    # more files later, also ones with rows that are there already
+    _log_files(tmp_path / "in", _log_batches() + [["2024-02-01T00:00:00Z,tt7000001,rate,8,n,app,b1"]])
+    st.append_log_stream(spark, str(tmp_path / "in"), base, compact_every=2)
+    assert "2024-02-01T00:00:00Z" in {r.timestamp_iso for r in st.read_log(spark, base).collect()}
+
+
+@pytest.mark.parametrize("dies_at", ["before", "after"])
+def test_log_stream_survives_a_killed_batch(spark, tmp_path, monkeypatch, dies_at):
+    """A batch that dies before or after its manifest is written is replayed to the same log."""
+    _log_files(tmp_path / "in", _log_batches())
+    base = str(tmp_path / "log")
+    commit, killed = st._commit, []
+
+    def dying(session, where, micro_batch, upto):
+        if micro_batch == 3 and not killed:
+            killed.append(1)
+            if dies_at == "after":
+                commit(session, where, micro_batch, upto)
+            raise RuntimeError("killed")
+        commit(session, where, micro_batch, upto)
+
+    monkeypatch.setattr(st, "_commit", dying)
+    with pytest.raises(Exception, match="killed"):
+        st.append_log_stream(spark, str(tmp_path / "in"), base, compact_every=2, max_files=1)
+    assert st.committed(spark, base)[0] == (2 if dies_at == "before" else 3)
+    st.read_log(spark, base).count()  # a reader meets whole batches only
+    st.append_log_stream(spark, str(tmp_path / "in"), base, compact_every=2, max_files=1)
+    clean, bad = st.clean_action_log(st.read_action_log(spark, str(tmp_path / "in")))
+    assert _log_rows(st.read_log(spark, base)) == _log_rows(clean)
+    assert st.read_log_quarantine(spark, base).count() == bad.count()
+
+
+def test_appended_actions_are_validated(spark, tmp_path):
+    rows = [("2024-01-01T00:00:00Z", "tt0111161", "rate", "10", "b1"), ("2024-01-01T00:00:00Z", "nothing", "rate", "10", "b1"),
+            ("2024-01-01T00:00:00Z", "tt0111161", "rate", "12", "b1")]
+    a = spark.createDataFrame(rows, "timestamp_iso string, imdb_const string, action string, rating string, batch_id string")
+    bad = sinks.append_actions(a, str(tmp_path / "log"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 1
+    assert sorted(r.reason for r in bad.collect()) == ["bad_id", "bad_rating"]
+
+
+def test_ingest_options_reach_the_loaders(spark, tmp_path):
+    """Order column, encoding and line mode through ``ingest_sources``; each export is parsed once."""
+    from reelspark.sources import ingest as ig
+    (tmp_path / "r.csv").write_bytes("Const,Your Rating,Title Type,Title,Seq\ntt0000001,5,movie,Été,1\ntt0000001,7,movie,Été,2\nbad,3,movie,x,1\n".encode("latin-1"))
+    (tmp_path / "w.csv").write_bytes("Const,Title Type,Title,Seq\ntt0000002,movie,Où,2\ntt0000002,movie,Là,1\n".encode("latin-1"))
+    got = ig.ingest_sources(spark, str(tmp_path / "r.csv"), str(tmp_path / "w.csv"), str(tmp_path / "out"), order_col="Seq",
+                            multi_line=False, encoding="ISO-8859-1")
+    by = {r.item_id: r for r in got.ratings.collect()}
+    assert by["tt0000001"].my_rating == 7 and by["tt0000001"].title == "Été"
+    assert [r.title for r in got.watchlist.collect()] == ["Où"]
+    assert [(r.item_id, r.reason, r.source) for r in got.quarantine.collect()] == [("bad", "bad_id", "ratings")]
+
+
+def test_a_hot_user_is_in_no_single_block(spark):
+    """A user with a third of all ratings: dealt over pseudo-users for the fit, factors meet the normal equations, and
+    pairs are scored with them."""
+    rng = np.random.default_rng(6)
+    rows = [("hot", f"i{i:04d}", int(rng.integers(1, 11))) for i in range(600)]
+    rows += [(f"u{u}", f"i{int(i):04d}", int(rng.integers(1, 11))) for u in range(60) for i in rng.choice(600, 20, replace=False)]
+    r = spark.createDataFrame(rows, "user_id string, item_id string, my_rating int")
+    it = spark.createDataFrame([(f"i{i:04d}", 5.0 + i % 5) for i in range(620)], "item_id string, imdb_rating double")
+    fit = md.train_als(r, it, rank=3, reg=0.1, iters=8, hot_ratings=100)
+    numbers = {x.user_id: x["number"] for x in fit.users.collect()}
+    base = md.als_training_rows(r, it, fit.users, fit.items)
+    sent = md.dealt_out(base, md.hot_users(base, 100)).groupBy("user").count().collect()
+    assert max(x["count"] for x in sent if x.user != numbers["hot"]) < 150 and numbers["hot"] not in {x.user for x in sent}
+    u = {x.id: np.array(x.features) for x in fit.user_factors().collect()}
+    v = {x.id: np.array(x.features) for x in fit.model.itemFactors.collect()}
+    place = {x.item_id: x["number"] for x in fit.items.collect()}
+    assert set(u) == set(numbers.values())
+    own = [(v[place[i]], m) for who, i, m in rows if who == "hot"]
+    a, b = np.array([x for x, _ in own]), np.array([m for _, m in own], dtype=float)
+    assert np.allclose((a.T @ a + 0.1 * len(own) * np.eye(3)) @ u[numbers["hot"]], a.T @ b, rtol=1e-4)
+    pairs = spark.createDataFrame([("hot", "i0610"), ("u3", "i0610"), ("hot", "nothing"), ("nobody", "i0001")], "user_id string, item_id string")
+    got = {(x.user_id, x.item_id): x for x in md.score_als(fit, pairs).collect()}
+    for who in ("hot", "u3"):
+        assert got[who, "i0610"].p == pytest.approx(float(u[numbers[who]] @ v[place["i0610"]]), abs=1e-4)
+    assert got["hot", "nothing"].cold and got["nobody", "i0001"].cold and len(got) == 4
+    fit.release()
