@@ -117,8 +117,9 @@ def near_words(words: DataFrame, parts: int) -> DataFrame:
     def keys(sigs: str, longer):
         # the shorter word of a pair has one letter less than the longer one at most
         half = F.floor((longer - 1) / 2).cast("int")
-        halves = {"first": F.substr(word, F.lit(1), half), "last": F.substr(word, F.length(word) - half + 1, half)}
-        return F.concat(*[F.transform(sigs, lambda s, h=h, which=which: F.xxhash64(s, F.lit(which), h)) for which, h in halves.items()])
+        first, last = F.substr(word, F.lit(1), half), F.substr(word, F.length(word) - half + 1, half)
+        return F.concat(F.transform(sigs, lambda s: F.xxhash64(s, F.lit("first"), first)),
+                        F.transform(sigs, lambda s: F.xxhash64(s, F.lit("last"), last)))
 
     cells = F.concat(F.transform(keys("sigs", F.length(word)), lambda k: F.struct(k.alias("key"), F.lit(False).alias("shorter"))),
                      F.transform(keys("next_sigs", F.length(word) + 1), lambda k: F.struct(k.alias("key"), F.lit(True).alias("shorter"))))
