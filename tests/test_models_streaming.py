@@ -457,3 +457,19 @@ def test_a_hot_user_is_in_no_single_block(spark):
         assert got[who, "i0610"].p == pytest.approx(float(u[numbers[who]] @ v[place["i0610"]]), abs=1e-4)
     assert got["hot", "nothing"].cold and got["nobody", "i0001"].cold and len(got) == 4
     fit.release()
+
+
+def test_als_drops_its_shuffle_files_every_few_iterations(spark, monkeypatch):
+    from reelspark.operators import models as md
+
+    asked = {}
+
+    class Recorded(md.ALS):
+        def __init__(self, **kw):
+            asked.update(kw)
+            super().__init__(**kw)
+
+    monkeypatch.setattr(md, "ALS", Recorded)
+    rows = spark.createDataFrame([(u, i, float(1 + (u * i) % 10)) for u in range(6) for i in range(5)], "user int, item int, rating float")
+    md.fit_als(rows, rank=2, iters=3, blocks=1)
+    assert asked["checkpointInterval"] <= 2
