@@ -118,3 +118,24 @@ def test_metadata_filter(spark):
         "item_id int, year int, imdb_rating double, num_votes long, genres string")
     kept = sorted(r[0] for r in rk.metadata_filter(df, "2025-12-31").select("item_id").collect())
     assert kept == [1, 5]
+
+
+def test_r6_near_and_off_ties_as_the_exact_decimal(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from reelspark.functions.scalar import r6
+
+    rng = random.Random(3)
+    values = [0.0, -0.0, 1.0, 0.5e-6, -0.5e-6, 1.0000005, 2.6750005, -7.1234565, 0.1234564999999, 99999.9999995, 1e5, 1e7 + 0.1234565,
+              1e25, 1e30, float("nan"), float("inf"), float("-inf"), None, 1e-9, -1e-9]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-7, 6) for _ in range(3000)]
+    values += [(2 * rng.randint(-10**9, 10**9) + 1) * 0.5e-6 for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").withColumn("f", F.col("x").cast("float"))
+    for c in ("x", "f"):
+        exact = F.round(F.col(c).try_cast("decimal(38,12)"), 6).cast("double")
+        got = df.select(c, r6(c).cast("string").alias("got"), exact.cast("string").alias("exact"))
+        assert got.where(~F.col("got").eqNullSafe(F.col("exact"))).collect() == []
+    # most values stay clear of the decimal
+    assert "FLOOR" in df.select(r6("x"))._jdf.queryExecution().optimizedPlan().toString()
