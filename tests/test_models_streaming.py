@@ -473,3 +473,17 @@ def test_als_drops_its_shuffle_files_every_few_iterations(spark, monkeypatch):
     rows = spark.createDataFrame([(u, i, float(1 + (u * i) % 10)) for u in range(6) for i in range(5)], "user int, item int, rating float")
     md.fit_als(rows, rank=2, iters=3, blocks=1)
     assert asked["checkpointInterval"] <= 2
+
+
+def test_settings_of_a_fold_share_its_training_rows(spark, monkeypatch):
+    from reelspark.plans import q_models as qm
+
+    made = []
+    rows_of = md.als_training_rows
+    monkeypatch.setattr(md, "als_training_rows", lambda *a, **kw: made.append(1) or rows_of(*a, **kw))
+    settings = [(2, 0.1, 2), (3, 0.1, 2)]
+    both = {(r.factors, r.fold): r for r in qm._als_folds(spark, SF001, settings, 2).collect()}
+    assert len(made) == 2 and set(both) == {(2, 0), (2, 1), (3, 0), (3, 1)}
+    assert sum(both[2, f].n for f in (0, 1)) == tb.ratings(spark, SF001).count()
+    alone = {r.fold: r for r in qm._als_folds(spark, SF001, settings[1:], 2).collect()}
+    assert all(both[3, f].rmse == pytest.approx(alone[f].rmse, abs=1e-6) for f in (0, 1))
