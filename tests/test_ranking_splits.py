@@ -177,3 +177,17 @@ def test_folds_keep_rows_outside_every_bin_and_null_ids(spark):
         rows = f.collect()
         assert len(rows) == 6 and all(r["fold"] is not None for r in rows)
     assert sp.split_train_validation(df).count() == 6
+
+
+def test_positions_of_crowded_groups_and_null_keys(spark):
+    """Bucketed and plain groups side by side, NULL keys and NULL order: one window over the group numbers them alike."""
+    from pyspark.sql import Window
+    rows = [(u, None if i % 50 == 7 else i) for u in (1, None) for i in range(120)] + [(2, i) for i in range(9)]
+    df = spark.createDataFrame([(u, i, n) for n, (u, i) in enumerate(rows)], "user_id long, item_id long, row_no long")
+    key = sp.shuffle_key(3)
+    got = sp.position_in_group(df, ["user_id"], sp.md5_bucket(key, 1), [key, F.col("item_id"), F.col("row_no")], crowded=20)
+    assert got.columns == [*df.columns, "pos", "n"]
+    w = Window.partitionBy("user_id")
+    want = (df.withColumn("pos", F.row_number().over(w.orderBy(key, "item_id", "row_no")).cast("long"))
+            .withColumn("n", F.count("*").over(w)))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
