@@ -78,3 +78,22 @@ def test_materialized_tables_survive_concurrent_first_use(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         counts = list(pool.map(lambda _: tb.materialized(spark, SF001, name, build).count(), range(4)))
     assert len(set(counts)) == 1 and counts[0] > 0 and len(calls) == 1
+
+
+def test_fold_rows_are_shuffled_once_and_without_their_key(spark):
+    p = _final_plan(sp.stratified_folds(tb.ratings(spark, SF001), 5, 42)).split("Initial Plan")[0]
+    shuffles = [line for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([s for s in shuffles if "_bk" in s]) <= 2 and not any("coalesce" in s for s in shuffles)
+    key = max(n for n, line in enumerate(p.splitlines()) if "md5" in line and "Project" in line and "_w" in line)
+    assert any(n > key for n, line in enumerate(p.splitlines()) if line in shuffles)
+
+
+def test_ranking_metrics_shuffle_the_joined_rows_once(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _final_plan(E.queries()["metrics_ranking"](spark, SF001)).split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    made = [x for x in p.splitlines() if "Exchange hashpartitioning(item_id" in x and "ReusedExchange" not in x]
+    assert 1 <= len(made) <= 2
