@@ -131,3 +131,20 @@ def test_empty_archive_and_small_payloads(spark, tmp_path):
     warc.write(pages, str(tmp_path / "b"), revisit_bytes=3)
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(spark, str(tmp_path / "b")).collect()}
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
+
+
+def test_the_wrapper_counts_every_page_of_a_host(spark):
+    """Two layouts on one host, a box on some pages, a page without it and a page of over 600 elements: all count."""
+    box = "<div class='x9'><p>Read all about it</p></div>"
+    one = "<html><body>{box}<div class='c'><p>story {n} in a long line of words</p><p>Ask the editor</p></div></body></html>"
+    two = "<html><body><div class='t'>Links</div><div class='d'><p>tale {n} told in a long line</p><p>Write to us</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", one.format(n=i, box=box if i % 3 else "")) for i in range(60)]
+    rows += [(100 + i, f"http://h.example/{100 + i}", two.format(n=i)) for i in range(40)]
+    rows += [(200, "http://h.example/200", one.format(n=200, box=box) .replace("<p>Ask", "<p>more</p>" * 700 + "<p>Ask"))]
+    rows += [(300 + i, f"http://copy.example/{i}", one.format(n=1, box="")) for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all("Read all" not in t and "Ask the" not in t and "Write to" not in t for p, t in got.items() if p < 300)
+    assert got[7] == "story 7 in a long line of words" and got[105].splitlines()[-1] == "tale 5 told in a long line"
+    assert got[200].count("more") == 700
+    assert got[300] == "story 1 in a long line of words\nAsk the editor"  # copies are one page, which has no template
