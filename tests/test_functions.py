@@ -139,3 +139,9 @@ def test_r6_near_and_off_ties_as_the_exact_decimal(spark):
         assert got.where(~F.col("got").eqNullSafe(F.col("exact"))).collect() == []
     # most values stay clear of the decimal
     assert "FLOOR" in df.select(r6("x"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_tokens_equals_split_list(spark):
+    odd = ["", " ", ",", " , a,, b c ,", "\ta \n,\r\n b\x0b", "a  ", "a ", " a \x85", " a ,  b", "a \n ", None, "x,y  ,z"]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string").select(cv.split_list("x").alias("a"), cv.split_tokens("x").alias("b")).collect()
+    assert len(rows) == len(odd) and all(r.a == r.b for r in rows)
