@@ -487,3 +487,33 @@ def test_settings_of_a_fold_share_its_training_rows(spark, monkeypatch):
     assert sum(both[2, f].n for f in (0, 1)) == tb.ratings(spark, SF001).count()
     alone = {r.fold: r for r in qm._als_folds(spark, SF001, settings[1:], 2).collect()}
     assert all(both[3, f].rmse == pytest.approx(alone[f].rmse, abs=1e-6) for f in (0, 1))
+
+
+@pytest.mark.parametrize("name", ["als_cv", "als_grid"])
+def test_a_failed_fold_is_no_result(spark, monkeypatch, name):
+    """One fit of one fold fails: raised, no row of NULLs that the means leave out."""
+    from pyspark.errors import PySparkException
+
+    from reelspark.plans import q_models as qm
+
+    fit = md.fit_prepared
+
+    def broken(data, rank, reg, iters, seed):
+        if seed == 43:
+            raise PySparkException("no space left on device")
+        return fit(data, 2, reg, 1, seed)
+
+    monkeypatch.setattr(md, "fit_prepared", broken)
+    with pytest.raises(PySparkException, match="no space left"):
+        getattr(qm, name)(spark, SF001).collect()
+
+
+def test_folds_without_rows_have_nothing_to_measure(spark, monkeypatch):
+    from reelspark.plans import q_models as qm
+
+    r = spark.createDataFrame([(1, 1, 5, None)], "user_id long, item_id long, my_rating int, rated_at date")
+    it = spark.createDataFrame([(1, None)], "item_id long, imdb_rating double")
+    monkeypatch.setattr(tb, "ratings", lambda *a: r)
+    monkeypatch.setattr(tb, "items", lambda *a: it)
+    rows = qm._als_folds(spark, SF001, [(2, 0.1, 1)], 2).collect()
+    assert len(rows) == 2 and all(x.rmse is None for x in rows)
