@@ -148,3 +148,16 @@ def test_the_wrapper_counts_every_page_of_a_host(spark):
     assert got[7] == "story 7 in a long line of words" and got[105].splitlines()[-1] == "tale 5 told in a long line"
     assert got[200].count("more") == 700
     assert got[300] == "story 1 in a long line of words\nAsk the editor"  # copies are one page, which has no template
+
+
+def test_every_distinct_page_and_text_is_counted(spark, monkeypatch):
+    """Pages that share a hash are two pages; a text of one page has its count as well."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: F.lit(1).cast("long"))
+    rows = [("h", f"<body><p>same</p><div>page {i % 5}</div></body>") for i in range(15)] + [("", "<p>x"), ("h", ""), ("h", None)]
+    pages = spark.createDataFrame(rows, "host string, html string")
+    got = {(r.path, r.hash): r.n for r in html_text.page_counts(pages).collect()}
+    assert got["", ""] == 5
+    assert got["/body/p", html_text.text_hash("same")] == 5
+    assert all(got["/body/div", html_text.text_hash(f"page {i}")] == 1 for i in range(5))
