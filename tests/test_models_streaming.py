@@ -1,5 +1,8 @@
 """Model properties (M01, M03), streaming = batch twin (ST01, ST02), leakage checks."""
 
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -517,3 +520,34 @@ def test_folds_without_rows_have_nothing_to_measure(spark, monkeypatch):
     monkeypatch.setattr(tb, "items", lambda *a: it)
     rows = qm._als_folds(spark, SF001, [(2, 0.1, 1)], 2).collect()
     assert len(rows) == 2 and all(x.rmse is None for x in rows)
+
+
+def test_many_ratings_have_a_block_a_core_and_drop_their_files_every_iteration():
+    assert [md.block_count(n, 12) for n in (0, 100_000, 1_000_000)] == [1, 6, 24]  # as before
+    assert md.block_count(24_000_000, 12) == md.block_count(1_000_001, 12) == 12
+    assert md.block_count(24_000_000, 12, jobs=2) == 6 and md.block_count(24_000_000, 1) == 2
+    assert md.block_count(10**9, 12) == 72 and md.block_count(10**9, 12) * md.MOST_PER_BLOCK >= 10**9
+    assert md.CHECKPOINT_EVERY == 1
+
+
+def test_files_of_finished_fits_are_deleted(spark, monkeypatch):
+    """When the folds of a large table are done, the fits' shuffle files are gone, not left for some later collection."""
+    from reelspark.plans import q_models as qm
+
+    def shuffles():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+
+    seen = []
+    metrics = qm.mt.rating_metrics
+    monkeypatch.setattr(qm.mt, "rating_metrics", lambda *a: seen.append(shuffles()) or metrics(*a))
+    monkeypatch.setattr(md, "FEW_RATINGS", 100)
+    before = shuffles()
+    qm._als_folds(spark, SF001, [(2, 0.1, 12)], 2)
+    made = set.union(*seen) - before
+    for _ in range(20):  # Spark deletes them in a thread of its own
+        left = made & shuffles()
+        if len(left) < 0.5 * len(made):
+            break
+        time.sleep(1)
+    assert made and len(left) < 0.5 * len(made)
